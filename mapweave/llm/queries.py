@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mapweave.llm.bpe_codec import encode_decode
 from mapweave.llm.common import table
+from mapweave.llm.sharding import shard
+from mapweave.llm.simhash import near_duplicates
 from mapweave.llm.token_counts import count_tokens
 
 
@@ -15,10 +17,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op8_bpe_codec)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_simhash, op8_bpe_codec)}
 
 ORACLES: dict[str, str] = {}
