@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mapweave.llm.bpe_codec import encode_decode
 from mapweave.llm.common import table
+from mapweave.llm.fm_classifier import classify
+from mapweave.llm.packing import pack
+from mapweave.llm.quality_rules import quality_rules
 from mapweave.llm.sharding import shard
 from mapweave.llm.simhash import near_duplicates
 from mapweave.llm.token_counts import count_tokens
@@ -25,10 +28,23 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), into="verdict")
+    return judged.select("doc_id", "verdict.n_words", "verdict.word_chars", "verdict.n_symbols", "verdict.n_dup_lines", "verdict.n_repeat_words", "verdict.base_failed", "verdict.kept", "verdict.llr")
+
+
+def op7_fm_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_simhash, op8_bpe_codec)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_simhash, op4_packing, op5_quality_rules, op7_fm_classifier, op8_bpe_codec)}
 
 ORACLES: dict[str, str] = {}

@@ -61,13 +61,13 @@ def fingerprint(text: str | bytes | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """A row (doc_id, fp: the fingerprint's bits as a long) for each row of docs."""
+    """A row (doc_id, text_hash, fp: the fingerprint's bits as a long) for each row of docs."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = np.array([fingerprint(b if (b := v.as_buffer()) is None else b.to_pybytes(), words) for v in batch.column(1)], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return map_arrow(doc_columns(docs, key, text), each, "doc_id long, fp long")
+    return map_arrow(doc_columns(docs, key, text).withColumn("text_hash", F.xxhash64("text")), each, "doc_id long, text_hash long, fp long")
 
 
 def _masks(bits: int) -> list[int]:
@@ -160,12 +160,43 @@ def links_of(nodes: DataFrame, bits: int = 4) -> DataFrame:
     return dealt.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(each, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
-    """A row (doc_id, fingerprint, component_id: the smallest doc_id reachable over links) for each row of docs."""
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
+    """A row (doc_id, text_hash, fp, component_id: the smallest doc_id reachable over links, root: names the component) for each row of docs."""
     prints = written(fingerprints(docs, key, text, words), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     roots = connected_components(links_of(nodes.select("fp"), bits)).withColumnRenamed("node", "fp")
     classed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = classed.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_print = classed.select("fp", "root").join(lows, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(classed.select("fp", "root").join(lows, "root"), "fp")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
+    """A row (doc_id, fingerprint, component_id) for each row of docs."""
+    return classes(docs, key, text, words, bits).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
+    """docs with one row of each component: that of the smallest key (then the least hash of the text); null keys come last.
+
+    Rows are known by key and hash of the text. Those to go are taken out by a broadcast while they are broadcast_rows at
+    most, else by a shuffled join. Only rows that repeat in key and text are shuffled to keep one of them.
+    """
+    known = written(classes(docs, key, text, words, bits).select("doc_id", "text_hash", "root"), "classes").groupBy("doc_id", "text_hash", "root").agg(F.count("*").alias("n"))
+    known = written(known, "known-rows")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = known.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), rank).alias("first")).select("first.*")
+    first = written(first, "first-rows")
+
+    def matching(how: str, listed: DataFrame) -> DataFrame:
+        mine = docs.alias("mine")
+        side = F.broadcast(listed) if listed.count() <= broadcast_rows else listed
+        same = F.col(f"mine.`{key}`").cast("long").eqNullSafe(F.col("listed.doc_id")) & F.xxhash64(F.col(f"mine.`{text}`").cast("string")).eqNullSafe(F.col("listed.text_hash"))
+        return mine.join(side.alias("listed"), same, how)
+
+    same = (F.col("k.doc_id").eqNullSafe(F.col("f.doc_id"))) & (F.col("k.text_hash") == F.col("f.text_hash"))
+    gone = written(known.alias("k").join(first.alias("f"), same, "left_anti").select("doc_id", "text_hash"), "rows-to-go")
+    repeated = first.filter("n > 1").select("doc_id", "text_hash")
+    if repeated.isEmpty():
+        return matching("left_anti", gone)
+    once = matching("left_semi", repeated).dropDuplicates([key, text])
+    return matching("left_anti", written(gone.unionByName(repeated), "rows-apart")).unionByName(once)
