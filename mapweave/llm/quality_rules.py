@@ -20,6 +20,7 @@ table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,34 +132,41 @@ def constant(weights: list[int]) -> Column:
     return F.from_json(F.lit(f"[{','.join(map(str, weights))}]"), "array<int>")
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, however often it is used; plain columns would be computed anew wherever a filter is pushed down to."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
+def verdict(text: Column, weights: list[int], threshold: int) -> Column:
+    """A struct of the base columns, base_failed, kept and the score (llr, in nats an n-gram) of a text."""
+
+    def of_hashes(h: Column, lines: Column) -> Column:
+        n = F.size(h)
+        windows = _windows(h)
+        repeated = _let(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), _let(_ordered(w), lambda s: _let(_repeated(s), _covered))).otherwise(0))
+        parts = F.struct(
+            n.cast("long").alias("n_words"), F.length(F.translate(text, BREAKS, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), repeated.cast("long").alias("n_repeat_words"),
+            _score_sum(h, constant(weights)).alias("sum"), F.greatest(2 * n - 1, F.lit(1)).alias("grams"),
+        )
+        return _let(parts, of_parts)
+
+    def of_parts(p: Column) -> Column:
+        failed = (p["n_words"] < 50) | (100 * p["n_repeat_words"] > 50 * p["n_words"])
+        return F.struct(
+            *[p[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"),
+            (~failed & (p["sum"] >= F.lit(threshold).cast("decimal(20,0)") * p["grams"])).alias("kept"), (p["sum"] / 1e6 / p["grams"]).alias("llr"),
+        )
+
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BREAKS)) != "")
+    hashes = F.transform(words_of(text), lambda w: F.xxhash64(w))
+    return _let(hashes, lambda h: _let(lines, lambda x: of_hashes(h, x)))
+
+
 def judge(docs: DataFrame, weights: list[int], threshold: int, text: str = "text", into: str = "quality_rules") -> DataFrame:
-    """docs with a struct column: the base columns, the score in nats an n-gram, base_failed and kept."""
-    body = text_or_empty(text)
-    lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(BREAKS)) != "")
-    hidden = f"__{into}"
-    step = docs.withColumn(hidden, F.struct(
-        F.transform(words_of(body), lambda w: F.xxhash64(w)).alias("h"),
-        F.length(F.translate(body, BREAKS, "")).cast("long").alias("word_chars"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        lines.alias("lines"),
-    ))
-    here = F.col(hidden)
-    step = step.withColumn(hidden, F.struct(
-        F.size(here["h"]).cast("long").alias("n_words"), here["word_chars"].alias("word_chars"), here["n_symbols"].alias("n_symbols"),
-        (F.size(here["lines"]) - F.size(F.array_distinct(here["lines"]))).cast("long").alias("n_dup_lines"),
-        _windows(here["h"]).alias("windows"), _score_sum(here["h"], constant(weights)).alias("sum"),
-    ))
-    some = F.size(F.array_distinct(here["windows"])) < F.size(here["windows"])
-    fields = [here[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "sum")]
-    step = step.withColumn(hidden, F.struct(*fields, F.when(some, _ordered(here["windows"])).alias("sorted")))
-    step = step.withColumn(hidden, F.struct(*fields, F.when(here["sorted"].isNotNull(), _repeated(here["sorted"])).alias("at")))
-    step = step.withColumn(hidden, F.struct(*fields, F.when(here["at"].isNotNull(), _covered(here["at"])).otherwise(0).cast("long").alias("n_repeat_words")))
-    failed = (here["n_words"] < 50) | (100 * here["n_repeat_words"] > 50 * here["n_words"])
-    grams = F.greatest(2 * here["n_words"] - 1, F.lit(1))
-    return step.withColumn(into, F.struct(
-        *[here[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        failed.alias("base_failed"), (~failed & (here["sum"] >= F.lit(threshold).cast("decimal(20,0)") * grams)).alias("kept"), (here["sum"] / 1e6 / grams).alias("llr"),
-    )).drop(hidden)
+    """docs with the verdict in a struct column."""
+    return docs.withColumn(into, verdict(text_or_empty(text), weights, threshold))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", into: str = "quality_rules") -> DataFrame:
