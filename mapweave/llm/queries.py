@@ -14,6 +14,7 @@ from mapweave.llm.quality_rules import quality_rules
 from mapweave.llm.sharding import shard
 from mapweave.llm.simhash import near_duplicates
 from mapweave.llm.token_counts import count_tokens
+from mapweave.llm.warc import archive_pages
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "verdict.n_words", "verdict.word_chars", "verdict.n_symbols", "verdict.n_dup_lines", "verdict.n_repeat_words", "verdict.base_failed", "verdict.kept", "verdict.llr")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_fm_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +50,6 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_simhash, op4_packing, op5_quality_rules, op7_fm_classifier, op8_bpe_codec)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_simhash, op4_packing, op5_quality_rules, op6_warc, op7_fm_classifier, op8_bpe_codec)}
 
 ORACLES: dict[str, str] = {}
