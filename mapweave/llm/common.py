@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +90,30 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(each, schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by the first `keys` columns, dealt out anew so that no group of equal keys is cut."""
+    held: list[list] = []  # the last group may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        last = np.logical_and.reduce([c == c[-1] for c in columns[:keys]])
+        if held and last.all() and all(held[0][i][0] == columns[i][0] for i in range(keys)):
+            held.append(columns)
+            continue
+        whole = [np.concatenate([*(h[i] for h in held), c[~last]]) for i, c in enumerate(columns)]
+        if len(whole[0]):
+            yield whole
+        held = [[c[last] for c in columns]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def group_numbers(keys: list[np.ndarray]) -> np.ndarray:
+    """0, 1, ... for each run of equal keys."""
+    return np.cumsum(np.concatenate([[False], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import doc_columns, map_arrow, written
+from mapweave.llm.common import doc_columns, group_numbers, map_arrow, whole_groups, written
 from mapweave.llm.components import connected_components, local_components
 
 #: Parts of the 64 bits; linked pairs agree in all but `bits` of them.
@@ -135,27 +135,9 @@ def links_of(nodes: DataFrame, bits: int = 4) -> DataFrame:
     dealt = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)])).alias("b")).select("b.t", "b.k", "fp")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # the last bucket may go on in the next batch
-
-        def out(t, k, fp):
-            group = np.cumsum(np.concatenate([[False], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]))
-            a, b = bucket_links(group, fp.view(np.uint64), bits)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t, k, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            last = (t == t[-1]) & (k == k[-1])
-            if held and last.all() and (held[0][0][0], held[0][1][0]) == (t[0], k[0]):
-                held.append((t, k, fp))
-                continue
-            whole = [np.concatenate(x) for x in zip(*held, (t[~last], k[~last], fp[~last]), strict=True)]
-            if len(whole[0]):
-                yield out(*whole)
-            held = [(t[last], k[last], fp[last])]
-        if held:
-            yield out(*[np.concatenate(x) for x in zip(*held, strict=True)])
+        for t, k, fp in whole_groups(batches, 2):
+            a, b = bucket_links(group_numbers([t, k]), fp.view(np.uint64), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return dealt.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(each, "a long, b long")
 
