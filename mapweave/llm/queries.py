@@ -10,6 +10,7 @@ from mapweave.llm.bpe_codec import encode_decode
 from mapweave.llm.common import table
 from mapweave.llm.fm_classifier import classify
 from mapweave.llm.itq import near_duplicate_vectors
+from mapweave.llm.katz import score_texts
 from mapweave.llm.packing import pack
 from mapweave.llm.quality_rules import quality_rules
 from mapweave.llm.sharding import shard
@@ -55,6 +56,10 @@ def op9_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_simhash, op4_packing, op5_quality_rules, op6_warc, op7_fm_classifier, op8_bpe_codec, op9_itq)}
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_simhash, op4_packing, op5_quality_rules, op6_warc, op7_fm_classifier, op8_bpe_codec, op9_itq, op10_katz)}
 
 ORACLES: dict[str, str] = {}
