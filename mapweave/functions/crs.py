@@ -130,7 +130,11 @@ class Registry:
 
     def latitude_first(self, text: Column, version: Column | None = None) -> Column:
         """WMS 1.1 is always longitude first, and so is every unknown system."""
-        first = F.coalesce(self.normalise(text).isin(*[c.code for c in self.by_code.values() if c.axis == "latlon"]), F.lit(False))
+        return self.code_latitude_first(self.normalise(text), version)
+
+    def code_latitude_first(self, code: Column, version: Column | None = None) -> Column:
+        """The same for codes that are canonical already, as in layer rows."""
+        first = F.coalesce(code.isin(*[c.code for c in self.by_code.values() if c.axis == "latlon"]), F.lit(False))
         return first if version is None else first & ~F.coalesce(version.isin("1.1.0", "1.1.1"), F.lit(False))
 
     def axis_order(self, text: Column, version: Column | None = None) -> Column:

@@ -15,7 +15,7 @@ def number(x: Column, precision: int | None = None) -> Column:
     if precision is not None:
         return F.format_string(f"%.{precision}f", x)
     whole = (x == F.floor(x)) & (F.abs(x) < 1e18)
-    return F.when(x.isNull(), F.lit(None)).when(whole, x.cast("decimal(20,0)").cast("string")).otherwise(F.regexp_replace(F.format_number(x, "0.################"), ",", ""))
+    return F.when(x.isNull(), F.lit(None)).when(whole, x.cast("decimal(20,0)").cast("string")).otherwise(F.call_function("format_number", x, F.lit("0.################")))
 
 
 @F.arrow_udf(StringType())

@@ -1,4 +1,7 @@
-"""Request URLs of map services as columns."""
+"""Request URLs of map services as columns.
+
+Systems are canonical codes here, as layer rows have them (functions.crs.REGISTRY.normalise makes them from any spelling).
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mapweave.functions.boxes import Box
-from mapweave.functions.crs import REGISTRY, same_codes
+from mapweave.functions.crs import REGISTRY, SAME, same_codes
 from mapweave.functions.mercator import meters_per_pixel, project, project_box, tile_box, tile_box_projected
 from mapweave.functions.text import number
 
@@ -66,15 +69,16 @@ def through_proxy(url: Column, proxy: str | None) -> Column:
 
 
 def format_box(box: Box, crs: Column, version: Column | None = None, precision: int | None = None, separator: str = ",") -> Column:
-    b = box.swapped(REGISTRY.latitude_first(crs, version))
-    return F.concat_ws(separator, *[number(v, precision) for v in (b.w, b.s, b.e, b.n)])
+    swapped = F.array(box.s, box.w, box.n, box.e)
+    ordered = F.when(REGISTRY.code_latitude_first(crs, version), swapped).otherwise(box.array())
+    return F.array_join(F.transform(ordered, lambda v: number(v, precision)), separator)
 
 
 def parse_box(text: Column, crs: Column, version: Column | None = None) -> Column:
     """Struct of the first four numbers, longitude first; null with fewer. Trailing letters after a number are ignored."""
     leading = F.transform(F.split(text, ","), lambda p: F.regexp_extract(F.trim(p), r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", 0))
     numbers = F.transform(F.filter(leading, lambda p: p != ""), lambda p: p.cast("double"))
-    return F.when(F.size(numbers) >= 4, Box.from_array(numbers).swapped(REGISTRY.latitude_first(crs, version)).struct())
+    return F.when(F.size(numbers) >= 4, Box.from_array(numbers).swapped(REGISTRY.code_latitude_first(crs, version)).struct())
 
 
 def get_param(url: Column, name: str) -> Column:
@@ -111,7 +115,12 @@ def _first(values: Column, test) -> Column:
 
 
 def is_mercator(code: Column) -> Column:
-    return REGISTRY.same(code, F.lit(MERCATOR))
+    return code.isin(*SAME[0])
+
+
+def _like(code: Column, wanted: str) -> Column:
+    """Equal or equivalent to a fixed code."""
+    return code.isin(*next((g for g in SAME if wanted in g), [wanted]))
 
 
 def supports_mercator(crs: Column) -> Column:
@@ -119,34 +128,33 @@ def supports_mercator(crs: Column) -> Column:
     return F.exists(crs, is_mercator)
 
 
-def tile_crs(crs: Column, wanted: Column) -> Column:
-    """The service's own spelling of the wanted system if it has it."""
-    code = REGISTRY.normalise(wanted)
-    return F.coalesce(_first(crs, lambda c: same_codes(REGISTRY.normalise(c), code)), code)
+def _is_like(wanted: str):
+    return lambda c: _like(c, wanted)
+
+
+def tile_crs(crs: Column, wanted: Column | str) -> Column:
+    """The service's own code of the wanted system if it has it."""
+    if isinstance(wanted, str):
+        return F.coalesce(_first(crs, lambda c: _like(c, wanted)), F.lit(wanted))
+    return F.coalesce(_first(crs, lambda c: same_codes(c, wanted)), wanted)
 
 
 def reprojection_crs(crs: Column) -> Column:
     """The first system in degrees that the service lists; null if it has none."""
-    def in_degrees(c: Column) -> Column:
-        code = REGISTRY.normalise(c)
-        out = F.lit(False)
-        for d in DEGREES:
-            out = out | same_codes(code, F.lit(d))
-        return out
-
-    return _first(crs, in_degrees)
+    return _first(crs, lambda c: c.isin(*{x for d in DEGREES for g in ([d], *SAME) if d in g for x in g}))
 
 
 def query_crs(crs: Column, wanted: str | None = None) -> Column:
     """For feature information: the wanted system, Mercator, or one in degrees by preference; null if there is none."""
     if wanted:
-        return REGISTRY.normalise(F.lit(wanted))
-    return F.coalesce(_first(crs, is_mercator), *[_first(crs, lambda c, d=d: REGISTRY.same(c, F.lit(d))) for d in DEGREES])
+        return F.lit(wanted)
+    return F.coalesce(_first(crs, is_mercator), *[_first(crs, _is_like(d)) for d in DEGREES])
 
 
 def pick_preferred(available: Column, preferred: list[str], otherwise: str) -> Column:
     """The first format that begins like a preferred one, in order of preference; else the first; else `otherwise`."""
-    hits = [_first(available, lambda f, p=p: F.startswith(F.lower(f), F.lit(p))) for p in preferred]
+    begins = lambda p: lambda f: F.startswith(F.lower(f), F.lit(p))
+    hits = [_first(available, begins(p)) for p in preferred]
     return F.coalesce(*hits, F.get(available, F.lit(0)), F.lit(otherwise))
 
 
@@ -156,7 +164,7 @@ def pick_info_format(available: Column, wanted: str | None = None) -> Column:
 
 def order_crs(available: Column) -> Column:
     """Mercator, then the common systems in degrees, then the rest as listed; Mercator alone if nothing is listed."""
-    first = F.array(*[_first(available, lambda c, p=p: REGISTRY.same(c, F.lit(p))) for p in (MERCATOR, "EPSG:4326", "CRS:84")])
+    first = F.array(*[_first(available, _is_like(p)) for p in (MERCATOR, "EPSG:4326", "CRS:84")])
     ordered = F.array_union(F.filter(first, lambda c: c.isNotNull()), available)
     return F.when(F.size(ordered) > 0, ordered).otherwise(F.array(F.lit(MERCATOR)))
 
@@ -180,13 +188,13 @@ def _map_params(wms: Column, crs: Column, width: Column, height: Column, both_sp
 
 
 def get_map_url(url: Column, wms: Column, box: Box, width: Column, height: Column, crs: Column | None = None, proxy: str | None = None) -> Column:
-    code = tile_crs(wms["crs"], crs if crs is not None else F.lit(MERCATOR))
+    code = tile_crs(wms["crs"], crs if crs is not None else MERCATOR)
     params = _map_params(wms, code, width, height)
     return through_proxy(with_query(url, [*params, ("BBOX", format_box(box, code, wms["version"]))], wms["extraParams"]), proxy)
 
 
 def wms_template(url: Column, wms: Column, crs: str = MERCATOR, proxy: str | None = None) -> Column:
-    code = tile_crs(wms["crs"], F.lit(crs))
+    code = tile_crs(wms["crs"], crs)
     params = _map_params(wms, code, wms["tileSize"], wms["tileSize"])
     return through_proxy(with_query(url, params, wms["extraParams"], [("BBOX", F.lit(PLACEHOLDER))]), proxy)
 
@@ -255,7 +263,7 @@ def tile_url(service: Column, x: Column, y: Column, z: Column, tile: int | None
 
 def get_feature_url(url: Column, wfs: Column, box: Box | None = None, count: int | None = None, cql: str | None = None, properties: list[str] | None = None, sort: str | None = None, output: str | None = None, crs: str | None = None, proxy: str | None = None) -> Column:
     two = wfs["version"] == "2.0.0"
-    code = REGISTRY.normalise(F.lit(crs) if crs else wfs["crs"])
+    code = F.lit(crs) if crs else wfs["crs"]
     limit = F.lit(count) if count is not None else wfs["maxFeatures"]
     params = [
         ("SERVICE", F.lit("WFS")), ("VERSION", wfs["version"]), ("REQUEST", F.lit("GetFeature")), ("TYPENAMES", F.when(two, _list(wfs["typeNames"]))),

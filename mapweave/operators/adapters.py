@@ -138,4 +138,4 @@ def backdrop(spark, url: str, corners: list[tuple[float, float]], attribution: s
 
 def host_allow_list(layers: DataFrame) -> DataFrame:
     """Distinct hosts of the catalogue, which a proxy may pass."""
-    return layers.select(F.expr("parse_url(service.url, 'HOST')").alias("host")).filter("host IS NOT NULL").distinct()
+    return layers.select(F.regexp_extract("service.url", "^[a-zA-Z]+://([^/:?#]+)", 1).alias("host")).filter("host <> ''").distinct()

@@ -14,7 +14,6 @@ from mapweave.schema import EU, LAYER
 
 #: The layer that plays the fallback.
 FALLBACK = "l.000005"
-_TYPES = StructType.fromDDL(LAYER)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +52,7 @@ def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, none = F.concat(F.lit("layer_"), k.cast("string")), F.array().cast("array<string>")
     url = F.concat(F.lit("https://maps.example/"), F.lower("s_name"), F.when(k % 3 == 0, "?").when(k % 3 == 1, "?map=x y").otherwise(""))
     url = F.regexp_replace(url, "#", "-")
-    crs = F.when(k % 5 == 0, F.array(F.lit("EPSG:4326"), F.lit("EPSG:25832"))).otherwise(F.array(F.lit("EPSG:900913"), F.lit("CRS:84")))
+    crs = F.when(k % 5 == 0, F.array(F.lit("EPSG:4326"), F.lit("EPSG:25832"))).otherwise(F.array(F.lit("CRS:84"), F.lit("EPSG:3857")))
     asks, version = k % 3 == 1, F.when(k % 2 == 0, "1.3.0").otherwise("1.1.1")
     wms = F.struct(F.array(name).alias("layers"), none.alias("styles"), F.lit("image/png").alias("format"), F.array(F.lit("text/plain"), F.lit("text/html")).alias("infoFormats"), crs.alias("crs"), version.alias("version"), asks.alias("queryable"), F.lit(True).alias("transparent"), F.lit(256).alias("tileSize"), F.lit(None).alias("time"), F.lit(None).alias("maxWidth"), F.lit(None).alias("maxHeight"), F.lit(None).alias("extraParams"))
     wmts = F.struct(name.alias("layer"), F.lit("grid").alias("tileMatrixSet"), F.lit("default").alias("style"), F.lit("image/jpeg").alias("format"), F.lit("1.0.0").alias("version"), F.lit("KVP").alias("requestEncoding"), F.lit(None).alias("urlTemplate"), F.lit("EPSG:3857").alias("crs"), F.lit(256).alias("tileSize"), F.lit(None).alias("tileMatrixTemplate"), F.lit(None).alias("dimensions"), asks.alias("queryable"), none.alias("infoFormats"))
@@ -68,7 +67,8 @@ def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "resolutionMeters": (1 + k % 7) / 10, "temporal": F.lit(None), "tags": tags, "status": F.when(k % 11 == 0, "experimental").otherwise("active"), "metadataUrl": F.lit(None), "documentationUrl": F.lit(None),
         "lastVerified": F.concat(F.lit("2026-0"), (1 + k % 9).cast("string"), F.lit("-1"), (k % 10).cast("string")), "source_file": F.lit("supplier"), "scope": F.lit("EU"), "ord": k,
     }
-    out = rows.select(*[v.cast(_TYPES[c].dataType).alias(c) for c, v in made.items()])
+    types = StructType.fromDDL(LAYER)  # parsed by the session
+    out = rows.select(*[v.cast(types[c].dataType).alias(c) for c, v in made.items()])
     out = out.withColumn("extents", boxes.extents(F.col("bbox"), F.col("coverage"))).withColumn("is_tiled", is_tiled())
     return out.withColumn("area_km2", F.round(boxes.total_area(F.col("extents")), 6))
 

@@ -107,7 +107,7 @@ for _name, _q, _where in [
     ("find_by_category", Query(category=["orthophoto", "cadastre"], status="active"), "category IN ('orthophoto', 'cadastre') AND status = 'active'"),
     ("find_by_service", Query(service=["WMS", "WFS"]), "type IN ('WMS', 'WFS')"),
     ("find_by_tags", Query(tags=("rgb", "20cm")), "list_contains(tags, 'rgb') AND list_contains(tags, '20cm')"),
-    ("find_by_text", Query(text="  LIST "), "contains(lower(concat_ws(' ', id, title, coalesce(description, ''), coalesce(region_name, ''), s_name, array_to_string(tags, ' '))), 'list')"),
+    ("find_by_text", Query(text="  L.00000 "), "contains(lower(concat_ws(' ', id, title, coalesce(description, ''), coalesce(region_name, ''), s_name, array_to_string(tags, ' '))), 'l.00000')"),
     ("find_by_zoom", Query(zoom=17), "min_zoom <= 17 AND max_zoom >= 17"),
     ("find_by_nuts", Query(nuts="DE1"), "starts_with(coalesce(nuts, nuts0), 'DE1')"),
     ("find_by_country_region", Query(nuts="EL"), "starts_with(coalesce(nuts, nuts0), 'EL')"),
@@ -187,9 +187,9 @@ def winner_conflicts(spark, sf):
 _OUTLINES = """, mid AS (SELECT nk, iso, nk*37 % 60 - 20 AS cx, nk*23 % 30 + 38 AS cy, 2 + nk % 4 AS r FROM nation JOIN codes ON n_nationkey = nk),
 ring AS (SELECT nk, iso, 0 AS ring, i, cx + r * a / 4 AS x, cy + r * b / 4 AS y FROM mid, (VALUES (0, 4, 0), (1, 3, 3), (2, 0, 4), (3, -3, 2), (4, -4, 0), (5, -2, -3), (6, 0, -4), (7, 3, -2)) c(i, a, b)
   UNION ALL SELECT nk, iso, 1, i, cx + a / 4, cy + b / 4 FROM mid, (VALUES (0, -2, -2), (1, 2, -2), (2, 2, 2), (3, -2, 2)) c(i, a, b) WHERE nk % 3 = 0),
-edges AS (SELECT nk, iso, ring, x AS bx, y AS by, coalesce(lag(x) OVER q, last_value(x) OVER (PARTITION BY nk, ring ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS ax,
-  coalesce(lag(y) OVER q, last_value(y) OVER (PARTITION BY nk, ring ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS ay FROM ring WINDOW q AS (PARTITION BY nk, ring ORDER BY i)),
-crossed AS (SELECT pid, nk, iso, ring, count(*) FILTER ((by > lat) <> (ay > lat) AND lng < (ax - bx) * (lat - by) / (ay - by) + bx) % 2 = 1 AS inside FROM pts, edges GROUP BY pid, nk, iso, ring),
+edges AS (SELECT nk, iso, ring, x AS qx, y AS qy, coalesce(lag(x) OVER q, last_value(x) OVER (PARTITION BY nk, ring ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS px,
+  coalesce(lag(y) OVER q, last_value(y) OVER (PARTITION BY nk, ring ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS py FROM ring WINDOW q AS (PARTITION BY nk, ring ORDER BY i)),
+crossed AS (SELECT pid, nk, iso, ring, count(*) FILTER ((qy > lat) <> (py > lat) AND lng < (px - qx) * (lat - qy) / (py - qy) + qx) % 2 = 1 AS inside FROM pts, edges GROUP BY pid, nk, iso, ring),
 strict AS (SELECT pid, arg_min(iso, nk) AS country FROM (SELECT pid, nk, iso, bool_or(inside AND ring = 0) AS within, bool_or(inside AND ring = 1) AS in_hole FROM crossed GROUP BY pid, nk, iso) WHERE within AND NOT in_hole GROUP BY pid)"""
 
 
@@ -198,8 +198,9 @@ def country_at_strict(spark, sf):
     return country.country_at(points(spark, sf), outlines(spark, sf), ["pid"], 0).select("pid", "country")
 
 
-@query(_OUTLINES + """, near AS (SELECT pid, nk, iso, min(pow(wx - t*dx, 2) + pow(wy - t*dy, 2)) AS d FROM (SELECT *, CASE WHEN dx*dx + dy*dy > 0 THEN greatest(0.0, least(1.0, (wx*dx + wy*dy) / (dx*dx + dy*dy))) ELSE 0.0 END AS t FROM (
-  SELECT pid, nk, iso, (bx - ax) * cos(radians(lat)) AS dx, by - ay AS dy, (lng - ax) * cos(radians(lat)) AS wx, lat - ay AS wy FROM pts, edges WHERE ring = 0)) GROUP BY pid, nk, iso),
+@query(_OUTLINES + """, hull AS (SELECT nk, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ring WHERE ring = 0 GROUP BY nk),
+near AS (SELECT pid, nk, iso, min(pow(wx - t*dx, 2) + pow(wy - t*dy, 2)) AS d FROM (SELECT *, CASE WHEN dx*dx + dy*dy > 0 THEN greatest(0.0, least(1.0, (wx*dx + wy*dy) / (dx*dx + dy*dy))) ELSE 0.0 END AS t FROM (
+  SELECT pid, nk, iso, (qx - px) * cos(radians(lat)) AS dx, qy - py AS dy, (lng - px) * cos(radians(lat)) AS wx, lat - py AS wy FROM pts, edges JOIN hull USING (nk) WHERE ring = 0 AND lng BETWEEN x0 - 60.0/111 AND x1 + 60.0/111 AND lat BETWEEN y0 - 60.0/111 AND y1 + 60.0/111)) GROUP BY pid, nk, iso),
 best AS (SELECT pid, arg_min(iso, struct_pack(d := round(d, 12), nk := nk)) AS iso, min(d) AS d FROM near GROUP BY pid)
 SELECT pid, coalesce(country, CASE WHEN d <= pow(60.0/111, 2) THEN iso END) AS country FROM pts LEFT JOIN strict USING (pid) LEFT JOIN best USING (pid)""", "pts")
 def country_at_tolerant(spark, sf):
@@ -287,11 +288,11 @@ def tile_of_point(spark, sf):
     return _tiles(spark, sf).select("pid", "x", "y")
 
 
-@query(f"""SELECT pid, round(x * 360 / 16384 - 180, 6) AS w, round(degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / 16384)))), 6) AS s, round((x + 1) * 360 / 16384 - 180, 6) AS e, round(degrees(atan(sinh(pi() * (1 - 2 * y / 16384)))), 6) AS n
+@query(f"""SELECT pid, round(x * 360 / 16384 - 180 + 1e-9, 6) AS w, round(degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / 16384)))) + 1e-9, 6) AS s, round((x + 1) * 360 / 16384 - 180 + 1e-9, 6) AS e, round(degrees(atan(sinh(pi() * (1 - 2 * y / 16384)))) + 1e-9, 6) AS n
   FROM (SELECT pid, {_TILE} FROM pts)""", "pts")
 def tile_bbox(spark, sf):
     b = mercator.tile_box(F.col("x"), F.col("y"), F.col("z"))
-    return _tiles(spark, sf).select("pid", *[F.round(v, 6).alias(c) for c, v in (("w", b.w), ("s", b.s), ("e", b.e), ("n", b.n))])
+    return _tiles(spark, sf).select("pid", *[F.round(v + 1e-9, 6).alias(c) for c, v in (("w", b.w), ("s", b.s), ("e", b.e), ("n", b.n))])
 
 
 @query("SELECT pid, round(6378137 * radians(lng), 4) AS mx, round(6378137 * ln(tan(pi()/4 + radians(lat)/2)), 4) AS my, round(lng, 6) AS lng, round(lat, 6) AS lat FROM pts", "pts")
@@ -367,10 +368,16 @@ def mosaic_ranked(spark, sf):
     return ranking.mosaic_order(layers(spark, sf)).select("id", "mosaic_ord")
 
 
-@query(""", best AS (SELECT pid, lat, coalesce((SELECT k FROM cov WHERE cov.pid = pts.pid AND category IN ('orthophoto', 'satellite') AND type <> 'WFS' AND status = 'active' AND NOT list_contains(tags, 'alternative') AND id <> 'l.000005' ORDER BY area_km2, k LIMIT 1), 5) AS k FROM pts)
-SELECT pid, round(least(22, max_zoom, greatest(12, log2(2*pi()*6378137 / (256 * resolution)) + log2(cos(radians(lat))) + 1)), 6) AS detail_zoom FROM best JOIN lay USING (k)""", "cov")
+_DEEP = 2**21
+
+
+@query(f""", deep AS (SELECT pid, lat AS plat, floor((lng + 180) / 360 * {_DEEP}) AS x, floor((0.5 - ln((1 + {_SIN}) / (1 - {_SIN})) / (4 * pi())) * {_DEEP}) AS y FROM pts),
+mid AS (SELECT pid, plat, (x + 0.5) * 360 / {_DEEP} - 180 AS lng, (degrees(atan(sinh(pi() * (1 - 2 * y / {_DEEP})))) + degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / {_DEEP}))))) / 2 AS lat FROM deep),
+near AS (SELECT pid, arg_min(l.k, struct_pack(a := area_km2, k := l.k)) AS k FROM mid m JOIN ext b ON m.lng BETWEEN b.w AND b.e AND m.lat BETWEEN b.s AND b.n JOIN lay l ON l.k = b.k
+  WHERE category IN ('orthophoto', 'satellite') AND type <> 'WFS' AND status = 'active' AND NOT list_contains(tags, 'alternative') AND id <> 'l.000005' GROUP BY pid),
+best AS (SELECT m.pid, plat, coalesce(near.k, 5) AS k FROM mid m LEFT JOIN near ON near.pid = m.pid)
+SELECT pid, round(least(22, max_zoom, greatest(12, log2(2*pi()*6378137 / (256 * resolution)) + log2(cos(radians(plat))) + 1)), 6) AS detail_zoom FROM best JOIN lay USING (k)""", "pts", "lay")
 def detail_zoom(spark, sf):
-    """Asked at the points themselves: their tiles at the deepest zoom are a few metres wide."""
     rows = mosaic.detail_zoom(points(spark, sf), _single_country(_candidates(spark, sf)), layers(spark, sf), FALLBACK, ["pid"])
     return rows.select("pid", F.round("detail_zoom", 6).alias("detail_zoom"))
 
@@ -415,7 +422,7 @@ def stitch_children(spark, sf):
 
 # Spellings and what they mean: authority, identifier, canonical code, latitude first.
 SPELLINGS = [
-    ("EPSG:4326", "EPSG", "4326", "EPSG:4326", True), ("urn:ogc:def:crs:EPSG::4326", "EPSG", "4326", "EPSG:4326", True), ("urn:x-ogc:def:crs:EPSG:6.9:3035", None, None, "URN:X-OGC:DEF:CRS:EPSG:6.9:3035", False),
+    ("EPSG:4326", "EPSG", "4326", "EPSG:4326", True), ("urn:ogc:def:crs:EPSG::4326", "EPSG", "4326", "EPSG:4326", True), ("urn:x-ogc:def:crs:EPSG:6.9:3035", "EPSG", "3035", "EPSG:3035", True),
     ("http://www.opengis.net/def/crs/EPSG/0/25832", "EPSG", "25832", "EPSG:25832", False), ("http://www.opengis.net/gml/srs/epsg.xml#4258", "EPSG", "4258", "EPSG:4258", True), ("epsg::900913", "EPSG", "900913", "EPSG:3857", False),
     ("102100", "EPSG", "102100", "EPSG:3857", False), ("EPSG3857", "EPSG", "3857", "EPSG:3857", False), ("CRS84", "CRS", None, "CRS:84", False), ("OGC:CRS84", "OGC", "CRS84", "CRS:84", False),
     ("urn:ogc:def:crs:OGC:1.3:CRS84", "OGC", "CRS84", "CRS:84", False), ("IGNF:LAMB93", "IGNF", "LAMB93", "IGNF:LAMB93", False), (" wgs  84 ", None, None, "EPSG:4326", True), ("junk", None, None, "JUNK", False), ("EPSG:6706", "EPSG", "6706", "EPSG:6706", True),
@@ -438,9 +445,9 @@ def crs_normalize(spark, sf):
     return _spellings(spark).select("i", "name", REGISTRY.normalise(F.col("name")).alias("code"), REGISTRY.latitude_first(F.col("name")).alias("first"))
 
 
-@query("SELECT i::BIGINT AS i, authority, identifier FROM (VALUES " + ", ".join(f"({i}, {_text(s[1])}, {_text(s[2])})" for i, s in enumerate(SPELLINGS) if s[0] not in ("CRS84", "urn:x-ogc:def:crs:EPSG:6.9:3035")) + ") t(i, authority, identifier)")
+@query("SELECT i::BIGINT AS i, authority, identifier FROM (VALUES " + ", ".join(f"({i}, {_text(s[1])}, {_text(s[2])})" for i, s in enumerate(SPELLINGS) if s[0] != "CRS84") + ") t(i, authority, identifier)")
 def crs_parse(spark, sf):
-    rows = _spellings(spark).filter(~F.col("name").isin("CRS84", "urn:x-ogc:def:crs:EPSG:6.9:3035"))
+    rows = _spellings(spark).filter("name <> 'CRS84'")
     return rows.select("i", REGISTRY.parse(F.col("name")).alias("p")).select("i", "p.authority", "p.identifier")
 
 
@@ -536,7 +543,7 @@ def query_url(spark, sf):
 
 
 @query(f"""SELECT id, {_URL} || {_JOIN} || 'SERVICE=WMS&VERSION=' || v || '&REQUEST=GetMap&LAYERS=layer_' || k || '&STYLES=&FORMAT=image%2Fpng&TRANSPARENT=TRUE&WIDTH=256&HEIGHT=256&SRS=' || c || '&CRS=' || c || '&BBOX={{bbox-epsg-3857}}' AS url
-  FROM (SELECT *, CASE WHEN k % 2 = 0 THEN '1.3.0' ELSE '1.1.1' END AS v, CASE WHEN k % 5 = 0 THEN 'EPSG:3857' ELSE 'EPSG:900913' END AS c FROM lay WHERE type = 'WMS')""", "lay")
+  FROM (SELECT *, CASE WHEN k % 2 = 0 THEN '1.3.0' ELSE '1.1.1' END AS v, 'EPSG:3857' AS c FROM lay WHERE type = 'WMS')""", "lay")
 def getmap_url(spark, sf):
     return layers(spark, sf).filter("service.type = 'WMS'").select("id", urls.wms_template(F.col("service.url"), F.col("service.wms")).alias("url"))
 
@@ -573,9 +580,9 @@ def map_requests(spark, sf):
     return rows.select("id", urls.tile_url(s, x, y, F.lit(10)).alias("map"), urls.legend_url(s["url"], s["wms"]).alias("legend"), urls.feature_info_url(s["url"], s["wms"], lng, lat).alias("info"))
 
 
-@query("""SELECT pid, least(greatest(floor((lng + 30) / 80 * 800 + 0.5), 0), 799)::INT AS i FROM pts""", "pts")
+@query("""SELECT pid, least(greatest(floor((lng + 30.00037) / 80 * 800 + 0.5), 0), 799)::INT AS i FROM pts""", "pts")
 def click_pixel(spark, sf):
-    w = urls.click_window(F.col("lng"), F.col("lat"), Box.at((-30.0, 30.0, 50.0, 75.0)), 800, 600)
+    w = urls.click_window(F.col("lng"), F.col("lat"), Box.at((-30.00037, 30.0, 49.99963, 75.0)), 800, 600)
     return points(spark, sf).select("pid", w["i"].alias("i"))
 
 
@@ -716,9 +723,9 @@ def confirmed_areas(spark, sf):
     return state.confirmed_here(tile_log(spark, sf), F.col("outcome") == "served").select("seq", "is_confirmed_here")
 
 
-@query("SELECT layer_id AS id, (x >> (z - 12)) || '/' || (y >> (z - 12)) AS area FROM log GROUP BY ALL HAVING max(outcome = 'blank') AND NOT max(outcome = 'served')", "log")
+@query("SELECT layer_id AS id, (x >> (z - 12)) || '/' || (y >> (z - 12)) AS area FROM log GROUP BY ALL HAVING max(outcome = 'blank') AND NOT max(outcome = 'served' AND seq % 9 = 0)", "log")
 def empty_areas(spark, sf):
-    return state.empty_areas(tile_log(spark, sf), F.col("outcome") == "blank", F.col("outcome") == "served")
+    return state.empty_areas(tile_log(spark, sf), F.col("outcome") == "blank", (F.col("outcome") == "served") & (F.col("seq") % 9 == 0))
 
 
 @query("SELECT layer_id, max(ts) AS used_at FROM log WHERE outcome = 'served' GROUP BY layer_id HAVING max(ts) >= (SELECT max(ts) FROM log) - INTERVAL 7200 SECOND", "log")
