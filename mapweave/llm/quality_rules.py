@@ -116,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not target_sum:
         return [0] * n, -(1 << 62)
     weights = [round(1e6 * math.log((t + n * r / raw_sum) / (target_sum + n) / (r / raw_sum))) for r, t in zip(raw, target, strict=True)]
-    held = _hashed(docs, key, text).join(trusted.filter("held"), "k").filter(F.size("h") >= 50)
+    # the join comes first, so that only its rows are hashed
+    held = _hashed(docs.withColumn("__k", F.col(key).cast("long")).join(trusted.filter("held").withColumnRenamed("k", "__k"), "__k", "left_semi"), key, text).filter(F.size("h") >= 50)
     mean = F.floor(_score_sum(F.col("h"), constant(weights)) / (2 * F.size("h") - 1) / 1000)
     spread = sorted((r["at"], r["n"]) for r in held.select(mean.alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect())
     below, allowed = 0, LOW_SHARE * sum(k for _, k in spread)
