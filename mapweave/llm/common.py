@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -53,11 +55,11 @@ def release(spark: SparkSession, path: str) -> None:
         return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives the loss of any executor."""
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """df as a table in the shared folder (in folders by the columns `by`): cuts the lineage, and survives the loss of any executor."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*(by or [])).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
@@ -68,11 +70,10 @@ def drop_written(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files of finished steps; it acts when the driver collects garbage."""
-    import gc
-
+    """Lets Spark's cleaner remove shuffle files of finished steps: it acts on what the driver's garbage collection finds, a moment later."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def text_or_empty(text: str = "text") -> Column:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.llm.common import doc_columns, drop_written, free_shuffles, map_arrow, whole_groups, written
+from mapweave.llm.common import release as release_path
 from mapweave.llm.fm_classifier import remainder
 
 #: Tokens to a chunk; entries to a partition of words or pairs.
@@ -39,6 +40,10 @@ END = b"\n"
 NONE, START = np.uint64((1 << 63) + 1), np.uint64((1 << 63) + 2)
 
 
+#: Columns of a chunk that its evaluation needs; what it was told stands in the first of them, in rows of other kinds.
+PARTS_OF_CHUNK = ["ids", "nulls", "sizes", "held", "tokens", "place"]
+
+
 def squeeze(a: np.ndarray) -> bytes:
     """An array as compressed bytes, equal byte places together."""
     import zstandard
@@ -111,7 +116,7 @@ class Unigrams:
 
 
 def chunks(docs: DataFrame, key: str, text: str, by: int, held_out: int) -> DataFrame:
-    """A row for each chunk: its documents, the hashes and training counts of its words, and its tokens as numbers of words."""
+    """Two rows for each chunk: its documents and their tokens as numbers of words (kind text), and the hashes and training counts of its words (kind words)."""
     rows = doc_columns(docs, key, text).withColumn("held", F.coalesce(remainder("doc_id", by) == held_out, F.lit(False)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +124,7 @@ def chunks(docs: DataFrame, key: str, text: str, by: int, held_out: int) -> Data
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 24
-        names = ["chunk", "words", "docs", "ids", "nulls", "sizes", "held", "vocab", "counts", "tokens", "place"]
+        names = ["kind", "chunk", "words", "docs", *PARTS_OF_CHUNK, "vocab", "counts"]
 
         class Index(dict):
             def __missing__(self, word: bytes) -> int:
@@ -139,9 +144,11 @@ def chunks(docs: DataFrame, key: str, text: str, by: int, held_out: int) -> Data
             train = ~np.repeat(np.array(held, bool), sizes)
             counts = np.bincount(place[t[train]], minlength=len(vocab)).astype(np.uint32)
             known = np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8)
-            values = [first + made, len(vocab), len(ids), squeeze(known[0]), squeeze(known[1]), squeeze(np.array(sizes, np.uint32)), squeeze(np.array(held, np.uint8)), squeeze(_steps(vocab)), squeeze(counts), squeeze(t), squeeze(place.astype(np.uint32))]
-            kinds = [pa.int64()] * 3 + [pa.binary()] * 8
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+            parts = [squeeze(known[0]), squeeze(known[1]), squeeze(np.array(sizes, np.uint32)), squeeze(np.array(held, np.uint8)), squeeze(t), squeeze(place.astype(np.uint32))]
+            asked = [squeeze(_steps(vocab)), squeeze(counts)]
+            kinds = [pa.string()] + [pa.int64()] * 3 + [pa.binary()] * 8
+            rows = [("text", first + made, len(vocab), len(ids), *parts, None, None), ("words", first + made, len(vocab), len(ids), *[None] * 6, *asked)]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
             for doc, value, out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -159,7 +166,7 @@ def chunks(docs: DataFrame, key: str, text: str, by: int, held_out: int) -> Data
         if ids:
             yield row()
 
-    return rows.mapInArrow(each, "chunk long, words long, docs long, ids binary, nulls binary, sizes binary, held binary, vocab binary, counts binary, tokens binary, place binary")
+    return rows.mapInArrow(each, "kind string, chunk long, words long, docs long, " + ", ".join(f"{c} binary" for c in [*PARTS_OF_CHUNK, "vocab", "counts"]))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -253,10 +260,6 @@ ASKED_PAIRS = "q long, chunk long, first binary, second binary, count binary, n
 TOLD_PAIRS = "chunk long, q long, pairs binary, types binary, sums binary, few array<long>"
 
 
-#: Columns of a chunk that its evaluation needs; what it was told stands in the first of them, in rows of other kinds.
-PARTS_OF_CHUNK = ["ids", "nulls", "sizes", "held", "tokens", "place"]
-
-
 def _joined(table: DataFrame, told: list[DataFrame], n_chunks: int) -> DataFrame:
     """All rows of a chunk together, its own row first."""
     all_ = table.select("chunk", F.lit(0).cast("long").alias("kind"), F.lit(-1).cast("long").alias("part"), *PARTS_OF_CHUNK)
@@ -399,10 +402,12 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", by: in
     Learns from rows whose key's crc32 modulo `by` is not held_out (null keys learn, too).
     """
     spark = docs.sparkSession
-    table = written(chunks(docs, key, text, by, held_out), "chunks")
+    both = written(chunks(docs, key, text, by, held_out), "chunks", ["kind"])
+    table, asked = (both.filter(F.col("kind") == k) for k in ("text", "words"))
     size = table.agg(F.count("*").alias("chunks"), F.sum("words").alias("words"), F.sum("docs").alias("docs")).first()
     n_chunks, n_docs = max(size["chunks"], 1), size["docs"] or 0
-    words = written(count_words(table, max(0, ((size["words"] or 0) // WORDS).bit_length())), "words")
+    words = written(count_words(asked, max(0, ((size["words"] or 0) // WORDS).bit_length())), "words")
+    release_path(spark, f"{both.written_path}/kind=words")
     free_shuffles(spark)
     sums = sorted((r["p"], r["sums"]) for r in words.filter("chunk = -1").select("p", "sums").collect())
     base, n_types, totals = {}, 0, [0] * (LOW + 3)
@@ -423,6 +428,6 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", by: in
     wide = spread_contexts(pairs)
     told_pairs = pairs.filter("chunk >= 0").select("chunk", "q", "pairs", "types", "sums")
     out = written(score_chunks(_joined(table, [told_words, told_pairs], n_chunks), base, parts, hot, n_docs, unigrams, n_tokens, discount, wide), "scores")
-    for t in (table, words, pairs):
+    for t in (both, words, pairs):
         drop_written(t)
     return out
