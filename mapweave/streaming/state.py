@@ -166,23 +166,28 @@ class FailureMemory(StatefulProcessor):
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def _timed(log: DataFrame) -> DataFrame:
+    """Event time with a zone, as watermarks need it."""
+    return log.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def failing_stream(log: DataFrame, ttl: int = FAILURE_TTL) -> DataFrame:
     """A stream of (layer_id, seq, ts, failed) to (layer_id, seq, ts, is_failing); rows of a micro-batch are taken in order of time. Needs STATE_STORE."""
-    return log.select("layer_id", "seq", "ts", "failed").groupBy("layer_id").transformWithStateInPandas(FailureMemory(ttl), "layer_id string, seq long, ts timestamp, is_failing boolean", "Append", "None")
+    return _timed(log).select("layer_id", "seq", "ts", "failed").groupBy("layer_id").transformWithStateInPandas(FailureMemory(ttl), "layer_id string, seq long, ts timestamp, is_failing boolean", "Append", "None")
 
 
 def distinct_stream(log: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """A stream of requests with each tile asked once within the watermark."""
-    return log.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["z", "x", "y"])
+    return _timed(log).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["z", "x", "y"])
 
 
 def usage_stream(log: DataFrame, every: str = "1 minute", delay: str = WATERMARK) -> DataFrame:
     """Serves and last use of each layer by window of event time."""
-    counted = log.withWatermark("ts", delay).groupBy(F.window("ts", every).alias("w"), "layer_id").agg(F.count("*").alias("served"), F.max("ts").alias("used_at"))
+    counted = _timed(log).withWatermark("ts", delay).groupBy(F.window("ts", every).alias("w"), "layer_id").agg(F.count("*").alias("served"), F.max("ts").alias("used_at"))
     return counted.select(F.col("w.start").alias("begun"), "layer_id", "served", "used_at")
 
 
 def blank_blocks_stream(log: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """A stream of log rows with `blank` to the blocks found blank, each told once within the watermark."""
-    keyed = log.filter("blank").withColumn("block", block_key(F.col("x"), F.col("y"), F.col("z")))
+    keyed = _timed(log).filter("blank").withColumn("block", block_key(F.col("x"), F.col("y"), F.col("z")))
     return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["layer_id", "block"]).select("layer_id", "block", "ts")
