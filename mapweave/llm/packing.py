@@ -2,14 +2,14 @@
 
 Each document, its token ids and an end id, is cut into full sequences and one remainder. Remainders are counted by length
 class (UNIT tokens wide). A linear program over patterns (which classes share a sequence) covers the histogram with the
-fewest sequences: its patterns are generated as needed by a knapsack dynamic program priced with the dual values, until
-the bound shows that no more than GAP is to be gained. Copies of patterns are rounded down, and the n-th document of a
+fewest sequences: its patterns are generated as needed by a knapsack dynamic program priced with (steadied) dual values,
+until the bound shows that no more than GAP is to be gained. Copies of patterns are rounded down, and the n-th document of a
 class, by rank, goes where the n-th place for that class is.
 
 Remainders without a place (rounding, and patterns with much room left) are laid end to end and cut at every full
 sequence; what is left in the end is cut into powers of two, which need no padding.
 
-Only the histogram (a row for each class) and the patterns, at most one for each class, come to the driver. Ranks and running sums are made
+Only the histogram (a row for each class) and the patterns, a few for each class at most, come to the driver. Ranks and running sums are made
 within hash buckets of rows and set off by sums over buckets, so a class that holds a third of all rows is no single task.
 Null texts are empty (one token, the end id). Repeated rows are packed as often as they occur; an empty table gives no
 rows; other columns are left alone.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from mapweave.llm.common import byte_chars, doc_columns, map_arrow, tokenizer, tokenizer_path, written
 from mapweave.llm.token_counts import PRE_TOKENS
 
-#: Tokens to a length class; largest share by which the patterns may miss the bound; room above which a pattern isn't used.
-UNIT, GAP, ROOM = 4, 0.001, 1 / 64
+#: Tokens to a length class; largest share by which the patterns may miss the bound; room above which a pattern isn't used; weight of the duals in prices.
+UNIT, GAP, ROOM, STEADY = 8, 0.001, 1 / 64, 0.1
 #: Rows to a bucket, and rows up to which documents to be cut are looked up by broadcast.
 BUCKET, BROADCAST = 100_000, 50_000
 
@@ -83,20 +83,34 @@ def cutting_stock(histogram: dict[int, int], room: int) -> list[tuple[dict[int,
         return []
     need = np.array([histogram[s] for s in sizes], float)
     fits = room // sizes
-    columns = np.diag(fits.astype(float))  # of the basis: pattern j is column j
+    columns, cost = np.diag(fits.astype(float)), np.ones(len(sizes))  # of the basis: pattern j is column j
     inverse, x = np.diag(1.0 / fits), need / fits
-    dual = inverse.sum(axis=0)
+    dual, bound = inverse.sum(axis=0), 0.0
     for _ in range(30 * len(sizes)):
-        value, new = price(sizes, np.maximum(dual, 0), room)
-        if value <= 1 + GAP:
-            break
+        worst = int(dual.argmin())
+        if dual[worst] < -1e-9:  # more of a class than there is costs nothing: its places stay empty
+            new, c = np.zeros(len(sizes)), 0.0
+            new[worst] = -1
+        else:
+            c = 1.0
+            for share in (STEADY, 0.6, 1.0):
+                # duals leap about; sizes over room are near the best ones, so prices lean to them as long as they find a better pattern
+                priced = share * dual + (1 - share) * sizes / room
+                value, new = price(sizes, np.maximum(priced, 0), room)
+                bound = max(bound, float(np.maximum(priced, 0) @ need) / max(value, 1))
+                if float(dual @ new) > 1 + 1e-9:
+                    break
+            else:
+                break
+            if x @ cost <= bound * (1 + GAP):
+                break
         step = inverse @ new
         up = step > 1e-9
         if not up.any():
             break
         ratio = np.where(up, x / np.where(up, step, 1), np.inf)
         out = int(ratio.argmin())
-        gain = 1 - float(dual @ new)
+        gain = c - float(dual @ new)
         row = inverse[out] / step[out]
         touched = np.flatnonzero(np.abs(step) > 1e-12)
         inverse[touched] -= step[touched, None] * row[None, :]
@@ -104,11 +118,13 @@ def cutting_stock(histogram: dict[int, int], room: int) -> list[tuple[dict[int,
         x = np.maximum(x - ratio[out] * step, 0)
         x[out] = ratio[out]
         dual = dual + gain * row
-        columns[:, out] = new
+        columns[:, out], cost[out] = new, c
     left, found = need.copy(), []
     for j in np.argsort(-x, kind="stable"):
         a = columns[:, j]
         on = a > 0
+        if not cost[j]:
+            continue
         copies = int(min(np.floor(x[j] + 1e-6), np.floor((left[on] / a[on]).min())))
         if copies > 0 and room - float(a @ sizes) <= ROOM * room:
             left -= copies * a
@@ -116,6 +132,21 @@ def cutting_stock(histogram: dict[int, int], room: int) -> list[tuple[dict[int,
     return found
 
 
+def cover(histogram: dict[int, int], room: int, rounds: int = 3) -> list[tuple[dict[int, int], int]]:
+    """Patterns for the histogram, then for what rounding down has left of it, while that is over a hundredth."""
+    left, found = dict(histogram), []
+    whole = sum(s * n for s, n in left.items())
+    for _ in range(rounds):
+        new = cutting_stock(left, room)
+        for pattern, copies in new:
+            for size, k in pattern.items():
+                left[size] -= k * copies
+        found += new
+        if not new or sum(s * n for s, n in left.items()) <= 0.01 * whole:
+            break
+    return found
+
+
 def places(patterns: list[tuple[dict[int, int], int]]) -> tuple[dict[int, tuple[np.ndarray, ...]], int]:
     """By class: first ranks of its runs of places, each run's first sequence, places to a sequence and first slot; and the number of sequences."""
     runs: dict[int, list] = {}
@@ -169,7 +200,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     sums = written(rows.groupBy("bucket", "class").agg(F.count("*").alias("n"), F.sum("full").alias("full")), "class-sums")
     histogram = {r["class"]: r["n"] for r in sums.groupBy("class").agg(F.sum("n").alias("n")).collect()}
     n_full = sums.agg(F.sum("full")).first()[0] or 0
-    table, n_packed = places(cutting_stock({c: n for c, n in histogram.items() if c}, room // UNIT))
+    table, n_packed = places(cover({c: n for c, n in histogram.items() if c}, room // UNIT))
 
     before = (Window.unboundedPreceding, -1)
     of_class = sums.select("bucket", "class", F.coalesce(F.sum("n").over(Window.partitionBy("class").orderBy("bucket").rowsBetween(*before)), F.lit(0)).alias("class_before"))
