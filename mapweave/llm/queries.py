@@ -62,4 +62,17 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_simhash, op4_packing, op5_quality_rules, op6_warc, op7_fm_classifier, op8_bpe_codec, op9_itq, op10_katz)}
 
-ORACLES: dict[str, str] = {}
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Twenty bits of the hexadecimal digest at a time, as four characters.
+_DIGITS = " || ".join(f"substr('{_BASE32}', ((('0x' || substr(h, {5 * g + 1}, 5))::INT >> {15 - 5 * i}) & 31) + 1, 1)" for g in range(8) for i in range(4))
+
+#: SQL of the queries that it can express. The others need XXH64, tokenizers, fitted models, or a search for boundaries or patterns.
+ORACLES: dict[str, str] = {
+    "op6_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+SELECT page_id, strlen(html) AS payload_bytes, {_DIGITS} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM p""",
+    "op9_itq": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM pairs WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM low""",
+}
