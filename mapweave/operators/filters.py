@@ -88,6 +88,11 @@ def find(layers: DataFrame, query: Query) -> DataFrame:
     return layers.filter(query.condition())
 
 
+def search(layers: DataFrame, words: str) -> DataFrame:
+    """Free text as the layer list searches it: without descriptions."""
+    return layers.filter(F.contains(haystack(with_description=False), F.lit(words.strip().lower())))
+
+
 def imagery_candidates(layers: DataFrame, include_inactive: bool = False, excluded_tags: tuple[str, ...] = ("alternative",)) -> DataFrame:
     """Imagery that a mosaic may draw."""
     out = layers.filter(F.col("category").isin("orthophoto", "satellite") & ~F.col("service.type").isin("WFS", "COG"))

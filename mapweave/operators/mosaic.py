@@ -129,3 +129,22 @@ def mosaic_attribution(candidates: DataFrame, layers: DataFrame, fallback: str |
     if fallback:
         rows = rows.unionByName(layers.filter(F.col("id") == fallback).withColumn("ord", F.lit(1 << 40)))
     return credits(rows, html=html)
+
+
+def active_attribution(active: DataFrame, layers: DataFrame, fallback: str | None, html: bool = True) -> DataFrame:
+    """One row: credits of the sources in use (layer_id, used_at), the latest first; of the fallback if there are none."""
+    from mapweave.functions.text import credits
+
+    used = layers.join(F.broadcast(active.select(F.col("layer_id").alias("id"), F.unix_micros(F.col("used_at").cast("timestamp")).alias("at"))), "id")
+    now = credits(used.withColumn("ord", -F.col("at")), html=html)
+    base = credits(layers.filter(F.col("id") == (fallback or "")), html=html).withColumnRenamed("attribution", "base")
+    return now.join(base).select(F.when(F.col("attribution") != "", F.col("attribution")).otherwise(F.col("base")).alias("attribution"))
+
+
+def walk(places: DataFrame, zooms: list[int], candidates: DataFrame, fallback: str | None, **options) -> DataFrame:
+    """places (name, lng, lat) at each zoom: the tile there and the sources that would be tried, in order."""
+    z = F.explode(F.array(*[F.lit(int(v)) for v in zooms]))
+    at = places.select("name", "lng", "lat", z.alias("z"))
+    x, y = mercator.tile_of(F.col("lng"), F.col("lat"), F.col("z"))
+    at = at.withColumn("x", x).withColumn("y", y).select("name", "z", "x", "y")
+    return at.join(select(at.select("z", "x", "y").distinct(), candidates, fallback, **options), ["z", "x", "y"])

@@ -120,6 +120,11 @@ for _name, _q, _where in [
     QUERIES[_name], ORACLES[_name] = _find(_q), sql(_FOUND + _where, "lay")
 
 
+@query("SELECT id FROM lay WHERE contains(lower(concat_ws(' ', id, title, coalesce(region_name, ''), s_name, array_to_string(tags, ' '))), 'rgb')", "lay")
+def search_list(spark, sf):
+    return filters.search(layers(spark, sf), " RGB ").select("id")
+
+
 @query("SELECT id, title FROM lay WHERE id = 'l.000007'", "lay")
 def get_layer(spark, sf):
     return filters.get(layers(spark, sf), "l.000007").select("id", "title")
@@ -418,6 +423,22 @@ def stitch_children(spark, sf):
     return mosaic.child_tiles(_few(spark, sf)).select("pid", F.col("quadrant").cast("long").alias("quadrant"), "cx", "cy", "cz")
 
 
+@query(""", used AS (SELECT layer_id, max(ts) AS used_at FROM log WHERE outcome = 'served' GROUP BY layer_id HAVING max(ts) >= (SELECT max(ts) FROM log) - INTERVAL 7200 SECOND),
+lines AS (SELECT attribution || CASE WHEN license_id = 'unknown' THEN '' WHEN license_id = 'custom' THEN ' (Open licence)' ELSE ' (CC-BY-4.0)' END AS line, max(used_at) AS latest, min(k) AS k FROM lay JOIN used ON layer_id = id GROUP BY 1)
+SELECT string_agg(line, ' | ' ORDER BY latest DESC) AS attribution FROM lines""", "lay", "log")
+def active_attribution(spark, sf):
+    log = tile_log(spark, sf)
+    active = state.active_sources(log, F.col("outcome") == "served", F.lit(log.agg(F.max("ts")).first()[0]), 7200)
+    return mosaic.active_attribution(active, layers(spark, sf), FALLBACK, html=False)
+
+
+@query()
+def place_walk(spark, sf):
+    """Two places at three zooms, with the sources in the comparator's order."""
+    places = spark.createDataFrame([("north", 11.0, 60.0), ("south", 11.0, 43.0)], "name string, lng double, lat double")
+    return mosaic.walk(places, [8, 14, 18], ranking.mosaic_order(layers(spark, sf)), FALLBACK).select("name", "z", "nth", "id")
+
+
 # Coordinate systems
 
 # Spellings and what they mean: authority, identifier, canonical code, latitude first.
