@@ -137,4 +137,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", n_chars: str = "n_c
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row (doc_id, held_out, score, predicted) for each row of docs."""
     scored = score(docs, train(docs, labels, key, text), text, into="__score")
-    return scored.select(F.col(key).cast("long").alias("doc_id"), (remainder(key) == 1).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(remainder(key) == 1, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))

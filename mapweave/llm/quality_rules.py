@@ -100,11 +100,9 @@ def trusted_sample(labels: DataFrame, key: str = "doc_id", quality: str = "quali
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[list[int], int]:
     """Weights of the buckets, and the threshold; both in millionths."""
-    spark = docs.sparkSession
-    keys = [(r["k"], r["held"]) for r in trusted_sample(labels, key).collect()]
-    trusted = F.broadcast(spark.createDataFrame(keys, "k long, held boolean"))
+    trusted = trusted_sample(labels, key)  # TRUSTED rows at most, so it may be broadcast
     counted = (
-        _hashed(docs, key, text).join(trusted, "k", "left").select(F.explode(_grams(F.col("h"))).alias("bucket"), (F.col("held") == F.lit(False)).alias("target"))
+        _hashed(docs, key, text).join(F.broadcast(trusted), "k", "left").select(F.explode(_grams(F.col("h"))).alias("bucket"), (F.col("held") == F.lit(False)).alias("target"))
         .groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("target").alias("target")).collect()
     )
     n = 1 << BITS
@@ -117,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return [0] * n, -(1 << 62)
     weights = [round(1e6 * math.log((t + n * r / raw_sum) / (target_sum + n) / (r / raw_sum))) for r, t in zip(raw, target, strict=True)]
     # the join comes first, so that only its rows are hashed
-    held = _hashed(docs.withColumn("__k", F.col(key).cast("long")).join(trusted.filter("held").withColumnRenamed("k", "__k"), "__k", "left_semi"), key, text).filter(F.size("h") >= 50)
+    held = _hashed(docs.withColumn("__k", F.col(key).cast("long")).join(F.broadcast(trusted.filter("held").withColumnRenamed("k", "__k")), "__k", "left_semi"), key, text).filter(F.size("h") >= 50)
     mean = F.floor(_score_sum(F.col("h"), constant(weights)) / (2 * F.size("h") - 1) / 1000)
     spread = sorted((r["at"], r["n"]) for r in held.select(mean.alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect())
     below, allowed = 0, LOW_SHARE * sum(k for _, k in spread)

@@ -31,29 +31,30 @@ from mapweave.llm.components import connected_components, local_components
 
 #: Parts of the 64 bits; linked pairs agree in all but `bits` of them.
 PARTS = 7
-PIVOTS = np.random.default_rng(64).integers(0, 1 << 64, 32, dtype=np.uint64)
+PIVOTS = np.random.default_rng(64).integers(0, 1 << 64, (32, 4), dtype=np.uint64)
 #: Members of a bucket up to which all its pairs are put through the tables at once.
 AT_ONCE = 64
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 
 
-def fingerprint(text: str | bytes | None, words: int = 4) -> int:
-    import xxhash
-
+def shingles(text: str | bytes | None, words: int) -> list[bytes]:
+    """Runs of so many words, repeats included; the whole sequence if there are fewer words, nothing if there are none."""
     raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
     tokens = raw.lower().split()  # bytes: A-Z only, and the six white-space characters
-    if not tokens:
-        return 0
     line = b" ".join(tokens)
+    if len(tokens) <= words:
+        return [line] if tokens else []
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(tokens) <= words:
-        pieces = [line]
-    else:
-        pieces = [line[i:j] for i, j in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
-    digest = xxhash.xxh64_digest
-    counts = np.zeros(64, np.int64)
+    return [line[i:j] for i, j in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str | bytes | None, words: int = 4) -> int:
+    import xxhash
+
+    pieces = shingles(text, words)
+    digest, counts = xxhash.xxh64_digest, np.zeros(64, np.int64)
     for k in range(0, len(pieces), CHUNK):
         rows = np.frombuffer(b"".join([digest(p, 42) for p in pieces[k : k + CHUNK]]), np.uint8).reshape(-1, 8)
         counts += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
@@ -77,7 +78,8 @@ def _masks(bits: int) -> list[int]:
 
 
 def _coordinates(fp: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+    """Distances to the pivots, of fingerprints (rows, words)."""
+    return sum(np.bitwise_count(fp[:, w, None] ^ PIVOTS[None, :, w]).astype(np.int16) for w in range(fp.shape[1]))
 
 
 def _linked(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> np.ndarray:
@@ -85,7 +87,7 @@ def _linked(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bit
     keep = np.arange(len(i))
     for k in range(0, len(PIVOTS), 8):
         keep = keep[np.abs(table[i[keep], k : k + 8] - table[j[keep], k : k + 8]).max(axis=1, initial=0) <= bits]
-    return keep[np.bitwise_count(fp[i[keep]] ^ fp[j[keep]]) <= bits]
+    return keep[np.bitwise_count(fp[i[keep]] ^ fp[j[keep]]).sum(axis=1, dtype=np.int64) <= bits]
 
 
 def _walk(fp: np.ndarray, bits: int) -> np.ndarray:
@@ -105,8 +107,8 @@ def _walk(fp: np.ndarray, bits: int) -> np.ndarray:
     return label
 
 
-def bucket_links(group: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """group: sorted bucket numbers. Gives each member and the first one of its component in the bucket, where they differ."""
+def bucket_links(group: np.ndarray, node: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """group: sorted bucket numbers; fp: (rows, words). Gives each member's node and the first one of its component in the bucket, where they differ."""
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(group)]]))
     label = np.arange(len(fp))
@@ -126,30 +128,92 @@ def bucket_links(group: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarr
     for s, n in zip(starts[sizes > AT_ONCE], sizes[sizes > AT_ONCE], strict=True):
         label[s : s + n] = s + _walk(fp[s : s + n], bits)
     apart = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[apart], fp[label[apart]]
+    return node[apart], node[label[apart]]
 
 
-def links_of(nodes: DataFrame, bits: int = 4) -> DataFrame:
-    """nodes: distinct fingerprints (fp). Links (a, b) that have the components of all pairs within `bits` bits."""
-    masks = _masks(bits)
-    dealt = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)])).alias("b")).select("b.t", "b.k", "fp")
+def links_of(nodes: DataFrame, bits: int, words: list[str], tables: list[tuple[int, int]]) -> DataFrame:
+    """nodes: distinct fingerprints (node and columns `words`). Links (a, b) that have the components of all pairs within `bits` bits which agree under a mask of a word.
+
+    tables: (word, mask). A single word is its node.
+    """
+    own = words if len(words) == 1 else ["node", *words]
+    entries = F.array(*[F.struct(F.lit(t).alias("t"), F.col(words[w]).bitwiseAND(F.lit(m)).alias("k")) for t, (w, m) in enumerate(tables)])
+    dealt = nodes.select(*own, F.explode(entries).alias("b")).select("b.t", "b.k", *own)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, k, fp in whole_groups(batches, 2):
-            a, b = bucket_links(group_numbers([t, k]), fp.view(np.uint64), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        for t, k, *columns in whole_groups(batches, 2):
+            a, b = bucket_links(group_numbers([t, k]), columns[0], np.stack(columns[-len(words) :], axis=1).view(np.uint64), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return dealt.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(each, "a long, b long")
 
 
+WIDE = ["f0", "f1", "f2", "f3"]
+#: Tables of wide fingerprints, and bits of a word that they take.
+TABLES, TAKEN = 40, 14
+
+
+def wide_fingerprint(text: str | bytes | None, words: int = 5) -> np.ndarray:
+    """256 bits by the same majority, from two 128-bit hashes of every shingle."""
+    import xxhash
+
+    pieces = shingles(text, words)
+    counts = np.zeros(256, np.int64)
+    for k in range(0, len(pieces), CHUNK):
+        part = pieces[k : k + CHUNK]
+        rows = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p, 42) + xxhash.xxh3_128_digest(p, 43) for p in part]), np.uint8).reshape(-1, 32)
+        counts += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(pieces)).view(">u8").astype(np.uint64).view(np.int64)
+
+
+def wide_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+    """A row (doc_id, text_hash, f0 to f3) for each row of docs."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = np.stack([wide_fingerprint(b if (b := v.as_buffer()) is None else b.to_pybytes(), words) for v in batch.column(1)])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(np.ascontiguousarray(got[:, i])) for i in range(4)]], names=["doc_id", "text_hash", *WIDE])
+
+    return map_arrow(doc_columns(docs, key, text).withColumn("text_hash", F.xxhash64("text")), each, "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in WIDE))
+
+
+def bits_of_similarity(similarity: float, width: int = 256) -> int:
+    """Bits in which fingerprints of sets of that Jaccard similarity differ, with 1.7 standard deviations to spare."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(width * p + 1.7 * np.sqrt(width * p * (1 - p)))
+
+
+def _wide_tables() -> list[tuple[int, int]]:
+    r = np.random.default_rng(16)
+    masks = [sum(1 << int(b) for b in r.choice(64, TAKEN, replace=False)) for _ in range(TABLES)]
+    return [(t % 4, m - (1 << 64 if m >> 63 else 0)) for t, m in enumerate(masks)]
+
+
+def _classed(prints: DataFrame, words: list[str], bits: int, tables: list[tuple[int, int]]) -> DataFrame:
+    """prints with component_id (the smallest doc_id reachable over links) and root, which names the component."""
+    nodes = prints.groupBy(*words).agg(F.min("doc_id").alias("low"))
+    nodes = nodes.withColumn("node", F.col(words[0])) if len(words) == 1 else nodes.withColumn("node", F.monotonically_increasing_id())
+    nodes = written(nodes, "nodes")
+    own = words if len(words) == 1 else [*words, "node"]
+    links = links_of(nodes.select(*own), bits, words, tables)
+    classed = nodes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lows = classed.groupBy("root").agg(F.min("low").alias("component_id"))
+    return prints.join(classed.select(*words, "root").join(lows, "root"), words)
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
-    """A row (doc_id, text_hash, fp, component_id: the smallest doc_id reachable over links, root: names the component) for each row of docs."""
+    """A row (doc_id, text_hash, fp, component_id, root) for each row of docs."""
     prints = written(fingerprints(docs, key, text, words), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    roots = connected_components(links_of(nodes.select("fp"), bits)).withColumnRenamed("node", "fp")
-    classed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = classed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(classed.select("fp", "root").join(lows, "root"), "fp")
+    return _classed(prints, ["fp"], bits, [(0, m) for m in _masks(bits)])
+
+
+def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The same for texts whose sets of shingles have that Jaccard similarity, from 256 bits.
+
+    So wide a radius leaves no parts that must agree: pairs meet in TABLES tables by TAKEN sampled bits, which a pair of the least
+    similarity does with a chance of 0.98, and pivots seldom discard. All 256 bits verify.
+    """
+    prints = written(wide_fingerprints(docs, key, text, words), "fingerprints")
+    return _classed(prints, WIDE, bits_of_similarity(similarity), _wide_tables())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
@@ -157,13 +221,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return classes(docs, key, text, words, bits).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
-    """docs with one row of each component: that of the smallest key (then the least hash of the text); null keys come last.
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
+    """docs with one row of each component of similar texts: that of the smallest key (then the least hash of the text); null keys come last.
 
     Rows are known by key and hash of the text. Those to go are taken out by a broadcast while they are broadcast_rows at
     most, else by a shuffled join. Only rows that repeat in key and text are shuffled to keep one of them.
     """
-    known = written(classes(docs, key, text, words, bits).select("doc_id", "text_hash", "root"), "classes").groupBy("doc_id", "text_hash", "root").agg(F.count("*").alias("n"))
+    known = written(similar_classes(docs, key, text, words, similarity).select("doc_id", "text_hash", "root"), "classes").groupBy("doc_id", "text_hash", "root").agg(F.count("*").alias("n"))
     known = written(known, "known-rows")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     first = known.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), rank).alias("first")).select("first.*")

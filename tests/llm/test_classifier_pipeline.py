@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline
 from mapweave.llm.fm_classifier import Model, classify, features
-from mapweave.llm.simhash import deduplicate, near_duplicates
+from mapweave.llm.simhash import deduplicate, similar_classes
 from tests.llm.test_packing import verify
 from tests.llm.test_sharding_simhash import corpus
 
@@ -42,7 +42,7 @@ def test_one_row_of_each_component_stays(spark):
     rows = [*corpus(7, 200), (None, "null key here"), (None, "null key here"), (500, "twice"), (500, "twice")]
     docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, fp string")
     by_class = {}
-    for r in near_duplicates(docs).collect():
+    for r in similar_classes(docs).collect():
         by_class.setdefault(r.component_id, []).append(r.doc_id)
     for limit in (500_000, 0):
         kept = deduplicate(docs, broadcast_rows=limit)

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from mapweave.llm.sharding import shard
-from mapweave.llm.simhash import bucket_links, fingerprint, near_duplicates
+from mapweave.llm.simhash import bucket_links, fingerprint, near_duplicates, similar_classes
 
 SCHEMA = "doc_id long, text string, size string, shard string"
 
@@ -64,7 +64,7 @@ def test_large_bucket_is_walked():
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 64, 6, dtype=np.uint64)
     fp = np.unique(np.array([b ^ np.uint64(sum(1 << int(k) for k in r.choice(40, r.integers(0, 4), replace=False))) for b in base for _ in range(60)], np.uint64))
-    a, b = bucket_links(np.zeros(len(fp), int), fp, 4)
+    a, b = bucket_links(np.zeros(len(fp), int), fp, fp[:, None], 4)
     near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
     reach = near.copy()
     for _ in range(10):
@@ -101,3 +101,22 @@ def test_one_row_and_hot_key(spark):
     got = shard(docs(spark, [(7, "same") for _ in range(480)])).collect()
     counts = {s: sum(r.shard == s for r in got) for s in range(24)}
     assert set(counts.values()) == {20}
+
+
+def test_similar_texts_are_found(spark):
+    """Links of at least 0.8, and no texts of under 0.6 in one class that are not joined by others."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(150):
+        base = [r.choice(words) for _ in range(r.randrange(60, 400))]
+        for _ in range(r.choice([1, 1, 2, 4])):
+            t = list(base)
+            for _ in range(r.randrange(0, max(1, len(t) // 30))):
+                t[r.randrange(len(t))] = r.choice(words)
+            rows.append((len(rows), " ".join(t)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {x.doc_id: x.component_id for x in similar_classes(docs(spark, rows)).collect()}
+    near = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) > 50 and sum(root[i] == root[j] for i, j in near) >= 0.95 * len(near)
+    assert not [1 for i in sets for j in sets if i < j and root[i] == root[j] and not sets[i] & sets[j]]
