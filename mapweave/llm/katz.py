@@ -32,7 +32,7 @@ from mapweave.llm.common import release as release_path
 from mapweave.llm.fm_classifier import remainder
 
 #: Tokens to a chunk; entries to a partition of words or pairs.
-CHUNK, WORDS, PAIRS = 3_000_000, 1_000_000, 3_000_000
+CHUNK, WORDS, PAIRS = 2_500_000, 1_000_000, 2_500_000
 #: Counts up to which Good-Turing discounts.
 LOW = 5
 #: What no text has as a word: the end token.
@@ -49,7 +49,7 @@ def squeeze(a: np.ndarray) -> bytes:
     import zstandard
 
     a = np.ascontiguousarray(a)
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
 
 
 def release(b: bytes, kind: type) -> np.ndarray:
@@ -220,7 +220,8 @@ class Chunk:
 
     def __init__(self, row: dict, told: list[tuple[int, bytes, bytes]], base: dict[int, int]):
         place = release(row["place"], np.uint32)
-        self.tokens = place[release(row["tokens"], np.uint32)].astype(np.int64)
+        n_words = int(place.max()) + 1
+        self.tokens = place[release(row["tokens"], np.uint32)]
         self.sizes = release(row["sizes"], np.uint32).astype(np.int64)
         self.held = release(row["held"], np.uint8).astype(bool)
         self.ids = pa.array(release(row["ids"], np.int64), mask=release(row["nulls"], np.uint8).astype(bool))
@@ -229,16 +230,18 @@ class Chunk:
             n = release(n, np.int32)
             number.append(np.where(n >= 0, (n + base[p]).astype(np.uint64), NONE))
             count.append(release(c, np.uint32))
-        n_words = int(place.max()) + 1
         self.number = np.append(np.concatenate(number), START)  # the last place is the start context
         self.count = np.append(np.concatenate(count), 0).astype(np.int64)
         if len(self.number) != n_words + 1:
             raise ValueError("a chunk was not told about all of its words")
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
         self.starts = np.cumsum(self.sizes) - self.sizes
-        before[self.starts] = n_words
-        pairs, self.at = np.unique(before * (n_words + 1) + self.tokens, return_inverse=True)
+        both = self.tokens.astype(np.int64)
+        both[1:] += self.tokens[:-1].astype(np.int64) * (n_words + 1)
+        both[self.starts] = self.tokens[self.starts].astype(np.int64) + n_words * (n_words + 1)
+        pairs, at = np.unique(both, return_inverse=True)
+        del both
+        self.at = at.astype(np.uint32)
+        del at
         self.first, self.second = pairs // (n_words + 1), pairs % (n_words + 1)
         train = ~np.repeat(self.held, self.sizes)
         self.n = np.bincount(self.at[train], minlength=len(pairs))

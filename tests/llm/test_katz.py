@@ -99,3 +99,8 @@ def test_degenerate(spark):
     compare(spark, [(i, "all held out") for i in held_only])
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert katz.score_texts(empty).count() == 0
+
+
+def test_a_large_chunk(spark):
+    """Numbers of words whose pairs pass 32 bits."""
+    compare(spark, [(i, " ".join(f"v{(i * 7919 + k * k) % 90_000}" for k in range(9000))) for i in range(12)])
