@@ -17,6 +17,7 @@ rows; other columns are left alone.
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import cache
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import byte_chars, doc_columns, map_arrow, tokenizer, tokenizer_path, written
+from mapweave.llm.common import byte_chars, doc_columns, map_arrow, tokenizer_path, written
 from mapweave.llm.token_counts import PRE_TOKENS
 
 #: Tokens to a length class; largest share by which the patterns may miss the bound; room above which a pattern isn't used; weight of the duals in prices.
@@ -39,10 +40,10 @@ def fast_encoder(path: str):
     """The byte-level BPE of a tokenizers file, run by tiktoken: ids are in merge order, so they are its ranks. Tests hold it against the library."""
     import tiktoken
 
+    spec = json.load(open(path, encoding="utf-8"))  # the vocabulary only: a whole tokenizer would stay in every worker
     code = {c: b for b, c in enumerate(byte_chars())}
-    tok = tokenizer(path)
-    special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
-    ranks = {bytes(code[c] for c in t): i for t, i in tok.get_vocab(with_added_tokens=False).items() if t not in special}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(code[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     return tiktoken.Encoding("byte-level", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=special)
 
 
