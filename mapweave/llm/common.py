@@ -32,6 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="mapweave-")
@@ -70,10 +73,12 @@ def drop_written(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files of finished steps: it acts on what the driver's garbage collection finds, a moment later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
+    """Lets Spark's cleaner remove shuffle files of finished steps. It acts a moment after the driver's garbage collection finds that
+    nothing holds them, and the first round only lets go of what Python held."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def text_or_empty(text: str = "text") -> Column:
