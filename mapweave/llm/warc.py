@@ -29,6 +29,8 @@ from mapweave.llm.common import new_path, written
 
 #: Records the dictionary is trained on, the longest that is used, bytes of them all, and bytes of the dictionary.
 SAMPLE, LONGEST, SAMPLE_BYTES, DICTIONARY = 2_000, 1 << 15, 8 << 20, 1 << 16
+#: Payloads with copies up to which their digests are broadcast.
+BROADCAST = 500_000
 #: Bytes after which a new archive is begun.
 ARCHIVE = 256 << 20
 #: The frame type that holds a dictionary, the profile of revisits, and one date for all records.
@@ -86,7 +88,10 @@ def build_dictionary(records: DataFrame) -> bytes:
     """Trained on at most SAMPLE records, the least by hash, none longer than LONGEST. Empty if there are too few to train on."""
     import zstandard
 
-    rows = records.filter(F.octet_length("html") <= LONGEST).orderBy(F.xxhash64("page_id", "html"), "page_id", "html").limit(SAMPLE).toLocalIterator()
+    drawn = F.xxhash64("page_id", "html")
+    share = min(1.0, 2 * SAMPLE / max(records.count(), 1))  # so that no task sorts more than a few thousand
+    few = records.filter((F.octet_length("html") <= LONGEST) & (F.pmod(drawn, F.lit(1 << 30)) < int(share * (1 << 30))))
+    rows = few.orderBy(drawn, "page_id", "html").limit(SAMPLE).toLocalIterator()
     samples, total = [], 0
     for r in rows:
         samples.append(record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass"), None, False))
@@ -114,6 +119,9 @@ def mark_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html
     target = F.col(url).cast("string") if url in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), target.alias("url"), _as_text(html).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     copies = rows.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").select("digest", "response")
+    copies = written(copies, "copied-payloads")
+    if copies.count() <= BROADCAST:  # else the payloads are shuffled to meet them
+        copies = F.broadcast(copies)
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     return rows.join(copies, "digest", "left").select("page_id", "url", "html", F.when(revisit, F.col("response")).alias("refers_to"), revisit.alias("revisit"))
 
