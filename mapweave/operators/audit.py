@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.functions.boxes import Box, any_contains
+from mapweave.functions.boxes import Box
 
 STEPS = 12
 
@@ -18,6 +18,34 @@ def overlaps(layers: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a.ord") < F.col("b.ord")) & wide)
 
 
+def _common_points(ea: Column, eb: Column, box: Box, steps: int) -> Column:
+    """Points of the grid over box that extents of both lists hold.
+
+    A box holds whole rows of the grid or none of them in a column, so its rows are one bit mask; a column of the grid then
+    takes the masks of the boxes that reach it, and the common bits are counted.
+    """
+    grid = F.sequence(F.lit(0), F.lit(steps))
+    bit = lambda k: F.pow(F.lit(2.0), k).cast("long")
+
+    def masked(extents: Column) -> Column:
+        def rows_of(b: Box) -> Column:
+            lat = lambda j: box.s + (box.n - box.s) * j / steps
+            return F.aggregate(grid, F.lit(0).cast("long"), lambda m, j: m + F.when((lat(j) >= b.s) & (lat(j) <= b.n), bit(j)).otherwise(0))
+
+        return F.transform(extents, lambda e: F.struct(e.alias("box"), rows_of(Box.of(e)).alias("rows")))
+
+    def column(boxes: Column, lng: Column) -> Column:
+        inside = lambda e: Box.of(e["box"]).contains(lng, Box.of(e["box"]).s)
+        return F.aggregate(boxes, F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(F.when(inside(e), e["rows"]).otherwise(0)))
+
+    def total(both: Column) -> Column:
+        lng = lambda i: box.w + (box.e - box.w) * i / steps
+        return F.aggregate(grid, F.lit(0), lambda n, i: n + F.bit_count(column(both["a"], lng(i)).bitwiseAND(column(both["b"], lng(i)))).cast("int"))
+
+    # the masks are made once a pair, bound by a list of one
+    return F.get(F.transform(F.array(F.struct(masked(ea).alias("a"), masked(eb).alias("b"))), lambda both: total(both)), F.lit(0))
+
+
 def contested(layers: DataFrame, steps: int = STEPS) -> DataFrame:
     """For each overlapping pair of different scopes: the smaller layer (winner), the larger one (loser), and the share of a grid over their overlap that both cover."""
     pairs = overlaps(layers.withColumn("hull_km2", Box.of("bbox").area_km2()))
@@ -30,10 +58,8 @@ def contested(layers: DataFrame, steps: int = STEPS) -> DataFrame:
         pick("id", True).alias("winner"), pick("id", False).alias("loser"), F.coalesce(pick("nuts", True), pick("country", True)).alias("winner_scope"), F.coalesce(pick("nuts", False), pick("country", False)).alias("loser_scope"),
         (F.col("a.country") != F.col("b.country")).alias("cross_border"), pick("coverage", True).isNotNull().alias("narrowed"), F.col("a.extents").alias("ea"), F.col("b.extents").alias("eb"), shared.struct().alias("box"),
     )
-    grid = F.sequence(F.lit(0), F.lit(steps))
-    s = Box.of("box")
-    both = F.transform(grid, lambda i: F.size(F.filter(grid, lambda j: any_contains(F.col("ea"), s.w + (s.e - s.w) * i / steps, s.s + (s.n - s.s) * j / steps) & any_contains(F.col("eb"), s.w + (s.e - s.w) * i / steps, s.s + (s.n - s.s) * j / steps))))
-    counted = rows.withColumn("contested", F.aggregate(both, F.lit(0), lambda n, k: n + k)).filter("contested > 0")
+    counted_by_column = _common_points(F.col("ea"), F.col("eb"), Box.of("box"), steps)
+    counted = rows.withColumn("contested", counted_by_column).filter("contested > 0")
     return counted.withColumn("contested_share", F.round(F.col("contested") / ((steps + 1) ** 2), 3)).drop("ea", "eb", "box")
 
 
