@@ -44,9 +44,11 @@ def _up_to(last: Column) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def _windows(hashes: Column) -> Column:
-    """Hashes of all windows of three words; hashes: of the words."""
-    return F.transform(_up_to(F.size(hashes) - 3), lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)))
+def _chained(hashes: Column) -> Column:
+    """Hashes of all two neighbours: of words they are those of pairs, of pairs those of windows of three words."""
+    n = F.size(hashes) - 1
+    linked = F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(2), n), lambda x, y: F.xxhash64(x, y))
+    return F.when(n > 0, linked).otherwise(F.array().cast("array<bigint>"))
 
 
 def _ordered(windows: Column) -> Column:
@@ -69,23 +71,21 @@ def _covered(p: Column) -> Column:
     return F.aggregate(_up_to(last), F.lit(0), lambda n, k: n + F.when(k < last, F.least(F.lit(3), F.get(p, k + 1) - F.get(p, k))).otherwise(3))
 
 
+def _buckets(hashes: Column) -> Column:
+    return F.transform(hashes, lambda h: h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
+
+
 def _grams(hashes: Column) -> Column:
-    mask = F.lit((1 << BITS) - 1)
-    return F.concat(
-        F.transform(hashes, lambda h: h.bitwiseAND(mask).cast("int")),
-        F.transform(_up_to(F.size(hashes) - 2), lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)).bitwiseAND(mask).cast("int")),
-    )
+    return F.concat(_buckets(hashes), _buckets(_chained(hashes)))
 
 
-def _score_sum(hashes: Column, weights: Column) -> Column:
+def _weight_sum(hashes: Column, weights: Column) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s + F.get(weights, h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")))
+
+
+def _score_sum(hashes: Column, pairs: Column, weights: Column) -> Column:
     """Sum of weights over the words and the pairs."""
-    mask = F.lit((1 << BITS) - 1)
-    last = F.size(hashes) - 1
-    return F.aggregate(
-        _up_to(last), F.lit(0).cast("long"),
-        lambda s, i: s + F.get(weights, F.get(hashes, i).bitwiseAND(mask).cast("int"))
-        + F.when(i < last, F.get(weights, F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)).bitwiseAND(mask).cast("int"))).otherwise(0),
-    )
+    return _weight_sum(hashes, weights) + _weight_sum(pairs, weights)
 
 
 def _hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     weights = [round(1e6 * math.log((t + n * r / raw_sum) / (target_sum + n) / (r / raw_sum))) for r, t in zip(raw, target, strict=True)]
     # the join comes first, so that only its rows are hashed
     held = _hashed(docs.withColumn("__k", F.col(key).cast("long")).join(F.broadcast(trusted.filter("held").withColumnRenamed("k", "__k")), "__k", "left_semi"), key, text).filter(F.size("h") >= 50)
-    mean = F.floor(_score_sum(F.col("h"), constant(weights)) / (2 * F.size("h") - 1) / 1000)
+    mean = F.floor(_score_sum(F.col("h"), _chained(F.col("h")), constant(weights)) / (2 * F.size("h") - 1) / 1000)
     spread = sorted((r["at"], r["n"]) for r in held.select(mean.alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect())
     below, allowed = 0, LOW_SHARE * sum(k for _, k in spread)
     for at, k in spread:
@@ -139,15 +139,14 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 def verdict(text: Column, weights: list[int], threshold: int) -> Column:
     """A struct of the base columns, base_failed, kept and the score (llr, in nats an n-gram) of a text."""
 
-    def of_hashes(h: Column, lines: Column) -> Column:
+    def of_hashes(h: Column, pairs: Column, lines: Column) -> Column:
         n = F.size(h)
-        windows = _windows(h)
-        repeated = _let(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), _let(_ordered(w), lambda s: _let(_repeated(s), _covered))).otherwise(0))
+        repeated = _let(_chained(pairs), lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), _let(_ordered(w), lambda s: _let(_repeated(s), _covered))).otherwise(0))
         parts = F.struct(
             n.cast("long").alias("n_words"), F.length(F.translate(text, BREAKS, "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), repeated.cast("long").alias("n_repeat_words"),
-            _score_sum(h, constant(weights)).alias("sum"), F.greatest(2 * n - 1, F.lit(1)).alias("grams"),
+            _score_sum(h, pairs, constant(weights)).alias("sum"), F.greatest(2 * n - 1, F.lit(1)).alias("grams"),
         )
         return _let(parts, of_parts)
 
@@ -160,7 +159,7 @@ def verdict(text: Column, weights: list[int], threshold: int) -> Column:
 
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BREAKS)) != "")
     hashes = F.transform(words_of(text), lambda w: F.xxhash64(w))
-    return _let(hashes, lambda h: _let(lines, lambda x: of_hashes(h, x)))
+    return _let(hashes, lambda h: _let(_chained(h), lambda p: _let(lines, lambda x: of_hashes(h, p, x))))
 
 
 def judge(docs: DataFrame, weights: list[int], threshold: int, text: str = "text", into: str = "quality_rules") -> DataFrame:
