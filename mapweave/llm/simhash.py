@@ -154,10 +154,10 @@ TABLES, TAKEN = 40, 14
 
 
 def wide_fingerprint(text: str | bytes | None, words: int = 5) -> np.ndarray:
-    """256 bits by the same majority, from two 128-bit hashes of every shingle."""
+    """256 bits by the majority over distinct shingles, from two 128-bit hashes of each."""
     import xxhash
 
-    pieces = shingles(text, words)
+    pieces = list(set(shingles(text, words)))
     counts = np.zeros(256, np.int64)
     for k in range(0, len(pieces), CHUNK):
         part = pieces[k : k + CHUNK]

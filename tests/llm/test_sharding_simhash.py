@@ -120,3 +120,16 @@ def test_similar_texts_are_found(spark):
     near = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert len(near) > 50 and sum(root[i] == root[j] for i, j in near) >= 0.95 * len(near)
     assert not [1 for i in sets for j in sets if i < j and root[i] == root[j] and not sets[i] & sets[j]]
+
+
+def test_a_line_repeated_within_texts_links_nothing_else(spark):
+    """Wholly different words but one line that each text repeats: sets of shingles that share a hundredth."""
+    r = random.Random(5)
+    line = " ".join(f"line{i}" for i in range(11))
+
+    def text(i):
+        own = [f"t{i}w{r.randrange(4000)}" for _ in range(400)]
+        return " ".join(" ".join(own[k : k + 16]) + " " + line for k in range(0, 400, 16))
+
+    got = similar_classes(docs(spark, [(i, text(i)) for i in range(12)])).collect()
+    assert sorted(x.component_id for x in got) == list(range(12))
