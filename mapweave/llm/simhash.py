@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import doc_columns, group_numbers, map_arrow, whole_groups, written
+from mapweave.llm.common import doc_columns, group_numbers, map_arrow, shingles, whole_groups, written
 from mapweave.llm.components import connected_components, local_components
+from mapweave.llm.set_join import links_of_sets, shingle_sets
 
 #: Parts of the 64 bits; linked pairs agree in all but `bits` of them.
 PARTS = 7
@@ -38,18 +39,6 @@ AT_ONCE = 64
 CHUNK = 1 << 15
 
 
-def shingles(text: str | bytes | None, words: int) -> list[bytes]:
-    """Runs of so many words, repeats included; the whole sequence if there are fewer words, nothing if there are none."""
-    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
-    tokens = raw.lower().split()  # bytes: A-Z only, and the six white-space characters
-    line = b" ".join(tokens)
-    if len(tokens) <= words:
-        return [line] if tokens else []
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    return [line[i:j] for i, j in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
-
-
 def fingerprint(text: str | bytes | None, words: int = 4) -> int:
     import xxhash
 
@@ -148,72 +137,25 @@ def links_of(nodes: DataFrame, bits: int, words: list[str], tables: list[tuple[i
     return dealt.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(each, "a long, b long")
 
 
-WIDE = ["f0", "f1", "f2", "f3"]
-#: Tables of wide fingerprints, and bits of a word that they take.
-TABLES, TAKEN = 40, 14
-
-
-def wide_fingerprint(text: str | bytes | None, words: int = 5) -> np.ndarray:
-    """256 bits by the majority over distinct shingles, from two 128-bit hashes of each."""
-    import xxhash
-
-    pieces = list(set(shingles(text, words)))
-    counts = np.zeros(256, np.int64)
-    for k in range(0, len(pieces), CHUNK):
-        part = pieces[k : k + CHUNK]
-        rows = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p, 42) + xxhash.xxh3_128_digest(p, 43) for p in part]), np.uint8).reshape(-1, 32)
-        counts += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(pieces)).view(">u8").astype(np.uint64).view(np.int64)
-
-
-def wide_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """A row (doc_id, text_hash, f0 to f3) for each row of docs."""
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = np.stack([wide_fingerprint(b if (b := v.as_buffer()) is None else b.to_pybytes(), words) for v in batch.column(1)])
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(np.ascontiguousarray(got[:, i])) for i in range(4)]], names=["doc_id", "text_hash", *WIDE])
-
-    return map_arrow(doc_columns(docs, key, text).withColumn("text_hash", F.xxhash64("text")), each, "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in WIDE))
-
-
-def bits_of_similarity(similarity: float, width: int = 256) -> int:
-    """Bits in which fingerprints of sets of that Jaccard similarity differ, with 1.7 standard deviations to spare."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(width * p + 1.7 * np.sqrt(width * p * (1 - p)))
-
-
-def _wide_tables() -> list[tuple[int, int]]:
-    r = np.random.default_rng(16)
-    masks = [sum(1 << int(b) for b in r.choice(64, TAKEN, replace=False)) for _ in range(TABLES)]
-    return [(t % 4, m - (1 << 64 if m >> 63 else 0)) for t, m in enumerate(masks)]
-
-
-def _classed(prints: DataFrame, words: list[str], bits: int, tables: list[tuple[int, int]]) -> DataFrame:
-    """prints with component_id (the smallest doc_id reachable over links) and root, which names the component."""
-    nodes = prints.groupBy(*words).agg(F.min("doc_id").alias("low"))
-    nodes = nodes.withColumn("node", F.col(words[0])) if len(words) == 1 else nodes.withColumn("node", F.monotonically_increasing_id())
-    nodes = written(nodes, "nodes")
-    own = words if len(words) == 1 else [*words, "node"]
-    links = links_of(nodes.select(*own), bits, words, tables)
+def _classed(prints: DataFrame, nodes: DataFrame, links: DataFrame, by: str) -> DataFrame:
+    """prints with component_id (the smallest doc_id reachable over links) and root, which names the component. nodes: node, low and the column `by` of prints."""
     classed = nodes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = classed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(classed.select(*words, "root").join(lows, "root"), words)
+    return prints.join(classed.select(by, "root").join(lows, "root"), by)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
     """A row (doc_id, text_hash, fp, component_id, root) for each row of docs."""
     prints = written(fingerprints(docs, key, text, words), "fingerprints")
-    return _classed(prints, ["fp"], bits, [(0, m) for m in _masks(bits)])
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.col("fp")), "nodes")
+    return _classed(prints, nodes, links_of(nodes.select("fp", "node"), bits, ["fp"], [(0, m) for m in _masks(bits)]), "fp")
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The same for texts whose sets of shingles have that Jaccard similarity, from 256 bits.
-
-    So wide a radius leaves no parts that must agree: pairs meet in TABLES tables by TAKEN sampled bits, which a pair of the least
-    similarity does with a chance of 0.98, and pivots seldom discard. All 256 bits verify.
-    """
-    prints = written(wide_fingerprints(docs, key, text, words), "fingerprints")
-    return _classed(prints, WIDE, bits_of_similarity(similarity), _wide_tables())
+    """A row (doc_id, text_hash, node, component_id, root) for each row of docs; links are all pairs whose sets of shingles have that Jaccard similarity."""
+    sets = written(shingle_sets(docs, key, text, words), "shingle-sets")
+    prints = sets.select("doc_id", "text_hash", "node")
+    return _classed(prints, prints.groupBy("node").agg(F.min("doc_id").alias("low")), links_of_sets(sets, similarity), "node")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:

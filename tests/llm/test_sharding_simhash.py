@@ -133,3 +133,51 @@ def test_a_line_repeated_within_texts_links_nothing_else(spark):
 
     got = similar_classes(docs(spark, [(i, text(i)) for i in range(12)])).collect()
     assert sorted(x.component_id for x in got) == list(range(12))
+
+
+def plain_sets(rows):
+    out = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        out[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return out
+
+
+def exact_classes(sets):
+    low = {i: i for i in sets}
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            same = len(sets[i] & sets[j])
+            if i < j and (sets[i] == sets[j] or (same and same >= 0.8 * len(sets[i] | sets[j]) - 1e-9)):
+                a, b = sorted((root(i), root(j)))
+                low[b] = a
+    return {i: root(i) for i in sets}
+
+
+def changed(r, words, similarity):
+    """Words with a run of new ones, so that the sets of shingles have about that similarity."""
+    run = max(1, round(len(words) * (1 - similarity) / (1 + similarity)) - 4)
+    k = r.randrange(len(words) - run)
+    return [*words[:k], *[f"new{r.random()}" for _ in range(run)], *words[k + run :]]
+
+
+def test_classes_are_those_of_the_verified_pairs(spark):
+    """Pairs on both sides of 0.8, most of them between 0.7 and 0.85, and a group of copies that share a passage."""
+    r = random.Random(11)
+    rows = []
+    for similarity in [0.65, 0.7, 0.72, 0.74, 0.76, 0.78, 0.79, 0.8, 0.81, 0.82, 0.83, 0.85, 0.9] * 8:
+        base = [f"w{r.randrange(9000)}" for _ in range(r.randrange(80, 400))]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(changed(r, base, similarity)))]
+    hot = [f"h{i}" for i in range(200)]
+    for _ in range(60):
+        rows.append((len(rows), " ".join(changed(r, hot, r.choice([0.78, 0.9, 0.95])))))
+    rows += [(len(rows) + i, t) for i, t in enumerate([None, "", "a b", "A  b", "a b c"])]
+    sets = plain_sets(rows)
+    got = {x.doc_id: x.component_id for x in similar_classes(docs(spark, rows)).collect()}
+    assert got == exact_classes(sets)
