@@ -15,8 +15,8 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least one half. The model is fitted on labelled ones among those that came here."""
-    model = fm_classifier.train(docs, table(spark, sf_dir, "labels"))
+    """Documents that score at least one half. The model is fitted on labelled ones of the whole corpus: the rules let hardly any of quality 0 come here."""
+    model = fm_classifier.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return fm_classifier.score(docs, model, into="__score").filter("__score >= 0.5").drop("__score")
 
 

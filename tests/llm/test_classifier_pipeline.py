@@ -67,3 +67,15 @@ def test_pipeline(spark):
     left = [(r.doc_id, r.text) for r in docs.collect()]
     pieces = corpus_pipeline.STAGES[3][1](spark, docs, SMALL).collect()
     assert verify(left, pieces) < 0.01 * sum(p.length for p in pieces)
+
+
+def test_classifier_learns_from_documents_that_the_rules_reject(spark, tmp_path):
+    """No document labelled 0 reaches the stage, yet it rejects poor texts without a label."""
+    good = [(i, " ".join(f"word{(i * 7 + k * k) % 97}" for k in range(80))) for i in range(120)]
+    poor = [(i, " ".join(f"spam{(i * 5 + k * k) % 89}" for k in range(80))) for i in range(200, 320)]
+    docs = spark.createDataFrame(good + poor, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(100)] + [(i, 0) for i in range(200, 300)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    came = docs.filter("doc_id < 200 OR doc_id >= 300")
+    kept = {r.doc_id for r in corpus_pipeline.keep_by_classifier(spark, came, str(tmp_path)).collect()}
+    assert kept == set(range(120))
