@@ -11,8 +11,8 @@ threshold gives way, and clean documents are kept, at any size; without trusted
 
 Before that come base rules: fewer than 50 words, or over half of the words in repeated windows of three words.
 
-The trusted documents are a bounded sample (TRUSTED rows, the least by hash of the key): their keys are broadcast. The
-table of weights has 2**BITS entries and stands in the plan as a constant. All else covers all documents and whole texts.
+All trusted documents count. Their keys meet the documents by a broadcast while they are BROADCAST rows at most, else by a
+shuffled join. The table of weights has 2**BITS entries and stands in the plan as a constant.
 Null texts have no words. Repeated rows, ties and extra columns need no care; results come in one struct column. An empty
 table gives no rows.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from mapweave.llm.common import text_or_empty
 
 BITS = 16
-TRUSTED = 20_000
+BROADCAST = 500_000
 #: Share of clean documents that may fall below the quantile, and what the threshold lies below it (in millionths of a nat).
 LOW_SHARE, MARGIN = 0.002, 50_000
 #: The six white-space characters between words, and the symbols that are counted.
@@ -88,21 +88,27 @@ def _score_sum(hashes: Column, pairs: Column, weights: Column) -> Column:
     return _weight_sum(hashes, weights) + _weight_sum(pairs, weights)
 
 
-def _hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("k"), F.transform(words_of(text_or_empty(text)), lambda w: F.xxhash64(w)).alias("h"))
+def _hashed(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select("held", F.transform(words_of(text_or_empty(text)), lambda w: F.xxhash64(w)).alias("h"))
 
 
-def trusted_sample(labels: DataFrame, key: str = "doc_id", quality: str = "quality", most: int = TRUSTED) -> DataFrame:
-    """Keys of trusted documents (marked 1 in all of their labels), `most` at most, and whether they set the threshold."""
+def trusted_keys(labels: DataFrame, key: str = "doc_id", quality: str = "quality") -> DataFrame:
+    """Keys of trusted documents (marked 1 in all of their labels), and whether they set the threshold."""
     good = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("k")).agg(F.min(quality).alias("q")).filter("q = 1").select("k")
-    return good.orderBy(F.xxhash64("k"), "k").limit(most).withColumn("held", F.xxhash64(F.col("k"), F.lit(1)).bitwiseAND(F.lit(1)) == 1)
+    return good.withColumn("held", F.xxhash64(F.col("k"), F.lit(1)).bitwiseAND(F.lit(1)) == 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[list[int], int]:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST) -> tuple[list[int], int]:
     """Weights of the buckets, and the threshold; both in millionths."""
-    trusted = trusted_sample(labels, key)  # TRUSTED rows at most, so it may be broadcast
+    trusted, texts = trusted_keys(labels, key), docs.select(F.col(key).cast("long").alias("k"), text)
+    if trusted.count() <= broadcast_rows:
+        trusted = F.broadcast(trusted)
+        marked = texts.join(trusted, "k", "left")
+    else:  # null keys would all meet in one task
+        nothing = texts.filter("k IS NULL").withColumn("held", F.lit(None).cast("boolean"))
+        marked = texts.filter("k IS NOT NULL").join(trusted, "k", "left").unionByName(nothing)
     counted = (
-        _hashed(docs, key, text).join(F.broadcast(trusted), "k", "left").select(F.explode(_grams(F.col("h"))).alias("bucket"), (F.col("held") == F.lit(False)).alias("target"))
+        _hashed(marked, text).select(F.explode(_grams(F.col("h"))).alias("bucket"), (F.col("held") == F.lit(False)).alias("target"))
         .groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("target").alias("target")).collect()
     )
     n = 1 << BITS
@@ -115,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return [0] * n, -(1 << 62)
     weights = [round(1e6 * math.log((t + n * r / raw_sum) / (target_sum + n) / (r / raw_sum))) for r, t in zip(raw, target, strict=True)]
     # the join comes first, so that only its rows are hashed
-    held = _hashed(docs.withColumn("__k", F.col(key).cast("long")).join(F.broadcast(trusted.filter("held").withColumnRenamed("k", "__k")), "__k", "left_semi"), key, text).filter(F.size("h") >= 50)
+    held = _hashed(texts.join(trusted.filter("held"), "k"), text).filter(F.size("h") >= 50)
     mean = F.floor(_score_sum(F.col("h"), _chained(F.col("h")), constant(weights)) / (2 * F.size("h") - 1) / 1000)
     spread = sorted((r["at"], r["n"]) for r in held.select(mean.alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect())
     below, allowed = 0, LOW_SHARE * sum(k for _, k in spread)

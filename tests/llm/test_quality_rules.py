@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from mapweave.llm.quality_rules import fit, judge, quality_rules
 
 SCHEMA = "doc_id long, text string, quality_rules string, h string, k string"
@@ -45,3 +47,18 @@ def test_no_labels_and_no_rows(spark):
     assert all(r.q.kept != r.q.base_failed for r in quality_rules(docs, labels, into="q").collect())
     weights, threshold = fit(docs.limit(0), labels)
     assert judge(docs.limit(0), weights, threshold).count() == 0
+
+
+def test_all_trusted_documents_count(spark):
+    """Trusted documents of a rare language lie last in the order of hashes: they are kept, as they count; both joins give the same."""
+    last = spark.range(21_000).orderBy(F.xxhash64("id").desc()).limit(400).withColumn("rare", F.lit(True))
+    word = F.when(F.col("id") >= 21_000, "junk").when(F.col("rare"), "rare").otherwise("often")
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(59)), lambda j: F.concat(word, F.pmod(F.col("id") * 7 + j * j, F.lit(997)).cast("string"))))
+    docs = spark.range(24_000).join(last, "id", "left").select(F.col("id").alias("doc_id"), "rare", text.alias("text")).cache()
+    labels = spark.range(21_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    weights, threshold = fit(docs, labels)
+    kept = judge(docs, weights, threshold, into="q").groupBy("rare", (F.col("doc_id") >= 21_000).alias("junk")).agg(F.avg(F.col("q.kept").cast("int")).alias("share")).collect()
+    shares = {(bool(r.rare), r.junk): r.share for r in kept}
+    assert shares[True, False] > 0.9 and shares[False, False] > 0.99 and shares[False, True] == 0
+    odd = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "null key")], "doc_id long, text string"))
+    assert fit(odd, labels) == fit(odd, labels, broadcast_rows=0)
