@@ -181,3 +181,16 @@ def test_classes_are_those_of_the_verified_pairs(spark):
     sets = plain_sets(rows)
     got = {x.doc_id: x.component_id for x in similar_classes(docs(spark, rows)).collect()}
     assert got == exact_classes(sets)
+
+
+def test_no_pair_of_just_the_similarity_is_lost(spark):
+    r = random.Random(17)
+    rows, pairs = [], 0
+    while pairs < 120:
+        base = [f"p{pairs}w{r.randrange(900)}" for _ in range(r.randrange(60, 300))]
+        two = [(2 * pairs, " ".join(base)), (2 * pairs + 1, " ".join(changed(r, base, r.uniform(0.8, 0.83))))]
+        a, b = plain_sets(two).values()
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            rows, pairs = rows + two, pairs + 1
+    got = similar_classes(docs(spark, rows)).collect()
+    assert all(x.component_id == x.doc_id // 2 * 2 for x in got)
