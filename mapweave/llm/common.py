@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -20,6 +18,9 @@ WORD_BREAKS = "\\x20\\x09-\\x0D"
 #: Unicode white space, as the tokenizer libraries take it.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: Removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -62,7 +63,13 @@ def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """df as a table in the shared folder (in folders by the columns `by`): cuts the lineage, and survives the loss of any executor."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.partitionBy(*(by or [])).parquet(path)
+    # nothing reads this write's shuffles again, so Spark may remove their files as soon as it ends
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*(by or [])).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
@@ -72,15 +79,6 @@ def drop_written(df: DataFrame) -> None:
     release(df.sparkSession, df.written_path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files of finished steps. It acts a moment after the driver's garbage collection finds that
-    nothing holds them, and the first round only lets go of what Python held."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import doc_columns, drop_written, free_shuffles, map_arrow, whole_groups, written
+from mapweave.llm.common import doc_columns, drop_written, map_arrow, whole_groups, written
 from mapweave.llm.common import release as release_path
 from mapweave.llm.fm_classifier import remainder
 
@@ -411,7 +411,6 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", by: in
     n_chunks, n_docs = max(size["chunks"], 1), size["docs"] or 0
     words = written(count_words(asked, max(0, ((size["words"] or 0) // WORDS).bit_length())), "words")
     release_path(spark, f"{both.written_path}/kind=words")
-    free_shuffles(spark)
     sums = sorted((r["p"], r["sums"]) for r in words.filter("chunk = -1").select("p", "sums").collect())
     base, n_types, totals = {}, 0, [0] * (LOW + 3)
     for p, s in sums:
@@ -425,7 +424,6 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", by: in
     told_words = words.filter("chunk >= 0").select("chunk", "p", "number", "count")
 
     pairs = written(count_pairs(ask_pairs(_joined(table, [told_words], n_chunks), base, parts, hot, n_docs), unigrams), "pairs")
-    free_shuffles(spark)
     few = pairs.filter("chunk = -1").select(F.posexplode("few").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
     discount = good_turing([next((x["n"] for x in few if x["r"] == r), 0) for r in range(LOW + 1)])
     wide = spread_contexts(pairs)
