@@ -32,11 +32,11 @@ BROADCAST = 500_000
 #: Share of clean documents that may fall below the quantile, and what the threshold lies below it (in millionths of a nat).
 LOW_SHARE, MARGIN = 0.002, 50_000
 #: The six white-space characters between words, and the symbols that are counted.
-BREAKS, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
+BREAKS, GAPS, SYMBOLS = " \t\n\x0b\f\r", "[ \\t\\n\\x0B\\f\\r]+", "[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, BREAKS[1:], " " * 5), " "), "")
+    return F.array_remove(F.split(text, GAPS), "")
 
 
 def _up_to(last: Column) -> Column:
@@ -145,12 +145,11 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 def verdict(text: Column, weights: list[int], threshold: int) -> Column:
     """A struct of the base columns, base_failed, kept and the score (llr, in nats an n-gram) of a text."""
 
-    def of_hashes(h: Column, pairs: Column, lines: Column) -> Column:
+    def of_hashes(words: Column, h: Column, pairs: Column, lines: Column) -> Column:
         n = F.size(h)
         repeated = _let(_chained(pairs), lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), _let(_ordered(w), lambda s: _let(_repeated(s), _covered))).otherwise(0))
         parts = F.struct(
-            n.cast("long").alias("n_words"), F.length(F.translate(text, BREAKS, "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            n.cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), repeated.cast("long").alias("n_repeat_words"),
             _score_sum(h, pairs, constant(weights)).alias("sum"), F.greatest(2 * n - 1, F.lit(1)).alias("grams"),
         )
@@ -164,8 +163,8 @@ def verdict(text: Column, weights: list[int], threshold: int) -> Column:
         )
 
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BREAKS)) != "")
-    hashes = F.transform(words_of(text), lambda w: F.xxhash64(w))
-    return _let(hashes, lambda h: _let(_chained(h), lambda p: _let(lines, lambda x: of_hashes(h, p, x))))
+    hashes = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    return _let(words_of(text), lambda w: _let(hashes(w), lambda h: _let(_chained(h), lambda p: _let(lines, lambda x: of_hashes(w, h, p, x)))))
 
 
 def judge(docs: DataFrame, weights: list[int], threshold: int, text: str = "text", into: str = "quality_rules") -> DataFrame:
