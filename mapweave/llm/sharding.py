@@ -6,8 +6,8 @@ partitions (a small aggregation), the probes move in between the two that enclos
 between them are within tolerance. Then every row knows its piece, and its rank there after one exchange by piece; the
 counts below the boundaries give the slots without another one.
 
-Copies of one text stay together unless they weigh more than the tolerance: then their group is cut by key, as any other
-range. Null texts have size 8 and CRC 0 and stand with empty ones; null keys and repeated rows are ordered by row number;
+Copies of one text stay together, in one shard, unless they weigh over a hundredth of a shard (`together`): then their group
+is cut by key, as any other range. Null texts have size 8 and CRC 0 and stand with empty ones; null keys and repeated rows are ordered by row number;
 an empty table gives no rows. Shards with no rows are possible if there are fewer rows than shards.
 """
 
@@ -55,8 +55,11 @@ def _settle(s: _Search, at_end: bool) -> None:
     s.rows_below += s.rows * at_end
 
 
-def splitters(keyed: DataFrame, pieces: int, tolerance: float) -> tuple[list[_Search], int]:
-    """A settled search for each of the pieces - 1 targets, in order, and the number of all rows."""
+def splitters(keyed: DataFrame, pieces: int, tolerance: float, whole: float = 0.0) -> tuple[list[_Search], int]:
+    """A settled search for each of the pieces - 1 targets, in order, and the number of all rows.
+
+    Rows of one first key are cut only if they weigh more than the share `whole` of all bytes.
+    """
     shift = 63 - CELL_BITS
     first = keyed.groupBy(F.shiftright("k0", shift).alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("rows"), F.min("k0").alias("lo"), F.max("k0").alias("hi")).orderBy("cell").collect()
     total, rows = sum(r["size"] for r in first), sum(r["rows"] for r in first)
@@ -70,7 +73,8 @@ def splitters(keyed: DataFrame, pieces: int, tolerance: float) -> tuple[list[_Se
                 s.lo, s.hi, s.below, s.rows_below, s.size, s.rows = lo, hi, below, rows_below, size, n
                 break
             below, rows_below = below + size, rows_below + n
-        if s.size <= close or s.rows == 1 or (s.lo == s.hi and s.level == 2):
+        group = s.lo == s.hi and s.level == 0 and s.size <= whole * total
+        if s.size <= close or group or s.rows == 1 or (s.lo == s.hi and s.level == 2):
             _settle(s, at_end=2 * (s.target - s.below) > s.size)
         elif s.lo == s.hi:  # one value: go on with the next column
             s.fixed, s.level, s.lo, s.hi = (*s.fixed, s.lo), s.level + 1, 0, (1 << 63) - 1
@@ -116,10 +120,10 @@ def _piece(bounds: list[tuple[int, ...]], spark) -> tuple[DataFrame, Column]:
     return table_, F.col("before") + F.size(F.filter("bounds", lambda b: b <= F.struct(*KEYS)))
 
 
-def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", tolerance: float = 0.001, piece_rows: int = 50_000, most_pieces: int = 64) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", tolerance: float = 0.001, together: float = 0.01, piece_rows: int = 50_000, most_pieces: int = 64) -> DataFrame:
     """A row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: not the law).
 
-    tolerance: bytes by which a boundary may miss, of a piece. piece_rows, most_pieces: a shard is put in order in so many
+    tolerance: bytes by which a boundary may miss, of a piece. together: of a shard, up to which equal texts aren't cut. piece_rows, most_pieces: a shard is put in order in so many
     pieces that each has about piece_rows rows, and most_pieces at most.
     """
     spark, body = docs.sparkSession, text_or_empty(text)
@@ -130,7 +134,7 @@ def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "t
         ), "sizes",
     )
     per_shard = max(1, min(most_pieces, -(-keyed.count() // (shards * piece_rows))))
-    found, rows = splitters(keyed, shards * per_shard, tolerance)
+    found, rows = splitters(keyed, shards * per_shard, tolerance, together / shards)
     starts = [0, *(s.rows_below for s in found), rows]
     cells, piece = _piece([s.found for s in found], spark)
     first_slot = spark.createDataFrame([(p, starts[p] - starts[p - p % per_shard]) for p in range(shards * per_shard)], "piece int, first long")
