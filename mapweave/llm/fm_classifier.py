@@ -8,8 +8,9 @@ the product of their low-rank vectors; by the sum-of-squares identity all pairs
 It is fitted on the driver by Adagrad on the features of TRAIN labelled rows at most (the least by hash of the key); the model
 has a fixed size and is broadcast. Scoring reads every text once and needs no shuffle.
 
-Null and empty texts have no words and are scored by the rest; repeated rows and ties get equal scores; without labelled
-rows every score is the one half; words that share a bucket share parameters; the score is a new column, others are kept.
+Null and empty texts have no words and are scored by the rest; repeated rows and ties get equal scores; buckets that training
+never met weigh nothing, so without labelled rows every score is exactly one half; words that share a bucket share
+parameters; the score is a new column, others are kept.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Buckets of words, rank of the interactions, labelled rows used at most, passes over them.
 BUCKETS, RANK, TRAIN, EPOCHS = 1 << 16, 8, 6_000, 8
+#: Features of a batch that are scored at once.
+FLAT = 500_000
 #: Structure statistics, and one feature of metadata.
 STATISTICS = 14
 _KINDS = [b"#*$%&|<>", b"!?", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:", b"\n", bytes(range(128, 256))]
@@ -61,8 +64,22 @@ class Model:
         total = v.sum(axis=0)
         return float(self.bias + self.linear[at] @ x + 0.5 * (total @ total - (v * v).sum()))
 
-    def score(self, text: str | None, n_chars: int | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.margin(*features(text, n_chars)), -30, 30))))
+    def margins(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The same for many rows at once, about FLAT features at a time."""
+        out, k = [], 0
+        sizes = np.cumsum([len(at) for at, _ in rows])
+        while k < len(rows):
+            to = max(k + 1, int(np.searchsorted(sizes, (sizes[k - 1] if k else 0) + FLAT, side="right")))
+            at, x = (np.concatenate(c) for c in zip(*rows[k:to], strict=True))
+            starts = np.concatenate([[0], np.cumsum([len(a) for a, _ in rows[k : to - 1]])]).astype(np.int64)
+            v = self.factors[at] * x[:, None]
+            total = np.add.reduceat(v, starts)
+            out.append(self.bias + np.add.reduceat(self.linear[at] * x, starts) + 0.5 * ((total * total).sum(axis=1) - np.add.reduceat((v * v).sum(axis=1), starts)))
+            k = to
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.margins(rows), -30, 30)))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7, rate: float = 0.1, penalty: float = 1e-5) -> Model:
@@ -87,6 +104,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7, rate: flo
             np.add.at(gv, at, dv * dv)
             np.add.at(w, at, -rate * dw / np.sqrt(gw[at]))
             np.add.at(v, at, -rate * dv / np.sqrt(gv[at]))
+    met = np.zeros(n, bool)
+    for at, _, _ in rows:
+        met[at] = True
+    v[~met] = 0  # else their random start would count
     return Model(float(b), w.astype(np.float32), v.astype(np.float32))
 
 
@@ -128,8 +149,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", n_chars: str = "n_c
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array, sizes: pa.Array) -> pa.Array:
-        model = held.value
-        return pa.array([model.score(t.as_py(), n.as_py()) for t, n in zip(texts, sizes, strict=True)], pa.float64())
+        return pa.array(held.value.scores([features(t.as_py(), n.as_py()) for t, n in zip(texts, sizes, strict=True)]), pa.float64())
 
     return docs.withColumn(into, scored(F.col(text), _length(docs, n_chars)))
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from mapweave.llm import fm_classifier
 from mapweave.llm.fm_classifier import Model, classify, features
 from mapweave.llm.simhash import deduplicate, similar_classes
 from tests.llm.test_packing import verify
@@ -20,6 +21,14 @@ def test_margin_is_the_sum_over_pairs():
     assert model.margin(at, x) == pytest.approx(0.3 + model.linear[at] @ x + pairs)
 
 
+def test_rows_scored_together_score_as_alone(monkeypatch):
+    r = np.random.default_rng(4)
+    model = Model(-0.2, r.normal(size=70_000), r.normal(size=(70_000, 4)))
+    rows = [features(" ".join(f"w{k}" for k in range(n)), None) for n in (0, 5, 700, 1, 40)]
+    monkeypatch.setattr(fm_classifier, "FLAT", 100)
+    assert model.margins(rows) == pytest.approx([model.margin(*x) for x in rows])
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in classify(docs, labels).collect()}
@@ -32,7 +41,7 @@ def test_held_out_accuracy(spark):
 def test_odd_rows_and_no_labels(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "x " * 100_000, "a"), (3, "x", "b"), (None, "y", "b")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, quality int")
-    assert sorted(r.score for r in classify(docs, none).collect()) == pytest.approx([0.5] * 5, abs=0.05)
+    assert [(r.score, r.predicted) for r in classify(docs, none).collect()] == [(0.5, 1)] * 5
     assert classify(docs.limit(0), none).count() == 0
     some = spark.createDataFrame([(2, 0), (3, 1), (3, 0), (None, 1)], "doc_id long, quality int")
     assert classify(docs, some).count() == 5
