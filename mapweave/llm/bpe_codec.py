@@ -5,6 +5,7 @@ token merges to itself and every two neighbours, merged alone, stay the same two
 are tested at once in NumPy, and only words with a failing pair undergo exact merging. Ids and spellings of words are then
 joined to those of texts.
 
+Classes of characters, lower case and composition are the library's own, whatever its Unicode version (char_classes.py).
 Null texts encode as empty. Rows are independent: repeated rows, ties, extra columns and empty tables need no care.
 Special strings inside texts become their own ids, as the library has it by default.
 """
@@ -21,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from mapweave.llm.char_classes import Finder, Normaliser
 from mapweave.llm.common import WHITE_SPACE, doc_columns, map_arrow, to_byte_chars, tokenizer, tokenizer_path
 
 #: Distinct words and neighbour pairs that a worker remembers before it starts afresh.
@@ -102,6 +104,11 @@ class PairTest:
         return good[back]
 
 
+def _plain(text: str) -> str:
+    """Composed and in lower case; white space is left, since words hold none."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 class Codec:
     """Encodes and decodes with a word-level BPE file (lower case, white space dropped, word ends marked)."""
 
@@ -115,8 +122,9 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         # The word pattern of this family (contractions, words, single digits, symbols).
-        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE_SPACE}\p{{L}}\p{{N}}]+")
-        self.gaps = regex.compile(rf"[{WHITE_SPACE}]+")
+        words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE_SPACE}\p{{L}}\p{{N}}]+")
+        self.words = Finder(words, self.tok.pre_tokenizer, runs=False)
+        self.normalise = Normaliser(self.tok.normalizer, _plain)
         self.spell = to_byte_chars()
         self.ranks = dict(zip(self.pairs.keys.tolist(), self.pairs.to.tolist(), strict=True))
         self.whole = {t: i for t, i in self.vocab.items() if self._proven(t, i)}  # only these are proposed
@@ -175,21 +183,16 @@ class Codec:
             self.ids_of[w] = np.array(ids, "<u4").tobytes()
             self.text_of[w] = " ".join([names[i] for i in ids])
 
-    def normalise(self, text: str) -> str:
-        if text.isascii():
-            return text.lower()
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-
     def pieces(self, text: str) -> list[str]:
         """Words of a text in order; special strings stand as they are, marked by a leading NUL and white space, which no word holds."""
         if self.cut is None or not any(s in text for s in self.special):
-            return self.words.findall(self.normalise(text))
+            return self.words(self.normalise(text))
         out: list[str] = []
         for part in self.cut.split(text):
             if part in self.special:
                 out.append("\0 " + part)
             else:
-                out += self.words.findall(self.normalise(part))
+                out += self.words(self.normalise(part))
         return out
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:

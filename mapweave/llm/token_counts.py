@@ -4,6 +4,7 @@ Most words of a text are one token. Offline, every vocabulary string is put thro
 as one token are proven whole. A pre-token equal to a proven string counts 1 by a look-up; only the rest is merged, once
 for each distinct pre-token that a worker meets (a bounded memory, emptied when full).
 
+Classes of characters are the library's own, whatever its Unicode version (char_classes.py).
 Null texts count as empty (0 bytes, 0 tokens). Rows are independent: repeated rows, ties and extra columns change nothing,
 an empty table gives an empty result. Special strings inside texts are one token each, as the library has it by default.
 """
@@ -16,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from mapweave.llm.char_classes import Finder
 from mapweave.llm.common import WHITE_SPACE, byte_chars, doc_columns, map_arrow, to_byte_chars, tokenizer, tokenizer_path
 
 #: The pre-token pattern of byte-level BPE (contractions, words, numbers, symbols, white space).
@@ -71,7 +73,7 @@ def _counter(path: str):
     tok = tokenizer(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
     cut = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
-    counts, find = _Counts(tok.model, proven_whole(path)), pre_token_pattern().findall
+    counts, find = _Counts(tok.model, proven_whole(path)), Finder(pre_token_pattern(), tok.pre_tokenizer, runs=True)
     look = counts.__getitem__
 
     def count(text: str | None) -> int:

@@ -5,7 +5,7 @@ import pytest
 
 from mapweave.llm.bpe_codec import codec, encode_decode
 from mapweave.llm.common import tokenizer, tokenizer_path
-from mapweave.llm.token_counts import count_tokens, proven_whole
+from mapweave.llm.token_counts import _counter, count_tokens, proven_whole
 
 ODD = [
     None, "", " ", "plain words", " a  b\n\n  x  y \x1c\x1d z\x85w", "A<|endoftext|>B <|startoftext|> C<|endoftext|>", "İstanbul ΣΑΣ ÀÉ é ﬁ", "don't I'LL we'Ve 12345 ½ ² ٣", "\0 hi", "日本語 テキスト 😀😀",
@@ -78,3 +78,24 @@ def test_pairs_are_what_merging_leaves():
     for x, y, g in zip(a.tolist(), b.tolist(), good.tolist(), strict=True):
         spelt = k.names[x] + k.names[y].removesuffix("</w>")
         assert ([t.id for t in k.tok.model.tokenize(spelt)] == [x, y]) == g
+
+
+def every_code_point():
+    """A text for each, beside letters, digits, white space, an apostrophe and combining marks."""
+    for c in map(chr, (k for k in range(1, 0x30000) if not 0xD800 <= k < 0xE000)):
+        yield f"A{c}b {c} 1{c}2  {c}{c}'s !{c}? e{c}́ aͅ{c}"
+
+
+def test_every_code_point_is_taken_as_the_library_takes_it():
+    texts = list(every_code_point())
+    path = tokenizer_path("byte_bpe_50k.json")
+    count = _counter(path)[0]
+    own = codec(tokenizer_path("word_bpe_49k.json"))
+    other = tokenizer(tokenizer_path("word_bpe_49k.json"))
+    for k in range(0, len(texts), 20_000):
+        some = texts[k : k + 20_000]
+        want = [len(x.ids) for x in tokenizer(path).encode_batch(some, add_special_tokens=False)]
+        assert [hex(k + i) for i, t in enumerate(some) if count(t) != want[i]] == []
+        want = [np.array(x.ids, "<u4").tobytes() for x in other.encode_batch(some, add_special_tokens=False)]
+        got = own.encode_batch(some)
+        assert [hex(k + i) for i in range(len(some)) if got[i][0] != want[i]] == []
