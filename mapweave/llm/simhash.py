@@ -3,14 +3,15 @@
 A fingerprint takes, for each of 64 bits, the majority over the XXH64 hashes of all shingles of words. Two fingerprints are
 linked if at most `bits` bits differ.
 
-Distances to many fixed reference fingerprints (pivots) are computed once for each fingerprint. By the triangle inequality
-no coordinate of two linked fingerprints differs by more than `bits`: pairs with a larger difference are discarded, and
-only the rest is verified on all 64 bits. Since the coordinates of unrelated fingerprints lie close together, pivots alone
-would leave all pairs to look at; so the fingerprints are first dealt out by parts: of `parts` parts of the bits at least
-parts - bits agree in any linked pair, which therefore meets in one of the tables by `parts - bits` parts. No link is lost.
+Distances to eight fixed reference fingerprints (pivots) are computed once for each fingerprint and travel with it, a byte each. By the
+triangle inequality no coordinate of two linked fingerprints differs by more than `bits`. Within a bucket, members are sorted by
+the first coordinate, so that only a window is looked at; pairs with a larger difference in another coordinate are discarded,
+and only the rest is verified on all 64 bits. Since the coordinates of unrelated fingerprints lie close together, pivots alone
+would leave most pairs to look at; so the fingerprints are first dealt out by parts: of bits + 3 parts of the bits at least three
+agree in any linked pair, which therefore meets in one of the tables by three parts. No link is lost.
 
 Equal fingerprints are one node, so groups of copies cost one row. Within a bucket only its components are passed on, one
-row for each member, never the pairs. Large buckets are walked from node to node over the shrinking rest.
+row for each member, never the pairs. Large buckets are dealt out in blocks, a task for each pair of blocks.
 
 Null and empty texts have fingerprint zero and are linked like any other; repeated rows and ties are equal fingerprints;
 an empty table gives no rows; other columns are left alone.
@@ -26,69 +27,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mapweave.llm.blocks import in_blocks
 from mapweave.llm.common import doc_columns, group_numbers, map_arrow, shingles, whole_groups, written
 from mapweave.llm.components import connected_components, local_components
-from mapweave.llm.set_join import links_of_sets, shingle_sets
+from mapweave.llm.pivots import coordinates, linked, majority, packed, references, unpacked
+from mapweave.llm.set_join import links_of_sets, node_rows
 
-#: Parts of the 64 bits; linked pairs agree in all but `bits` of them.
-PARTS = 7
-PIVOTS = np.random.default_rng(64).integers(0, 1 << 64, (32, 4), dtype=np.uint64)
-#: Members of a bucket up to which all its pairs are put through the tables at once.
-AT_ONCE = 64
-#: Shingles whose bits are counted at once.
-CHUNK = 1 << 15
+#: Parts of the bits that agree under each table; differing bits that may be asked for.
+AGREEING, MOST_BITS = 3, 12
+PIVOTS = references(1)
+#: Members of a bucket up to which all its pairs are put through the tables at once; members to a block of a larger bucket.
+AT_ONCE, BLOCK = 64, 4096
 
 
 def fingerprint(text: str | bytes | None, words: int = 4) -> int:
     import xxhash
 
     pieces = shingles(text, words)
-    digest, counts = xxhash.xxh64_digest, np.zeros(64, np.int64)
-    for k in range(0, len(pieces), CHUNK):
-        rows = np.frombuffer(b"".join([digest(p, 42) for p in pieces[k : k + CHUNK]]), np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(pieces)).tobytes(), "big")
+    digests = np.frombuffer(b"".join([xxhash.xxh64_digest(p, 42) for p in pieces]), np.uint8).reshape(-1, 8)
+    return int.from_bytes(majority(digests).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """A row (doc_id, text_hash, fp: the fingerprint's bits as a long) for each row of docs."""
+    """A row (doc_id, text_hash, fp: the fingerprint's bits as a long, pivots: its distances) for each row of docs."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = np.array([fingerprint(b if (b := v.as_buffer()) is None else b.to_pybytes(), words) for v in batch.column(1)], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got.view(np.int64)), pa.array(packed(coordinates(got[:, None], PIVOTS)))], names=["doc_id", "text_hash", "fp", "pivots"])
 
-    return map_arrow(doc_columns(docs, key, text).withColumn("text_hash", F.xxhash64("text")), each, "doc_id long, text_hash long, fp long")
+    return map_arrow(doc_columns(docs, key, text).withColumn("text_hash", F.xxhash64("text")), each, "doc_id long, text_hash long, fp long, pivots long")
 
 
-def _masks(bits: int) -> list[int]:
-    cuts = [round(i * 64 / PARTS) for i in range(PARTS + 1)]
-    part = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(PARTS)]
-    return [sum(c) - (1 << 64 if sum(c) >> 63 else 0) for c in combinations(part, PARTS - bits)]
+def masks(bits: int) -> list[int]:
+    """For 64-bit numbers that differ in `bits` bits at most: masks of which one at least shows them equal."""
+    if not 0 <= bits <= MOST_BITS:
+        raise ValueError(f"fingerprints are linked at 0 to {MOST_BITS} differing bits")
+    parts = bits + AGREEING
+    cuts = [round(i * 64 / parts) for i in range(parts + 1)]
+    part = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(parts)]
+    return [sum(c) - (1 << 64 if sum(c) >> 63 else 0) for c in combinations(part, AGREEING)]
 
 
-def _coordinates(fp: np.ndarray) -> np.ndarray:
-    """Distances to the pivots, of fingerprints (rows, words)."""
-    return sum(np.bitwise_count(fp[:, w, None] ^ PIVOTS[None, :, w]).astype(np.int16) for w in range(fp.shape[1]))
-
-
-def _linked(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> np.ndarray:
-    """Which pairs i, j are linked: discards by the pivots, a few at a time, then verifies."""
-    keep = np.arange(len(i))
-    for k in range(0, len(PIVOTS), 8):
-        keep = keep[np.abs(table[i[keep], k : k + 8] - table[j[keep], k : k + 8]).max(axis=1, initial=0) <= bits]
-    return keep[np.bitwise_count(fp[i[keep]] ^ fp[j[keep]]).sum(axis=1, dtype=np.int64) <= bits]
-
-
-def _walk(fp: np.ndarray, bits: int) -> np.ndarray:
-    """Components of one large bucket: from each node to what it is linked to among those not met yet."""
-    n, table = len(fp), _coordinates(fp)
-    label, rest = np.arange(n), np.arange(n)
+def _walk(fp: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """Components of one large bucket, sorted by the first coordinate: from each node to what it is linked to among those not met yet."""
+    label, rest = np.arange(len(fp)), np.arange(len(fp))
     while len(rest):
         seed, rest = rest[0], rest[1:]
         front = [seed]
         while front and len(rest):
             x = front.pop()
-            near = _linked(fp, table, np.full(len(rest), x), rest, bits)
+            lo, hi = np.searchsorted(table[rest, 0], [table[x, 0] - bits, table[x, 0] + bits + 1])
+            near = lo + linked(fp, table, np.full(hi - lo, x), rest[lo:hi], bits)
             if len(near):
                 label[rest[near]] = seed
                 front += rest[near].tolist()
@@ -96,45 +85,46 @@ def _walk(fp: np.ndarray, bits: int) -> np.ndarray:
     return label
 
 
-def bucket_links(group: np.ndarray, node: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """group: sorted bucket numbers; fp: (rows, words). Gives each member's node and the first one of its component in the bucket, where they differ."""
+def bucket_links(group: np.ndarray, node: np.ndarray, fp: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """group: bucket numbers; fp: (rows, words); table: coordinates. Sorted by group, then by the first coordinate.
+
+    Gives each member's node and that of a member of its component in the bucket, where they differ.
+    """
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(group)]]))
     label = np.arange(len(fp))
-    small = np.repeat((sizes > 1) & (sizes <= AT_ONCE), sizes)
-    at = np.flatnonzero(small)
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= AT_ONCE), sizes))
     if len(at):
-        sub, own = fp[at], group[at]
-        table, a, b = _coordinates(sub), [], []
+        sub, own, rows, a, b = fp[at], group[at], table[at], [], []
+        i = np.arange(len(at))
         for step in range(1, AT_ONCE):
-            i = np.flatnonzero(own[step:] == own[:-step])
+            i = i[i + step < len(at)]
+            i = i[(own[i + step] == own[i]) & (rows[i + step, 0] - rows[i, 0] <= bits)]  # once the next is too far, all further ones are
             if not len(i):
                 break
-            i = i[_linked(sub, table, i, i + step, bits)]
-            a.append(i)
-            b.append(i + step)
-        label[at] = at[local_components(len(at), np.concatenate(a), np.concatenate(b))]
+            met = i[linked(sub, rows, i, i + step, bits)]
+            a.append(met)
+            b.append(met + step)
+        if a:
+            label[at] = at[local_components(len(at), np.concatenate(a), np.concatenate(b))]
     for s, n in zip(starts[sizes > AT_ONCE], sizes[sizes > AT_ONCE], strict=True):
-        label[s : s + n] = s + _walk(fp[s : s + n], bits)
+        label[s : s + n] = s + _walk(fp[s : s + n], table[s : s + n], bits)
     apart = np.flatnonzero(label != np.arange(len(fp)))
     return node[apart], node[label[apart]]
 
 
-def links_of(nodes: DataFrame, bits: int, words: list[str], tables: list[tuple[int, int]]) -> DataFrame:
-    """nodes: distinct fingerprints (node and columns `words`). Links (a, b) that have the components of all pairs within `bits` bits which agree under a mask of a word.
-
-    tables: (word, mask). A single word is its node.
-    """
-    own = words if len(words) == 1 else ["node", *words]
-    entries = F.array(*[F.struct(F.lit(t).alias("t"), F.col(words[w]).bitwiseAND(F.lit(m)).alias("k")) for t, (w, m) in enumerate(tables)])
-    dealt = nodes.select(*own, F.explode(entries).alias("b")).select("b.t", "b.k", *own)
+def links_of(nodes: DataFrame, bits: int) -> DataFrame:
+    """nodes: distinct fingerprints (fp, pivots). Links (a, b) that have the components of all pairs within `bits` bits."""
+    entries = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks(bits))])
+    dealt = in_blocks(nodes.select("fp", "pivots", F.explode(entries).alias("e")).select("e.t", "e.k", "fp", "pivots"), ["t", "k"], "fp", BLOCK)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, k, *columns in whole_groups(batches, 2):
-            a, b = bucket_links(group_numbers([t, k]), columns[0], np.stack(columns[-len(words) :], axis=1).view(np.uint64), bits)
+        for t, k, b, pivots, fp in whole_groups(batches, 3):
+            a, b = bucket_links(group_numbers([t, k, b]), fp, fp[:, None].view(np.uint64), unpacked(pivots), bits)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return dealt.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(each, "a long, b long")
+    order = ["t", "k", "b"]
+    return dealt.repartition(*order).sortWithinPartitions(*order, "pivots").select(*order, "pivots", "fp").mapInArrow(each, "a long, b long")
 
 
 def _classed(prints: DataFrame, nodes: DataFrame, links: DataFrame, by: str) -> DataFrame:
@@ -147,15 +137,16 @@ def _classed(prints: DataFrame, nodes: DataFrame, links: DataFrame, by: str) ->
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
     """A row (doc_id, text_hash, fp, component_id, root) for each row of docs."""
     prints = written(fingerprints(docs, key, text, words), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.col("fp")), "nodes")
-    return _classed(prints, nodes, links_of(nodes.select("fp", "node"), bits, ["fp"], [(0, m) for m in _masks(bits)]), "fp")
+    nodes = written(prints.groupBy("fp", "pivots").agg(F.min("doc_id").alias("low")).withColumn("node", F.col("fp")), "nodes")
+    return _classed(prints.drop("pivots"), nodes, links_of(nodes.select("fp", "pivots"), bits), "fp")
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """A row (doc_id, text_hash, node, component_id, root) for each row of docs; links are all pairs whose sets of shingles have that Jaccard similarity."""
-    sets = written(shingle_sets(docs, key, text, words), "shingle-sets")
-    prints = sets.select("doc_id", "text_hash", "node")
-    return _classed(prints, prints.groupBy("node").agg(F.min("doc_id").alias("low")), links_of_sets(sets, similarity), "node")
+    made, hot = node_rows(docs, key, text, words, similarity)
+    rows = written(made, "set-prints")
+    prints = rows.select("doc_id", "text_hash", "node")
+    return _classed(prints, prints.groupBy("node").agg(F.min("doc_id").alias("low")), links_of_sets(rows, docs, key, text, words, similarity, hot), "node")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4) -> DataFrame:

@@ -6,6 +6,8 @@ import pytest
 import xxhash
 
 from mapweave.llm.sharding import shard
+from mapweave.llm import blocks, set_join, simhash
+from mapweave.llm.pivots import coordinates, packed, unpacked
 from mapweave.llm.simhash import bucket_links, fingerprint, near_duplicates, similar_classes
 
 SCHEMA = "doc_id long, text string, size string, shard string"
@@ -45,9 +47,13 @@ def test_fingerprint_is_the_plain_majority():
     assert fingerprint("ÀB c d") == plain_fingerprint("ÀB c d")
 
 
-def test_near_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize(("bits", "block"), [(4, simhash.BLOCK), (4, 2), (0, simhash.BLOCK), (9, simhash.BLOCK)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, bits, block):
+    """Also with buckets cut into blocks of two, at which every pair must still meet."""
+    monkeypatch.setattr(blocks, "PART", 1)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rows = corpus()
-    got = near_duplicates(docs(spark, rows)).collect()
+    got = near_duplicates(docs(spark, rows), bits=bits).collect()
     prints = {i: plain_fingerprint(t) for i, t in rows}
     low = {i: i for i in prints}
     changed = True
@@ -55,7 +61,7 @@ def test_near_duplicates_against_brute_force(spark):
         changed = False
         for i in prints:
             for j in prints:
-                if bin(prints[i] ^ prints[j]).count("1") <= 4 and low[j] < low[i]:
+                if bin(prints[i] ^ prints[j]).count("1") <= bits and low[j] < low[i]:
                     low[i], changed = low[j], True
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((i, f"{prints[i]:016x}", low[i]) for i, _ in rows)
 
@@ -64,7 +70,11 @@ def test_large_bucket_is_walked():
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 64, 6, dtype=np.uint64)
     fp = np.unique(np.array([b ^ np.uint64(sum(1 << int(k) for k in r.choice(40, r.integers(0, 4), replace=False))) for b in base for _ in range(60)], np.uint64))
-    a, b = bucket_links(np.zeros(len(fp), int), fp, fp[:, None], 4)
+    table = coordinates(fp[:, None], simhash.PIVOTS)
+    assert (unpacked(packed(table)) == table).all()
+    order = np.argsort(packed(table))
+    fp, table = fp[order], table[order]
+    a, b = bucket_links(np.zeros(len(fp), int), fp, fp[:, None], table, 4)
     near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
     reach = near.copy()
     for _ in range(10):
@@ -96,6 +106,16 @@ def test_shards(spark, piece_rows):
     assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
 
 
+def test_equal_texts_stay_in_one_shard(spark):
+    """Groups up to a hundredth of a shard, whatever the boundaries."""
+    r = random.Random(8)
+    rows = [(i, f"text {r.randrange(2500)} " * r.randrange(1, 4)) for i in range(12_000)]
+    got = shard(docs(spark, rows)).groupBy("text_crc32").agg({"shard": "min", "size": "sum"}).join(shard(docs(spark, rows)).groupBy("text_crc32").agg({"shard": "max"}), "text_crc32").collect()
+    whole = 0.01 * sum(x["sum(size)"] for x in got) / 24
+    small = [x for x in got if x["sum(size)"] <= whole]
+    assert len(small) > 1000 and all(x["min(shard)"] == x["max(shard)"] for x in small)
+
+
 def test_one_row_and_hot_key(spark):
     assert [(r.shard is not None, r.slot) for r in shard(docs(spark, [(1, "a")])).collect()] == [(True, 0)]
     got = shard(docs(spark, [(7, "same") for _ in range(480)])).collect()
@@ -167,8 +187,29 @@ def changed(r, words, similarity):
     return [*words[:k], *[f"new{r.random()}" for _ in range(run)], *words[k + run :]]
 
 
-def test_classes_are_those_of_the_verified_pairs(spark):
-    """Pairs on both sides of 0.8, most of them between 0.7 and 0.85, and a group of copies that share a passage."""
+def test_bits_asked_for_have_a_range():
+    for bits in (-1, 13):
+        with pytest.raises(ValueError, match="differing bits"):
+            simhash.masks(bits)
+
+
+def test_limits_of_fingerprints_hold():
+    """Distances of pairs at the similarity stay within the limits, by far."""
+    r = random.Random(2)
+    for n, limit in ((5, set_join.bits_of(0.8, set_join.FEW_SHARE)), (18, set_join.bits_of(0.8, set_join.FEW_SHARE)), (36, set_join.bits_of(0.8)), (360, set_join.bits_of(0.8))):
+        far = []
+        for _ in range(300):
+            whole = [f"s{r.random()}" for _ in range(n)]
+            a, b = (set_join.majority(set_join.digests_of(" ".join(x), 1)) for x in (whole, whole[: round(n * 0.8)]))
+            far.append(int(np.bitwise_count(a ^ b).sum()))
+        assert max(far) <= limit and np.mean(far) < 0.7 * limit
+
+
+@pytest.mark.parametrize("block", [8192, 4])
+def test_classes_are_those_of_the_verified_pairs(spark, monkeypatch, block):
+    """Pairs on both sides of 0.8, most of them between 0.7 and 0.85, and a group of copies that share a passage; also with buckets in blocks of four."""
+    monkeypatch.setattr(set_join, "BLOCK", block)
+    monkeypatch.setattr(blocks, "PART", 1)
     r = random.Random(11)
     rows = []
     for similarity in [0.65, 0.7, 0.72, 0.74, 0.76, 0.78, 0.79, 0.8, 0.81, 0.82, 0.83, 0.85, 0.9] * 8:
