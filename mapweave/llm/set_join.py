@@ -11,8 +11,9 @@ for a pair at the very limit, less for closer ones. Members of a bucket serve as
 pivot by more than the limit isn't compared. Every pair that is left is a link only if the whole sets, made anew from the
 texts, verify it.
 
-Since only components are wanted, every member of a bucket is first verified against one representative; then all pairs of
-members that still lie in different components are. Groups of near copies thus cost a row for each member, not for each pair.
+Since only components are wanted, every member of a bucket is first verified against one representative, then in some rounds
+against the nearest member of another component; then all pairs of members that still lie in different components are. Groups
+of near copies thus cost a few rows for each member, not one for each pair.
 Buckets of frequent shingles are dealt out in blocks.
 
 Equal sets are one node. Texts without words are one node too; shorter texts than a shingle are their whole sequence of words.
@@ -39,6 +40,8 @@ SAMPLE, PART, FREQUENT = 20_000, 16, 300_000
 BLOCK = 8192
 #: Nodes whose texts are picked out by a broadcast; more are by a shuffled join.
 BROADCAST = 500_000
+#: Rounds in which each node asks for its nearest one only before all pairs that are still apart are verified.
+ROUNDS = 1
 #: Pairs that are put out at once.
 AT_ONCE = 1 << 20
 ROUNDING = 1e-9
@@ -127,9 +130,19 @@ def _possible(n: np.ndarray, at: np.ndarray, other_n: np.ndarray, other_at: np.n
     return (np.minimum(n, other_n) >= similarity * np.maximum(n, other_n) - ROUNDING) & (np.minimum(n - at, other_n - other_at) >= needed)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+def middle_members(group: np.ndarray, node: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """For each member of sorted groups the one whose fingerprint lies nearest to what most of them have: of near copies, their source."""
+    _, group = np.unique(group, return_inverse=True)
+    size, counts = np.bincount(group), np.zeros((group[-1] + 1, BITS), np.int32)
+    bytes_ = np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1)
+    for k in range(0, len(fp), AT_ONCE // 8):
+        part = group[k : k + AT_ONCE // 8]
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        counts[part[starts]] += np.add.reduceat(np.unpackbits(bytes_[k : k + AT_ONCE // 8], axis=1), starts, dtype=np.int32)
+    middle = np.packbits(2 * counts > size[:, None], axis=1)
+    far = np.bitwise_count(bytes_ ^ middle[group]).sum(axis=1, dtype=np.int64)
+    order = np.lexsort((node, far, group))
+    return order[np.concatenate([[True], group[order][1:] != group[order][:-1]])][group]
 
 
 def _limits(n: np.ndarray, other_n: np.ndarray, similarity: float) -> np.ndarray:
@@ -139,7 +152,7 @@ def _limits(n: np.ndarray, other_n: np.ndarray, similarity: float) -> np.ndarray
 def shared_shingles(rows: DataFrame, hot: list[tuple[int, int]], similarity: float) -> DataFrame:
     """Rows (shingle, node, na: size and place, f0, f1, first, far) of shingles in prefixes of several nodes.
 
-    first: the representative of the member's part of the bucket, at a distance of `far` bits; null where it can't be similar.
+    first: the representative of the member's part of the bucket, at a distance of `far` bits; null where it can't be similar or is the member itself.
     hot: frequent shingles, and the parts of their buckets.
     """
     heads = rows.select("node", "n", "f0", "f1", "head").dropDuplicates(["node"])
@@ -156,34 +169,57 @@ def shared_shingles(rows: DataFrame, hot: list[tuple[int, int]], similarity: flo
             if not keep.any():
                 continue
             group, shingle, node, na, f0, f1 = (c[keep] for c in (group, shingle, node, na, f0, f1))
-            order = np.lexsort((_mixed(node), group))  # the same few nodes represent all buckets of a group of copies
-            group, shingle, node, na, f0, f1 = (c[order] for c in (group, shingle, node, na, f0, f1))
-            n, at = na >> 32, na & 0xFFFFFFFF
-            starts = np.concatenate([[True], group[1:] != group[:-1]])
-            first = np.maximum.accumulate(np.where(starts, np.arange(len(node)), 0))
-            far = np.bitwise_count((f0 ^ f0[first]).view(np.uint64)).astype(np.int64) + np.bitwise_count((f1 ^ f1[first]).view(np.uint64))
-            fits = _possible(n, at, n[first], at[first], similarity) & ~starts & (far <= _limits(n, n[first], similarity))
+            n, at, fp = na >> 32, na & 0xFFFFFFFF, np.stack([f0, f1], axis=1).view(np.uint64)
+            first = middle_members(group, node, fp)
+            far = np.bitwise_count(fp ^ fp[first]).sum(axis=1, dtype=np.int64)
+            fits = _possible(n, at, n[first], at[first], similarity) & (first != np.arange(len(node))) & (far <= _limits(n, n[first], similarity))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (shingle, node, na, f0, f1)] + [pa.array(node[first], mask=~fits), pa.array(far.astype(np.int32))], names=["shingle", "node", "na", "f0", "f1", "first", "far"])
 
     columns = dealt.select("shingle", salt.alias("salt"), "node", "na", "f0", "f1")
     return columns.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt").mapInArrow(each, "shingle long, node long, na long, f0 long, f1 long, first long, far int")
 
 
-def pairs_apart(shared: DataFrame, roots: DataFrame, hot: list[tuple[int, int]], similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes of different components which neither a shared shingle nor the fingerprints rule out."""
-    rows = written(shared.select("shingle", "na", "f0", "f1", "node").join(roots, "node", "left").select("shingle", "na", "f0", "f1", "node", F.coalesce("root", "node").alias("root")), "shared-roots")
+def _met(group: np.ndarray, n: np.ndarray, at: np.ndarray, fp: np.ndarray, root: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs i, j of members of a bucket (sorted by bucket, then by size) of different components that nothing rules out, and their bits."""
+    wide, narrow = bits_of(similarity, FEW_SHARE), bits_of(similarity)
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    run = np.repeat(starts, np.diff([*starts, len(group)]))
+    pivots = np.stack([run, np.minimum(run + 1, len(group) - 1)], axis=1)  # two members of each bucket
+    table = np.bitwise_count(fp[:, None, :] ^ fp[pivots]).sum(axis=2, dtype=np.int16)
+    i, step = np.arange(len(n)), 0
+    while len(i):  # sizes ascend: once the next one is too large for a node, all further ones are
+        step += 1
+        i = i[i + step < len(n)]
+        i = i[(group[i] == group[i + step]) & (n[i] >= similarity * n[i + step] - ROUNDING)]
+        met = i[(root[i] != root[i + step]) & _possible(n[i], at[i], n[i + step], at[i + step], similarity)]
+        met = met[linked(fp, table, met, met + step, wide)]
+        far = np.bitwise_count(fp[met] ^ fp[met + step]).sum(axis=1, dtype=np.int64)
+        near = (far <= narrow) | (n[met] < FEW)
+        if near.any():
+            yield met[near], met[near] + step, far[near]
+
+
+def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(2)], names=["a", "b"])
+
+
+def pairs_apart(shared: DataFrame, roots: DataFrame, hot: list[tuple[int, int]], similarity: float, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of different components which neither a shared shingle nor the fingerprints rule out.
+
+    With `nearest` only one for each node: the member of another component with the nearest fingerprint. These are links as a rule,
+    so most components grow together before all the other pairs are asked for.
+    """
+    spark = shared.sparkSession
+    known = F.broadcast(roots) if roots.count() <= BROADCAST else roots
+    rows = shared.select("shingle", "na", "f0", "f1", "node").join(known, "node", "left").select("shingle", "na", "f0", "f1", "node", F.coalesce("root", "node").alias("root"))
     if hot:  # most of these buckets are one component by now
-        listed = F.broadcast(rows.sparkSession.createDataFrame(hot, "shingle long, parts long").select("shingle"))
-        one = rows.join(listed, "shingle").groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo = hi").select("shingle")
+        listed = F.broadcast(spark.createDataFrame(hot, "shingle long, parts long").select("shingle"))
+        one = written(rows.join(listed, "shingle").groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo = hi").select("shingle"), "whole-buckets")
         rows = rows.join(F.broadcast(one), "shingle", "left_anti")
     dealt = in_blocks(rows, ["shingle"], "node", BLOCK)
 
-    def out(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(2)], names=["a", "b"])
-
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide, narrow = bits_of(similarity, FEW_SHARE), bits_of(similarity)
         for shingle, b, na, f0, f1, node, root in whole_groups(batches, 2):
             group = group_numbers([shingle, b])
             low, high = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.full(group[-1] + 1, np.iinfo(np.int64).min)
@@ -195,33 +231,33 @@ def pairs_apart(shared: DataFrame, roots: DataFrame, hot: list[tuple[int, int]],
             group, na, f0, f1, node, root = (c[keep] for c in (group, na, f0, f1, node, root))
             order = np.lexsort((na, group))
             group, na, f0, f1, node, root = (c[order] for c in (group, na, f0, f1, node, root))
-            n, at, fp = na >> 32, na & 0xFFFFFFFF, np.stack([f0, f1], axis=1).view(np.uint64)
-            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            run = np.repeat(starts, np.diff([*starts, len(group)]))
-            pivots = np.stack([run, np.minimum(run + 1, len(group) - 1)], axis=1)  # two members of each bucket
-            table = np.bitwise_count(fp[:, None, :] ^ fp[pivots]).sum(axis=2, dtype=np.int16)
-            i, step, a, b, held = np.arange(len(n)), 0, [], [], 0
-            while len(i):  # sizes ascend: once the next one is too large for a node, all further ones are
-                step += 1
-                i = i[i + step < len(n)]
-                i = i[(group[i] == group[i + step]) & (n[i] >= similarity * n[i + step] - ROUNDING)]
-                met = i[(root[i] != root[i + step]) & _possible(n[i], at[i], n[i + step], at[i + step], similarity)]
-                met = met[linked(fp, table, met, met + step, wide)]
-                far = np.bitwise_count(fp[met] ^ fp[met + step]).sum(axis=1, dtype=np.int64)
-                met = met[(far <= narrow) | (n[met] < FEW)]
-                if len(met):
-                    a.append(np.maximum(node[met], node[met + step]))
-                    b.append(np.minimum(node[met], node[met + step]))
-                    held += len(met)
+            best, other = np.full(len(node), 2 * BITS), node.copy()
+            x, y, held = [], [], 0
+            for i, j, far in _met(group, na >> 32, na & 0xFFFFFFFF, np.stack([f0, f1], axis=1).view(np.uint64), root, similarity):
+                if nearest:
+                    for p, q in ((i, j), (j, i)):
+                        nearer = far < best[p]
+                        best[p[nearer]], other[p[nearer]] = far[nearer], node[q[nearer]]
+                    continue
+                x.append(np.maximum(node[i], node[j]))
+                y.append(np.minimum(node[i], node[j]))
+                held += len(i)
                 if held > AT_ONCE:
-                    yield out(a, b)
-                    a, b, held = [], [], 0
-            if held:
-                yield out(a, b)
-
-    columns = dealt.select("shingle", "b", "na", "f0", "f1", "node", "root")
-    found = written(columns.repartition("shingle", "b").sortWithinPartitions("shingle", "b").mapInArrow(each, "a long, b long").distinct(), "pairs-apart")
-    return found
+                    yield _distinct(x, y)
+                    x, y, held = [], [], 0
+            if nearest:
+                order = np.lexsort((other, best, node))
+                first = order[np.concatenate([[True], node[order][1:] != node[order][:-1]])]
+                first = first[best[first] < 2 * BITS]
+                yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(other[first]), pa.array(best[first])], names=["a", "b", "far"])
+            elif held:
+                yield _distinct(x, y)
+
+    columns = dealt.select("shingle", "b", "na", "f0", "f1", "node", "root").repartition("shingle", "b").sortWithinPartitions("shingle", "b")
+    if not nearest:
+        return written(columns.mapInArrow(each, "a long, b long").distinct(), "pairs-apart")
+    chosen = columns.mapInArrow(each, "a long, b long, far long").groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+    return written(chosen.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs-near")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
@@ -281,7 +317,9 @@ def links_of_sets(rows: DataFrame, docs: DataFrame, key: str, text: str, words:
     """rows: written rows of node_rows. Links (a, b) that have the components of all pairs of that similarity, each verified."""
     shared = written(shared_shingles(rows, hot, similarity), "shared-shingles")
     stars = shared.filter("first IS NOT NULL").groupBy(F.col("node").alias("a")).agg(F.min_by("first", F.struct("far", "first")).alias("b"))
-    stars = verified(written(stars, "stars"), rows, docs, key, text, words, similarity)
-    pairs = pairs_apart(shared, connected_components(stars), hot, similarity)
+    found = verified(written(stars, "stars"), rows, docs, key, text, words, similarity)
+    for k in range(ROUNDS + 1):
+        pairs = pairs_apart(shared, connected_components(found), hot, similarity, nearest=k < ROUNDS)
+        found = found.union(verified(pairs, rows, docs, key, text, words, similarity))
     drop_written(shared)
-    return stars.union(verified(pairs, rows, docs, key, text, words, similarity))
+    return found
