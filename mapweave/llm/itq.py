@@ -1,13 +1,16 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 Rotations are learned (on a bounded sample) that make the signs of rotated vectors balanced codes of 64 bits with little
-loss. Every vector is coded under ROTATIONS of them; each code is cut into PARTS parts, and vectors that agree in a part meet in
-a bucket of one of the ROTATIONS * PARTS tables. Pairs there whose codes differ in NEAR bits at most are candidates, and
+loss. Every vector is coded under several of them; each code is cut into parts, and vectors that agree in a part meet in
+a bucket of one of the rotations * parts tables. Pairs there whose codes differ in NEAR bits at most are candidates, and
 their cosine is taken from the original vectors in double precision: no link below the limit is ever returned.
 
+The width of a part grows with the logarithm of the number of vectors, so that buckets of unrelated ones stay small at any size;
+longer parts agree more seldom, so there are more tables, for the same share of links found (see `Shape`).
+
 Equal vectors are one node with a weight. Buckets first pass with codes alone; only members with a near code get their
-vectors, so unrelated vectors cost no more than that. Members of large buckets are dealt out in blocks, a task for each
-pair of blocks. A pair that meets in several tables counts in the first. From a bucket come, for each member, the weight of its
+vectors, so unrelated vectors cost no more than that. In both passes members of large buckets are dealt out in blocks, a task
+for each pair of blocks. A pair that meets in several tables counts in the first. From a bucket come, for each member, the weight of its
 partners and one link to its component there, never the pairs.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different lengths don't
@@ -16,49 +19,69 @@ link. Repeated rows are links of each other; ties need no care; an empty table g
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mapweave.llm.blocks import in_blocks
 from mapweave.llm.common import group_numbers, map_arrow, whole_groups, written
 from mapweave.llm.components import connected_components, local_components
 
-#: Learned rotations, parts of each code, differing bits of candidates, vectors learned from at most, rounds of learning.
-ROTATIONS, PARTS, NEAR, SAMPLE, ROUNDS = 5, 4, 16, 20_000, 30
-#: Members of a bucket to a block.
-BLOCK = 1024
+#: Differing bits of candidates, vectors learned from at most, rounds of learning.
+NEAR, SAMPLE, ROUNDS = 16, 20_000, 30
+#: Members of a bucket to a block, in the pass over vectors and in that over codes.
+BLOCK, CODE_BLOCK = 1024, 8192
 BITS = 64
 
 
+class Shape(NamedTuple):
+    """Rotations, parts of each code, bits of a part."""
+
+    rotations: int
+    parts: int
+    width: int
+
+    @staticmethod
+    def of(vectors: int) -> Shape:
+        """About 256 unrelated vectors to a bucket, 16 bits at least. Two vectors of cosine 0.95 agree in a bit with a chance of 1 - acos(0.95) / pi;
+        there are so many tables that they meet in some as often as in 20 tables of 16 bits."""
+        width = min(32, max(16, math.ceil(math.log2(max(vectors, 1) / 256))))
+        parts = BITS // width
+        agree = 1 - math.acos(0.95) / math.pi
+        return Shape(math.ceil(20 * agree ** (16 - width) / parts), parts, width)
+
+
 def _random_rotation(n: int, seed: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).normal(size=(n, n)))[0]
 
 
-def learn(sample: np.ndarray) -> list[np.ndarray]:
+def learn(sample: np.ndarray, rotations: int) -> list[np.ndarray]:
     """For each rotation the matrix that turns vectors into 64 numbers whose signs are the code. sample: rows of one length."""
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     d = sample.shape[1]
     c = min(d, BITS)
     axes = np.linalg.eigh(unit.T @ unit)[1][:, ::-1][:, :c]
     flat, out = unit @ axes, []
-    for seed in range(ROTATIONS * -(-BITS // c)):
+    for seed in range(rotations * -(-BITS // c)):
         turn = _random_rotation(c, seed)
         for _ in range(ROUNDS):
             u, _, v = np.linalg.svd(np.where(flat @ turn >= 0, 1.0, -1.0).T @ flat)
             turn = (u @ v).T
         out.append(axes @ turn)
     each = -(-BITS // c)  # short vectors need several rotations for 64 bits
-    return [np.hstack(out[i * each : (i + 1) * each])[:, :BITS] for i in range(ROTATIONS)]
+    return [np.hstack(out[i * each : (i + 1) * each])[:, :BITS] for i in range(rotations)]
 
 
 @cache
-def _unlearned(d: int) -> list[np.ndarray]:
+def _unlearned(d: int, rotations: int) -> list[np.ndarray]:
     """For vectors of a length that the sample lacks."""
-    return learn(np.random.default_rng(d).normal(size=(4 * d + 8, d)))
+    return learn(np.random.default_rng(d).normal(size=(4 * d + 8, d)), rotations)
 
 
 def codes(vectors: np.ndarray, turns: list[np.ndarray]) -> np.ndarray:
@@ -67,11 +90,10 @@ def codes(vectors: np.ndarray, turns: list[np.ndarray]) -> np.ndarray:
     return np.stack(out, axis=1).astype(np.uint64)
 
 
-def _parts(code: np.ndarray) -> np.ndarray:
+def _parts(code: np.ndarray, shape: Shape) -> np.ndarray:
     """(rows, tables) of the parts of codes (rows, rotations), in the order of the tables."""
-    width = BITS // PARTS
-    cut = [(code >> np.uint64(width * p)) & np.uint64((1 << width) - 1) for p in range(PARTS)]
-    return np.stack(cut, axis=2).reshape(len(code), -1).astype(np.int32)
+    cut = [(code >> np.uint64(shape.width * p)) & np.uint64((1 << shape.width) - 1) for p in range(shape.parts)]
+    return np.stack(cut, axis=2).reshape(len(code), -1).astype(np.int64)
 
 
 def near_members(group: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -91,17 +113,17 @@ def near_members(group: np.ndarray, code: np.ndarray) -> np.ndarray:
     return found
 
 
-def verify(t: int, left: tuple, right: tuple, same: bool, least: float) -> np.ndarray:
+def verify(t: int, left: tuple, right: tuple, same: bool, least: float, parts: int) -> np.ndarray:
     """Which of left x right are links first met in table t. left, right: (unit vectors, codes, parts)."""
     (x, cx, px), (y, cy, py) = left, right
     met = np.zeros((len(x), len(y)), bool)
-    for r in range(t // PARTS + 1):
-        upto = min(t - r * PARTS, PARTS)  # tables of rotation r that come before t
+    for r in range(t // parts + 1):
+        upto = min(t - r * parts, parts)  # tables of rotation r that come before t
         agree = np.zeros_like(met)
         for p in range(upto):
-            agree |= px[:, None, r * PARTS + p] == py[None, :, r * PARTS + p]
+            agree |= px[:, None, r * parts + p] == py[None, :, r * parts + p]
         near = np.bitwise_count(cx[:, None, r] ^ cy[None, :, r]) <= NEAR
-        if r == t // PARTS:
+        if r == t // parts:
             out = near & ~met & ~agree
         else:
             met |= agree & near
@@ -111,7 +133,7 @@ def verify(t: int, left: tuple, right: tuple, same: bool, least: float) -> np.nd
     return out
 
 
-def links(dealt: DataFrame, least: float) -> DataFrame:
+def links(dealt: DataFrame, least: float, shape: Shape) -> DataFrame:
     """dealt: t, k, i, j (a pair of blocks of a bucket), block, node, weight, vec, codes. Gives node, root, weight of partners."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +152,8 @@ def links(dealt: DataFrame, least: float) -> DataFrame:
                     c = np.stack(code[at]).view(np.uint64)
                     sides = [np.flatnonzero(block[at] == b) for b in ((i[s],) if i[s] == j[s] else (i[s], j[s]))]
                     a, b = sides[0], sides[-1]
-                    p = _parts(c)
-                    hit = verify(int(t[s]), (x[a], c[a], p[a]), (x[b], c[b], p[b]), len(sides) == 1, least)
+                    p = _parts(c, shape)
+                    hit = verify(int(t[s]), (x[a], c[a], p[a]), (x[b], c[b], p[b]), len(sides) == 1, least, shape.parts)
                     u, v = np.nonzero(hit)
                     if not len(u):
                         continue
@@ -153,7 +175,7 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
     whole = F.transform(F.col(embedding), lambda x: x.cast("double") + F.lit(0.0))  # minus zero is zero
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), whole.alias("vec"))
     fit = F.coalesce(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("vec", F.when(fit, F.col("vec"))).withColumn("h1", F.when(fit, F.xxhash64("vec"))).withColumn("h2", F.when(fit, F.xxhash64("vec", F.lit(1))))
+    rows = rows.withColumn("vec", F.when(fit, F.col("vec"))).withColumn("h1", F.when(fit, F.xxhash64("vec"))).withColumn("h2", F.when(fit, F.xxhash64(F.lit(1), "vec")))
     ids = written(rows.select("vec_id", "h1", "h2"), "vector-ids")
     nodes = rows.filter("vec IS NOT NULL").groupBy("h1", "h2").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.any_value("vec").alias("vec"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
@@ -161,33 +183,34 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
     sample: dict[int, list] = {}
     for r in nodes.orderBy("h1", "h2").limit(SAMPLE).select("vec").toArrow()["vec"]:
         sample.setdefault(len(r), []).append(r.values.to_numpy())
-    turns = {d: learn(np.stack(x)) if len(x) >= d else _unlearned(d) for d, x in sample.items()}
+    shape = Shape.of(nodes.count())
+    turns = {d: learn(np.stack(x), shape.rotations) if len(x) >= d else _unlearned(d, shape.rotations) for d, x in sample.items()}
 
     def code(batch: pa.RecordBatch) -> pa.RecordBatch:
         vec = [v.values.to_numpy() for v in batch.column("vec")]
-        out = np.zeros((len(vec), ROTATIONS), np.uint64)
+        out = np.zeros((len(vec), shape.rotations), np.uint64)
         size = np.array([len(v) for v in vec])
         for d in np.unique(size):
             at = np.flatnonzero(size == d)
-            out[at] = codes(np.stack([vec[i] for i in at]), turns.get(int(d)) or _unlearned(int(d)))
+            out[at] = codes(np.stack([vec[i] for i in at]), turns.get(int(d)) or _unlearned(int(d), shape.rotations))
         flat = pa.array(out.view(np.int64).ravel())
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, ROTATIONS, dtype=np.int32), flat)], names=["node", "codes"])
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, shape.rotations, dtype=np.int32), flat)], names=["node", "codes"])
 
     coded = written(map_arrow(nodes.select("node", "vec"), code, "node long, codes array<long>"), "codes")
-    width = BITS // PARTS
     entries = [
-        F.struct(F.lit(r * PARTS + p).alias("t"), F.shiftrightunsigned(F.get("codes", F.lit(r)), width * p).bitwiseAND(F.lit((1 << width) - 1)).alias("k"), F.get("codes", F.lit(r)).alias("code"))
-        for r in range(ROTATIONS) for p in range(PARTS)
+        F.struct(F.lit(r * shape.parts + p).alias("t"), F.shiftrightunsigned(F.get("codes", F.lit(r)), shape.width * p).bitwiseAND(F.lit((1 << shape.width) - 1)).alias("k"), F.get("codes", F.lit(r)).alias("code"))
+        for r in range(shape.rotations) for p in range(shape.parts)
     ]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, k, node, own in whole_groups(batches, 2):
-            at = np.flatnonzero(near_members(group_numbers([t, k]), own.view(np.uint64)))
+        for t, k, b, node, own in whole_groups(batches, 3):
+            at = np.flatnonzero(near_members(group_numbers([t, k, b]), own.view(np.uint64)))
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (t, k, node)], names=["t", "k", "node"])
 
-    buckets = coded.select("node", F.explode(F.array(*entries)).alias("e")).select("e.t", "e.k", "node", "e.code").repartition("t", "k").sortWithinPartitions("t", "k")
-    members = written(buckets.mapInArrow(near, "t int, k long, node long"), "members")
+    buckets = in_blocks(coded.select("node", F.explode(F.array(*entries)).alias("e")).select("e.t", "e.k", "node", "e.code"), ["t", "k"], "node", CODE_BLOCK)
+    buckets = buckets.select("t", "k", "b", "node", "code").repartition("t", "k", "b").sortWithinPartitions("t", "k", "b")
+    members = written(buckets.mapInArrow(near, "t int, k long, node long").distinct(), "members")
     blocks = members.groupBy("t", "k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = (
@@ -195,7 +218,7 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
         .select("t", "k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
         .join(nodes.select("node", "weight", "vec"), "node").join(coded, "node")
     )
-    linked = written(links(dealt, least), "vector-links")
+    linked = written(links(dealt, least, shape), "vector-links")
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     classed = nodes.select("node", "h1", "h2", "low", "weight").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from mapweave.llm import itq
+from mapweave.llm import blocks, itq
 
 
 def brute(rows, least=0.95):
@@ -41,6 +41,9 @@ def frame(spark, rows):
 @pytest.mark.parametrize("block", [1024, 8])
 def test_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(itq, "BLOCK", block)
+    if block == 8:
+        monkeypatch.setattr(itq, "CODE_BLOCK", 2)
+        monkeypatch.setattr(blocks, "PART", 1)
     rows = table()
     got = {r.vec_id: r for r in itq.near_duplicate_vectors(frame(spark, rows)).collect()}
     links, comp = brute(rows)
@@ -51,17 +54,41 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert sum(got[i].component_id == c for (i, _), c in zip(rows, comp, strict=True)) >= 0.97 * len(rows)
 
 
-def test_recall_on_a_given_table(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").limit(4000).cache()
-    rows = [(r.vec_id, r.embedding) for r in df.collect()]
-    x = np.array([v for _, v in rows], float)
+def clusters(n, d=64, seed=3):
+    """Vectors in groups round a centre, whose cosines lie on both sides of 0.95, and unrelated ones."""
+    r = np.random.default_rng(seed)
+    out = []
+    while len(out) < n:
+        centre = r.normal(size=d)
+        spread = r.choice([0.05, 0.12, 0.15, 0.16, 0.2])
+        out += [centre + r.normal(size=d) * spread for _ in range(r.choice([1, 1, 2, 5, 12]))]
+    return [(i, [float(x) for x in v]) for i, v in enumerate(np.array(out[:n], np.float32))]
+
+
+@pytest.mark.parametrize(("n", "as_if"), [(4_000, None), (20_000, None), (4_000, 300_000_000)])
+def test_recall_of_links_near_the_limit(spark, monkeypatch, n, as_if):
+    """Thousands of links at and above 0.95 against all pairs; also with the tables that hundreds of millions of vectors would have."""
+    if as_if:
+        shape = itq.Shape.of(as_if)
+        assert shape.width > 16
+        monkeypatch.setattr(itq.Shape, "of", staticmethod(lambda _: shape))
+    rows = clusters(n)
+    x = np.array([v for _, v in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    links = (x @ x.T >= 0.95).sum(axis=1) - 1
-    got = {r.vec_id: r.n_links for r in itq.near_duplicate_vectors(df).collect()}
-    assert all(got[i] <= n for (i, _), n in zip(rows, links, strict=True))
+    cosine = x @ x.T
+    links = (cosine >= 0.95).sum(axis=1) - 1
+    just = ((cosine >= 0.95) & (cosine < 0.96)).sum()
+    got = {r.vec_id: r.n_links for r in itq.near_duplicate_vectors(frame(spark, rows)).collect()}
+    assert links.sum() > n and just > 100
+    assert all(got[i] <= k for (i, _), k in zip(rows, links, strict=True))
     assert sum(got.values()) >= 0.95 * links.sum()
 
 
+def test_shape_grows_with_the_vectors():
+    small, large = itq.Shape.of(50_000), itq.Shape.of(10**9)
+    assert small == (5, 4, 16) and large.width == 22 and large.rotations * large.parts > 20
+
+
 def test_empty_and_copies(spark):
     df = frame(spark, [(5, [1.0, 2.0]), (3, [1.0, 2.0]), (9, [1.0, 2.0])])
     assert itq.near_duplicate_vectors(df.limit(0)).count() == 0
