@@ -11,7 +11,8 @@ partitions by hash of the word, or by the pair's first word, which answer each c
 evaluates the recursion token by token. So a frequent word costs one entry a chunk. Pairs of a very frequent first word are dealt
 out over several partitions, whose sums for the context are added up (a few rows for each partition).
 
-To the driver come sums by partition. Words are known by 64-bit hashes. Null and empty texts are the end token alone;
+To the driver come sums by partition. Counts have 64 bits (the arrays compress); those within a chunk have 32. Words are known by
+64-bit hashes. Null and empty texts are the end token alone;
 repeated rows are counted and scored as often as they occur; without training rows every word is unseen (base and
 score 0); an empty table gives no rows; other columns are left alone.
 """
@@ -75,8 +76,8 @@ def mixed(a: np.ndarray, seed: int = 0) -> np.ndarray:
 def good_turing(n: list[int]) -> np.ndarray:
     """Discounts for counts 0 to LOW (0 is not used) from the numbers of items that occur 1 to LOW + 1 times.
 
-    Katz's form is used up to the largest count for which all its discounts lie between 0 and 1. Where there is none (few
-    or odd counts), an absolute discount is taken from the items that occur once and twice.
+    Katz's form is used up to the largest count for which all its discounts lie between 0 and 1. Where there is none (no item
+    occurs once or twice, or more occur twice than half of those that occur once), an absolute discount is taken instead: n1 / (n1 + 2 n2) of an occurrence.
     """
     for k in range(LOW, 0, -1):
         if min(n[: k + 1]) <= 0:
@@ -209,7 +210,7 @@ def count_words(table: DataFrame, bits: int) -> DataFrame:
             yield _batch([(-1, int(p[0]), None, None, [int(total.sum()), int(known.sum()), *few.tolist()])], TOLD_WORDS)
             ends = np.cumsum([len(a) for a in asked])[:-1]
             for c, own in zip(chunk, np.split(at, ends), strict=True):
-                yield _batch([(int(c), int(p[0]), squeeze(number[own].astype(np.int32)), squeeze(np.minimum(total[own], (1 << 32) - 1).astype(np.uint32)), None)], TOLD_WORDS)
+                yield _batch([(int(c), int(p[0]), squeeze(number[own].astype(np.int32)), squeeze(total[own]), None)], TOLD_WORDS)
 
     asked = table.select("chunk", "vocab", "counts").mapInArrow(ask, ASKED_WORDS)
     return asked.repartition("p").sortWithinPartitions("p", "chunk").mapInArrow(tell, TOLD_WORDS)
@@ -229,7 +230,7 @@ class Chunk:
         for p, n, c in sorted(told):
             n = release(n, np.int32)
             number.append(np.where(n >= 0, (n + base[p]).astype(np.uint64), NONE))
-            count.append(release(c, np.uint32))
+            count.append(release(c, np.int64))
         self.number = np.append(np.concatenate(number), START)  # the last place is the start context
         self.count = np.append(np.concatenate(count), 0).astype(np.int64)
         if len(self.number) != n_words + 1:
@@ -289,7 +290,7 @@ def ask_pairs(joined: DataFrame, base: dict[int, int], parts: int, hot: int, doc
             for own, p, s in zip(np.split(at, cuts), np.split(part, cuts), np.split(spread, cuts), strict=True):
                 if len(own):
                     first = c.number[c.first[own]]
-                    yield _batch([(int(p[0]), number, squeeze(_steps(first)), squeeze(c.number[c.second[own]]), squeeze(c.count[c.second[own]].astype(np.uint32)), squeeze(c.n[own].astype(np.uint32)), squeeze(s.astype(np.uint8)))], ASKED_PAIRS)
+                    yield _batch([(int(p[0]), number, squeeze(_steps(first)), squeeze(c.number[c.second[own]]), squeeze(c.count[c.second[own]]), squeeze(c.n[own].astype(np.uint32)), squeeze(s.astype(np.uint8)))], ASKED_PAIRS)
 
     return joined.mapInArrow(each, ASKED_PAIRS)
 
@@ -312,7 +313,7 @@ def count_pairs(asked: DataFrame, unigrams: Unigrams) -> DataFrame:
             heads = order[new]
             total = np.bincount(pair, np.concatenate([release(x, np.uint32) for x in n]), len(heads)).astype(np.int64)
             del b, order, new
-            p_word = np.where(total > 0, unigrams.p(np.concatenate([release(x, np.uint32) for x in count])[heads].astype(np.int64)), 0.0)
+            p_word = np.where(total > 0, unigrams.p(np.concatenate([release(x, np.int64) for x in count])[heads]), 0.0)
             contexts, of = np.unique(a[heads], return_inverse=True)
             # types of count 1 to LOW, and the sum of larger counts
             types = np.stack([np.bincount(of[total == r], minlength=len(contexts)) for r in range(1, LOW + 1)] + [np.bincount(of, np.where(total > LOW, total, 0), len(contexts)).astype(np.int64)], axis=1)
@@ -326,7 +327,7 @@ def count_pairs(asked: DataFrame, unigrams: Unigrams) -> DataFrame:
                 yield _batch([(-2, part, squeeze(wide), squeeze(types[k].ravel()), squeeze(sums[k]), None)], TOLD_PAIRS)
             for c, own, mine in zip(chunk, np.split(pair, ends), np.split(a, ends), strict=True):
                 k = np.searchsorted(contexts, mine[np.concatenate([[True], mine[1:] != mine[:-1]])])
-                yield _batch([(int(c), part, squeeze(np.minimum(total[own], (1 << 32) - 1).astype(np.uint32)), squeeze(types[k].ravel().astype(np.uint32)), squeeze(sums[k]), None)], TOLD_PAIRS)
+                yield _batch([(int(c), part, squeeze(total[own]), squeeze(types[k].ravel()), squeeze(sums[k]), None)], TOLD_PAIRS)
 
     return asked.repartition("q").sortWithinPartitions("q", "chunk").mapInArrow(each, TOLD_PAIRS)
 
@@ -376,8 +377,8 @@ def score_chunks(joined: DataFrame, base: dict[int, int], parts: int, hot: int,
                 if not len(own):
                     continue
                 pairs, types, sums = answers[int(q[0])]
-                n = release(pairs, np.uint32).astype(np.int64)
-                types, sums = release(types, np.uint32).astype(np.int64).reshape(-1, LOW + 1), release(sums, np.float64)
+                n = release(pairs, np.int64)
+                types, sums = release(types, np.int64).reshape(-1, LOW + 1), release(sums, np.float64)
                 name = c.number[c.first[own]]
                 head = np.concatenate([[True], name[1:] != name[:-1]])
                 for k in np.flatnonzero(s[head]):

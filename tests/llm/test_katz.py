@@ -104,3 +104,23 @@ def test_degenerate(spark):
 def test_a_large_chunk(spark):
     """Numbers of words whose pairs pass 32 bits."""
     compare(spark, [(i, " ".join(f"v{(i * 7919 + k * k) % 90_000}" for k in range(9000))) for i in range(12)])
+
+
+def test_counts_beyond_32_bits(spark):
+    """Three chunks in which a word occurs as often as a chunk can say."""
+    words, most = np.array([7, 9], np.uint64), (1 << 32) - 1
+    rows = [(i, bytearray(katz.squeeze(katz._steps(words))), bytearray(katz.squeeze(np.array([most, 1], np.uint32)))) for i in range(3)]
+    table = spark.createDataFrame(rows, "chunk long, vocab binary, counts binary")
+    got = katz.count_words(table, 0).collect()
+    assert [katz.release(r["count"], np.int64).tolist() for r in got if r.chunk >= 0] == [[3 * most, 3]] * 3
+    assert next(list(r.sums[:2]) for r in got if r.chunk < 0) == [3 * most + 3, 2]
+
+
+def test_discounts_of_odd_counts():
+    """Katz's form where it holds; the absolute discount where nothing occurs once, or too much occurs twice."""
+    d = katz.good_turing([1000, 300, 120, 60, 35, 20])
+    common = 6 * 20 / 1000
+    assert d[2] == pytest.approx((3 * 120 / (2 * 300) - common) / (1 - common)) and all(0 < x < 1 for x in d[1:])
+    for n in ([0, 0, 0, 0, 0, 0], [0, 5, 1, 0, 0, 0], [10, 9, 0, 0, 0, 0], [4, 0, 0, 0, 0, 0]):
+        cut = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        assert katz.good_turing(n)[1:] == pytest.approx([(r - cut * 0.999) / r for r in range(1, 6)])
