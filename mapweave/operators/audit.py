@@ -6,16 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions.boxes import Box
+from mapweave.operators.spatial import box_pairs
 
 STEPS = 12
 
 
 def overlaps(layers: DataFrame) -> DataFrame:
-    """Pairs of layers (a before b) whose boxes share some area; touching edges don't count."""
-    a, b = layers.alias("a"), layers.alias("b")
-    p, q = Box.of("a.bbox"), Box.of("b.bbox")
-    wide = (F.least(p.e, q.e) > F.greatest(p.w, q.w)) & (F.least(p.n, q.n) > F.greatest(p.s, q.s))
-    return a.join(b, (F.col("a.ord") < F.col("b.ord")) & wide)
+    """Pairs of layers (aliases a and b, a before b) whose boxes share some area; they meet through a grid."""
+    pairs = box_pairs(layers, area=True)
+    return pairs.join(layers.alias("a"), F.col("ord_a") == F.col("a.ord")).join(layers.alias("b"), F.col("ord_b") == F.col("b.ord"))
 
 
 def _common_points(ea: Column, eb: Column, box: Box, steps: int) -> Column:
@@ -63,5 +62,10 @@ def contested(layers: DataFrame, steps: int = STEPS) -> DataFrame:
     return counted.withColumn("contested_share", F.round(F.col("contested") / ((steps + 1) ** 2), 3)).drop("ea", "eb", "box")
 
 
+def in_order(findings: DataFrame) -> DataFrame:
+    """The largest share first."""
+    return findings.orderBy(F.desc("contested_share"), "winner", "loser")
+
+
 def by_winner(findings: DataFrame) -> DataFrame:
     return findings.groupBy("winner").agg(F.count("*").alias("conflicts"), F.count_if("cross_border").alias("cross_border"), F.bool_or("narrowed").alias("narrowed"))

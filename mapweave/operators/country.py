@@ -53,29 +53,27 @@ def shapes(outlines: DataFrame) -> DataFrame:
     return s.withColumn("box", box.struct())
 
 
-def _met(points: DataFrame, of: DataFrame, margin: float) -> DataFrame:
+def _met(points: DataFrame, of: DataFrame, by: list[str], margin: float) -> DataFrame:
+    """Points with the shapes whose box, grown by the margin, they lie in. Only boxes travel with the cells; the rings join the pairs that are left."""
     near = Box.of("box").grown(margin) if margin else Box.of("box")
-    listed = of.withColumn("c", F.explode(_cells(near, CELL))).select("*", "c.cx", "c.cy").drop("c")
+    listed = of.select("shape", "box", F.explode(_cells(near, CELL)).alias("c")).select("shape", "box", "c.cx", "c.cy")
     cx, cy = _key(F.col("lng"), F.col("lat"), CELL)
     b = Box.of("box")
     inside = F.col("lng").between(b.w - margin, b.e + margin) & F.col("lat").between(b.s - margin, b.n + margin)
-    return points.withColumn("cx", cx).withColumn("cy", cy).join(listed, ["cx", "cy"]).filter(inside)
+    pairs = points.select(*by, "lng", "lat", cx.alias("cx"), cy.alias("cy")).join(listed, ["cx", "cy"]).filter(inside)
+    return pairs.drop("cx", "cy", "box").join(of.drop("box"), "shape")
 
 
 def country_at(points: DataFrame, outlines: DataFrame, by: list[str], tolerance_km: float = TOLERANCE_KM) -> DataFrame:
-    """points (lng, lat) with the column country; null where there is none."""
-    s = shapes(outlines)
-    lng, lat = F.col("lng"), F.col("lat")
+    """points (lng, lat) with the column country; null where there is none. One pass tests containment and distance."""
+    lng, lat, reach = F.col("lng"), F.col("lat"), max(tolerance_km, 0) / 111
     inside = ring_contains(F.col("outer"), lng, lat) & ~F.exists("holes", lambda h: ring_contains(h, lng, lat))
-    strict = _met(points, s, 0.0).filter(inside).groupBy(*by).agg(F.min_by("iso", "shape").alias("country"))
-    out = points.join(strict, by, "left")
-    if tolerance_km <= 0:
-        return out
-    reach = tolerance_km / 111
-    missed = points.join(strict, by, "left_anti")
-    distance = ring_distance_sq(F.col("outer"), lng, lat, F.cos(F.radians(lat)))
-    near = _met(missed, s, reach).withColumn("d", distance).groupBy(*by).agg(F.min_by("iso", F.struct("d", "shape")).alias("near"), F.min("d").alias("d")).filter(F.col("d") <= reach * reach)
-    return out.join(near.select(*by, "near"), by, "left").withColumn("country", F.coalesce("country", "near")).drop("near")
+    met = _met(points, shapes(outlines), by, reach).withColumn("inside", inside)
+    distance = ring_distance_sq(F.col("outer"), lng, lat, F.cos(F.radians(lat))) if reach else F.lit(None).cast("double")
+    told = met.select(*by, "inside", "shape", "iso", F.when(~F.col("inside"), distance).alias("d"))
+    near = F.when(F.col("d") <= reach * reach, F.struct("d", "shape"))
+    best = told.groupBy(*by).agg(F.min_by("iso", F.when(F.col("inside"), F.col("shape"))).alias("strict"), F.min_by("iso", near).alias("near"))
+    return points.join(best.select(*by, F.coalesce("strict", "near").alias("country")), by, "left")
 
 
 def is_in_country(points: DataFrame, outlines: DataFrame, by: list[str], iso: str, tolerance_km: float = TOLERANCE_KM) -> DataFrame:

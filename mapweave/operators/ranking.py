@@ -44,8 +44,12 @@ def best_source(points: DataFrame, layers: DataFrame, by: list[str], fallback: s
     where = F.col(resolved) if resolved else F.lit(None).cast("string")
     local = ranked.filter(bucket(F.col("country"), where) == 0)
     top = rank(local, by).filter("nth = 1").select(*by, F.col("id").alias("best"))
-    known = layers.filter(F.col("id") == (fallback or "")).select("id").first()
-    return points.select(*by).join(top, by, "left").withColumn("best", F.coalesce("best", F.lit(known["id"] if known else None)))
+    return points.select(*by).join(top, by, "left").select(*by, F.coalesce("best", _known(layers, fallback)).alias("best"))
+
+
+def _known(layers: DataFrame, id: str | None) -> Column:
+    """The id if there is such a layer, else null; a subquery of one value."""
+    return layers.filter(F.col("id") == (id or "")).agg(F.first("id").alias("id")).scalar()
 
 
 def imagery_stack(points: DataFrame, layers: DataFrame, by: list[str], fallback: str | None, resolved: str | None = None, zoom: float | None = None, include_alternatives: bool = False) -> DataFrame:
@@ -53,24 +57,31 @@ def imagery_stack(points: DataFrame, layers: DataFrame, by: list[str], fallback:
     ranked = layers_for_points(points, _no_alternatives(layers, include_alternatives), by, _at(zoom, ["orthophoto", "satellite"]))
     where = F.col(resolved) if resolved else F.lit(None).cast("string")
     parts = ranked.select(*by, "id", bucket(F.col("country"), where).alias("part"), "area_km2", "ord")
-    base = layers.filter(F.col("id") == (fallback or "")).select("id", "area_km2", "ord")
-    parts = parts.filter(F.col("id") != (fallback or "")).unionByName(points.select(*by).join(F.broadcast(base)).select(*by, "id", F.lit(1).alias("part"), "area_km2", "ord"))
+    base = points.select(*by, _known(layers, fallback).alias("id"), F.lit(1).alias("part"), F.lit(0.0).alias("area_km2"), F.lit(0).cast("long").alias("ord")).filter("id IS NOT NULL")
+    parts = parts.filter(F.col("id") != (fallback or "")).unionByName(base)
     return parts.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("part", "area_km2", "ord"))).select(*by, "nth", "id")
 
 
-def compare_imagery(a: dict, b: dict) -> float:
-    """Area, with five per cent as equal; ready tiles; finer; newer; id. Not transitive, so the outcome depends on the order of input."""
-    if abs(a["area_km2"] - b["area_km2"]) > 0.05 * min(a["area_km2"], b["area_km2"]):
-        return a["area_km2"] - b["area_km2"]
-    if a["is_tiled"] != b["is_tiled"]:
-        return -1 if a["is_tiled"] else 1
-    fine = [x["resolutionMeters"] if x["resolutionMeters"] is not None else float("inf") for x in (a, b)]
-    if fine[0] != fine[1]:
-        return fine[0] - fine[1]
-    new = [x["end"] or x["start"] or "" for x in (a, b)]
-    if new[0] != new[1]:
-        return -1 if new[0] > new[1] else 1
-    return (a["id"] > b["id"]) - (a["id"] < b["id"])
+#: Areas that differ by no more than this share of the smaller one are one band.
+BAND = 0.05
+
+
+def precedence(x: dict, y: dict) -> int:
+    """-1 if x is drawn before y, 1 if after. Beyond one band of area the smaller goes first; within it tiled, finer, newer, then the id decide.
+
+    Bands overlap, so this isn't transitive, and the outcome of a sort depends on the order of input.
+    """
+    small, large = sorted((x["area_km2"], y["area_km2"]))
+    if large - small > BAND * small:
+        return -1 if x["area_km2"] == small else 1
+
+    def facts(own: dict, other: dict) -> tuple:
+        detail = own["resolutionMeters"]
+        taken = other["end"] or other["start"] or ""  # the other's: a later one of its own comes first
+        return not own["is_tiled"], detail is None, detail or 0.0, taken, own["id"]
+
+    mine, theirs = facts(x, y), facts(y, x)
+    return (mine > theirs) - (mine < theirs)
 
 
 #: Candidates that the order below may be made of; it is a catalogue, not data that grow.
@@ -83,6 +94,6 @@ def mosaic_order(layers: DataFrame) -> DataFrame:
     rows = chosen.select("id", "area_km2", "is_tiled", "resolutionMeters", F.col("temporal.start").alias("start"), F.col("temporal.end").alias("end"), "ord").orderBy("ord").limit(MOST_CANDIDATES + 1).collect()
     if len(rows) > MOST_CANDIDATES:
         raise ValueError(f"a mosaic is made of {MOST_CANDIDATES} layers at most")
-    ordered = sorted((r.asDict() for r in rows), key=cmp_to_key(compare_imagery))
+    ordered = sorted((r.asDict() for r in rows), key=cmp_to_key(precedence))
     table = layers.sparkSession.createDataFrame([(r["id"], i) for i, r in enumerate(ordered)], "id string, mosaic_ord int")
     return chosen.join(F.broadcast(table), "id")

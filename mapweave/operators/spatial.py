@@ -1,9 +1,8 @@
-"""Joins of points and boxes with the extents of layers.
+"""Joins of points and boxes with the extents of layers, and of boxes with each other.
 
-The plain form lets Spark compare every pair and suits few layers (they are broadcast). The grid form cuts the world into
-cells: extents are listed under every cell they touch and points under their own, so candidates meet by an equal-key
-join, and only then is containment tested. It needs no broadcast and spreads over any number of tasks. Both give the same
-rows; `covering` chooses by the counted number of layers.
+A grid cuts the world into cells: extents are listed under every cell they touch, points under their own, boxes under all of
+theirs, so candidates meet by an equal-key join, and only then are they tested. Spark broadcasts a side that is small or
+shuffles both; no plan compares every pair. Two boxes that share several cells are kept in the first common one only.
 """
 
 from __future__ import annotations
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 from mapweave.functions import boxes
 from mapweave.functions.boxes import Box
 
-#: Layers up to which they are broadcast; degrees to a grid cell.
-BROADCAST_LAYERS, CELL = 2_000, 2.0
+#: Degrees to a grid cell.
+CELL = 2.0
 
 
 def _key(lng: Column, lat: Column, cell: float) -> tuple[Column, Column]:
@@ -34,32 +33,65 @@ def _cells(b: Box, cell: float) -> Column:
     return F.flatten(F.transform(columns, lambda x: F.transform(rows, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
-def covering_plain(points: DataFrame, layers: DataFrame, small: bool = True) -> DataFrame:
-    right = F.broadcast(layers) if small else layers
-    return points.join(right, boxes.any_contains(F.col("extents"), F.col("lng"), F.col("lat")))
+def _spans(b: Box, cell: float) -> Column:
+    """Cells of a box as plain numbers: what overlaps by comparing numbers shares one."""
+    x, y = [F.greatest(F.least(v, F.lit(180.0)), F.lit(-180.0)) for v in (b.w, b.e)], [F.greatest(F.least(v, F.lit(90.0)), F.lit(-90.0)) for v in (b.s, b.n)]
+    span = lambda v: F.sequence(F.floor(F.least(*v) / cell).cast("int"), F.floor(F.greatest(*v) / cell).cast("int"))
+    return F.flatten(F.transform(span(x), lambda i: F.transform(span(y), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
+
+
+def _listed(layers: DataFrame, key: str, cell: float, cells=_cells) -> DataFrame:
+    """Key and those of the extents that touch the cell, a row a layer and cell."""
+    by_box = layers.select(key, F.explode("extents").alias("box")).select(key, "box", F.explode(cells(Box.of("box"), cell)).alias("c"))
+    return by_box.groupBy(key, "c.cx", "c.cy").agg(F.collect_list("box").alias("boxes"))
+
+
+def covering_plain(points: DataFrame, layers: DataFrame) -> DataFrame:
+    """The same rows by comparing every pair: what tests hold the grid against."""
+    return points.join(F.broadcast(layers), boxes.any_contains(F.col("extents"), F.col("lng"), F.col("lat")))
 
 
 def covering_grid(points: DataFrame, layers: DataFrame, key: str = "id", cell: float = CELL) -> DataFrame:
-    """Only the key and one extent travel with the cells; the layer's row is joined to the pairs that are left."""
-    listed = layers.select(key, F.explode("extents").alias("box")).select(key, "box", F.explode(_cells(Box.of("box"), cell)).alias("c")).select(key, "box", "c.cx", "c.cy")
+    """Points with every layer that covers them (columns lng, lat and extents).
+
+    A point lies in one cell and a layer is listed there once, so pairs need no distinct. Only the key and the extents of the cell
+    travel with the cells; the layer's row is joined to the pairs that are left.
+    """
     cx, cy = _key(F.least(F.greatest("lng", F.lit(-180.0)), F.lit(180.0)), F.col("lat"), cell)
-    met = points.withColumn("cx", cx).withColumn("cy", cy).join(listed, ["cx", "cy"]).filter(Box.of("box").contains(F.col("lng"), F.col("lat")))
-    # a point lies in one cell, so an extent meets it once; several extents of a layer may
-    pairs = met.drop("cx", "cy", "box").dropDuplicates([*points.columns, key])
-    return pairs.join(layers, key)
+    met = points.withColumn("cx", cx).withColumn("cy", cy).join(_listed(layers, key, cell), ["cx", "cy"])
+    return met.filter(boxes.any_contains(F.col("boxes"), F.col("lng"), F.col("lat"))).drop("cx", "cy", "boxes").join(layers, key)
+
+
+covering = covering_grid
+
 
+def overlapping(areas: DataFrame, layers: DataFrame, area: str = "area", key: str = "id", cell: float = CELL) -> DataFrame:
+    """Boxes with every layer that shares a point with them.
 
-def covering(points: DataFrame, layers: DataFrame, key: str = "id") -> DataFrame:
-    """Points with every layer that covers them (columns lng, lat and extents)."""
-    few = layers.limit(BROADCAST_LAYERS + 1).count() <= BROADCAST_LAYERS
-    return covering_plain(points, layers) if few else covering_grid(points, layers, key)
+    Equal rows of areas stay apart, each with a number of its own until pairs are distinct.
+    """
+    numbered = areas.withColumn("__row", F.monotonically_increasing_id())
+    mine = numbered.select("__row", area, F.explode(_spans(Box.of(area), cell)).alias("c")).select("__row", area, "c.cx", "c.cy")
+    met = mine.join(_listed(layers, key, cell, _spans), ["cx", "cy"]).filter(boxes.any_overlaps(F.col("boxes"), Box.of(area)))
+    return numbered.join(met.select("__row", key).distinct(), "__row").drop("__row").join(layers, key)
 
 
-def overlapping(areas: DataFrame, layers: DataFrame, area: str = "area") -> DataFrame:
-    """Boxes with every layer that shares a point with them."""
-    return areas.join(layers, boxes.any_overlaps(F.col("extents"), Box.of(area)))
+def containing(areas: DataFrame, layers: DataFrame, area: str = "area", key: str = "id", cell: float = CELL) -> DataFrame:
+    """Boxes with every layer of which one extent holds both corners: that extent is listed under the cell of the first one."""
+    b = Box.of(area)
+    cx, cy = _key(F.least(F.greatest(b.w, F.lit(-180.0)), F.lit(180.0)), b.s, cell)
+    met = areas.withColumn("cx", cx).withColumn("cy", cy).join(_listed(layers, key, cell), ["cx", "cy"])
+    return met.filter(boxes.any_contains_box(F.col("boxes"), b)).drop("cx", "cy", "boxes").join(layers, key)
 
 
-def containing(areas: DataFrame, layers: DataFrame, area: str = "area") -> DataFrame:
-    """Boxes with every layer of which one extent holds both corners."""
-    return areas.join(layers, boxes.any_contains_box(F.col("extents"), Box.of(area)))
+def box_pairs(rows: DataFrame, key: str = "ord", box: str = "bbox", area: bool = False, cell: float = CELL) -> DataFrame:
+    """Pairs (key_a, key_b) of rows, a before b, whose boxes share a point, or with `area` some area (touching edges don't count)."""
+    listed = rows.select(key, F.col(box).alias("box")).select("*", F.explode(_spans(Box.of("box"), cell)).alias("c")).select(key, "box", "c.cx", "c.cy")
+    a, b = listed.alias("a"), listed.alias("b")
+    p, q = Box.of("a.box"), Box.of("b.box")
+    clamped = lambda v, limit: F.floor(F.greatest(F.least(v, F.lit(limit)), F.lit(-limit)) / cell)
+    low = lambda x, y: F.least(x, y)
+    first = (F.col("a.cx") == clamped(F.greatest(low(p.w, p.e), low(q.w, q.e)), 180.0)) & (F.col("a.cy") == clamped(F.greatest(low(p.s, p.n), low(q.s, q.n)), 90.0))
+    wide = (F.least(p.e, q.e) > F.greatest(p.w, q.w)) & (F.least(p.n, q.n) > F.greatest(p.s, q.s)) if area else p.overlaps(q)
+    same = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
+    return a.join(b, same).filter(first & wide).select(F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b"))

@@ -320,7 +320,7 @@ def ground_resolution(spark, sf):
 def bbox_algebra(spark, sf):
     rows = layers(spark, sf).select("id", "ord", "bbox")
     a, b = Box.of("p.bbox"), Box.of("q.bbox")
-    met = rows.alias("p").join(rows.alias("q"), (F.col("p.ord") < F.col("q.ord")) & a.overlaps(b))
+    met = spatial.box_pairs(rows).join(rows.alias("p"), F.col("ord_a") == F.col("p.ord")).join(rows.alias("q"), F.col("ord_b") == F.col("q.ord"))
     i = Box.of("i")
     return met.withColumn("i", a.intersection(b)).select(
         F.col("p.id").alias("a"), F.col("q.id").alias("b"), *[F.round(v, 6).alias(c) for c, v in (("w", i.w), ("s", i.s), ("e", i.e), ("n", i.n))], a.contains_box(b).alias("contains_b"), F.round(a.grown(1.5).w, 6).alias("grown_w"),
@@ -445,7 +445,7 @@ def place_walk(spark, sf):
 SPELLINGS = [
     ("EPSG:4326", "EPSG", "4326", "EPSG:4326", True), ("urn:ogc:def:crs:EPSG::4326", "EPSG", "4326", "EPSG:4326", True), ("urn:x-ogc:def:crs:EPSG:6.9:3035", "EPSG", "3035", "EPSG:3035", True),
     ("http://www.opengis.net/def/crs/EPSG/0/25832", "EPSG", "25832", "EPSG:25832", False), ("http://www.opengis.net/gml/srs/epsg.xml#4258", "EPSG", "4258", "EPSG:4258", True), ("epsg::900913", "EPSG", "900913", "EPSG:3857", False),
-    ("102100", "EPSG", "102100", "EPSG:3857", False), ("EPSG3857", "EPSG", "3857", "EPSG:3857", False), ("CRS84", "CRS", None, "CRS:84", False), ("OGC:CRS84", "OGC", "CRS84", "CRS:84", False),
+    ("102100", "EPSG", "102100", "EPSG:3857", False), ("EPSG3857", "EPSG", "3857", "EPSG:3857", False), ("CRS84", None, None, "CRS:84", False), ("OGC:CRS84", "OGC", "CRS84", "CRS:84", False),
     ("urn:ogc:def:crs:OGC:1.3:CRS84", "OGC", "CRS84", "CRS:84", False), ("IGNF:LAMB93", "IGNF", "LAMB93", "IGNF:LAMB93", False), (" wgs  84 ", None, None, "EPSG:4326", True), ("junk", None, None, "JUNK", False), ("EPSG:6706", "EPSG", "6706", "EPSG:6706", True),
 ]
 
@@ -466,10 +466,9 @@ def crs_normalize(spark, sf):
     return _spellings(spark).select("i", "name", REGISTRY.normalise(F.col("name")).alias("code"), REGISTRY.latitude_first(F.col("name")).alias("first"))
 
 
-@query("SELECT i::BIGINT AS i, authority, identifier FROM (VALUES " + ", ".join(f"({i}, {_text(s[1])}, {_text(s[2])})" for i, s in enumerate(SPELLINGS) if s[0] != "CRS84") + ") t(i, authority, identifier)")
+@query("SELECT i::BIGINT AS i, authority, identifier FROM (VALUES " + ", ".join(f"({i}, {_text(s[1])}, {_text(s[2])})" for i, s in enumerate(SPELLINGS)) + ") t(i, authority, identifier)")
 def crs_parse(spark, sf):
-    rows = _spellings(spark).filter("name <> 'CRS84'")
-    return rows.select("i", REGISTRY.parse(F.col("name")).alias("p")).select("i", "p.authority", "p.identifier")
+    return _spellings(spark).select("i", REGISTRY.parse(F.col("name")).alias("p")).select("i", "p.authority", "p.identifier")
 
 
 @query(f"""WITH t(i, name, code, first) AS (VALUES {_CANON}) SELECT a.i::BIGINT AS i, b.i::BIGINT AS j, a.code = b.code OR (a.code IN ('EPSG:4326', 'CRS:84') AND b.code IN ('EPSG:4326', 'CRS:84')) AS same FROM t a, t b WHERE a.i < b.i""")
@@ -752,8 +751,7 @@ def empty_areas(spark, sf):
 @query("SELECT layer_id, max(ts) AS used_at FROM log WHERE outcome = 'served' GROUP BY layer_id HAVING max(ts) >= (SELECT max(ts) FROM log) - INTERVAL 7200 SECOND", "log")
 def active_sources(spark, sf):
     log = tile_log(spark, sf)
-    now = log.agg(F.max("ts").alias("now"))
-    return state.active_sources(log.join(F.broadcast(now)), F.col("outcome") == "served", F.lit(now.first()["now"]), 7200)
+    return state.active_sources(log, F.col("outcome") == "served", log.agg(F.max("ts").alias("now")).scalar(), 7200)
 
 
 @query("""SELECT z, x, y, min(ts) AS begun, count(*) AS callers FROM (SELECT *, sum(fresh) OVER (PARTITION BY z, x, y ORDER BY ts, seq) AS s FROM (

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from mapweave.functions import text as T
 from mapweave.functions.boxes import Box
-from mapweave.functions.crs import KNOWN, PATTERNS, SAME
+from mapweave.functions.crs import KNOWN, SAME, split_name
 from mapweave.functions.mercator import RADIUS
 from mapweave.functions.urls import is_mercator, order_crs, pick_preferred
 from mapweave.schema import MERCATOR_WORLD, PARSE_ERROR, UNKNOWN, MapError
@@ -51,9 +51,6 @@ class _Names:
     """The rules of functions.crs for single strings, which the parsing of documents needs."""
 
     def __init__(self):
-        import re
-
-        self.patterns = [re.compile(p) for p in PATTERNS]
         self.alias = {}
         self.first = {c.code for c in KNOWN if c.axis == "latlon"}
         for c in KNOWN:
@@ -64,10 +61,10 @@ class _Names:
         value = " ".join(name.split()).upper()
         if value in self.alias:
             return self.alias[value]
-        found = next((m for p in self.patterns if (m := p.match(value))), None)
+        found = split_name(value)
         if not found:
             return value
-        authority, code = found[1] or "EPSG", found[2]
+        authority, code = found
         whole = "CRS:84" if authority == "OGC" and code in ("CRS84", "84") else f"{authority}:{code}"
         return self.alias.get(whole, whole)
 

@@ -106,9 +106,9 @@ def test_click_windows(spark):
 def test_order_of_imagery_depends_on_input(order):
     from functools import cmp_to_key
 
-    from mapweave.operators.ranking import compare_imagery
+    from mapweave.operators.ranking import precedence
 
     base = {"is_tiled": False, "resolutionMeters": 0.2, "start": None, "end": None}
     rows = [{**base, "id": "c", "area_km2": 100.0}, {**base, "id": "b", "area_km2": 104.0}, {**base, "id": "a", "area_km2": 108.0}]
-    got = [r["id"] for r in sorted(rows[::-1] if order else rows, key=cmp_to_key(compare_imagery))]
-    assert compare_imagery(rows[0], rows[2]) < 0 < compare_imagery(rows[0], rows[1]) and sorted(got) == ["a", "b", "c"]
+    got = [r["id"] for r in sorted(rows[::-1] if order else rows, key=cmp_to_key(precedence))]
+    assert precedence(rows[0], rows[2]) < 0 < precedence(rows[0], rows[1]) and sorted(got) == ["a", "b", "c"]

@@ -4,10 +4,14 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from mapweave.functions import boxes
+from mapweave.functions.boxes import Box
 from mapweave.operators import adapters, aggregates, country, mosaic, pixels, ranking, spatial
 from mapweave.plans import samples
+from mapweave.plans.queries import QUERIES
 from mapweave.plans.derived import FALLBACK, layers, outlines, points, tile_log
 from mapweave.sources import capabilities, collections, http, outlines as outline_source, reports
 from mapweave.streaming import state
@@ -44,6 +48,34 @@ def test_grid_join_is_the_plain_join(spark, seed):
     assert rows(spatial.covering_grid(p.repartition(7), q, cell=11.0).select("pid", "id")) == plain
 
 
+@pytest.mark.parametrize("cell", [2.0, 17.0])
+def test_box_joins_are_those_of_all_pairs(spark, cell):
+    r = random.Random(4)
+    sides = [sorted((r.uniform(-90, 90), r.uniform(-90, 90))) for _ in range(150)]
+    areas = [(i, (r.uniform(-180, 180), s, r.uniform(-180, 180), n)) for i, (s, n) in enumerate(sides)]  # half of them are inverted
+    areas += [(200, (5.0, 5.0, 5.0, 5.0)), (200, (5.0, 5.0, 5.0, 5.0)), (201, (-180.0, -90.0, 180.0, 90.0)), (202, (170.0, 80.0, 200.0, 95.0)), (203, (4.0, 4.0, 6.0, 6.0)), (204, (6.0, 4.0, 8.0, 6.0))]
+    a = spark.createDataFrame(areas, "pid long, area struct<min_lng: double, min_lat: double, max_lng: double, max_lat: double>")
+    q = world(spark, seed=3)[1]
+    for f, test in ((spatial.overlapping, boxes.any_overlaps), (spatial.containing, boxes.any_contains_box)):
+        plain = rows(a.join(q, test(F.col("extents"), Box.of("area"))).select("pid", "id"))
+        assert rows(f(a, q, cell=cell).select("pid", "id")) == plain and len(plain) > 50
+    numbered = a.withColumn("ord", F.row_number().over(Window.orderBy("pid")))
+    x, y = Box.of("x.area"), Box.of("y.area")
+    met = numbered.alias("x").join(numbered.alias("y"), (F.col("x.ord") < F.col("y.ord")) & x.overlaps(y)).select("x.ord", "y.ord")
+    assert rows(spatial.box_pairs(numbered, box="area", cell=cell)) == rows(met) and met.count() > 1000
+    wide = (F.least(x.e, y.e) > F.greatest(x.w, y.w)) & (F.least(x.n, y.n) > F.greatest(x.s, y.s))
+    met = numbered.alias("x").join(numbered.alias("y"), (F.col("x.ord") < F.col("y.ord")) & wide).select("x.ord", "y.ord")
+    assert rows(spatial.box_pairs(numbered, box="area", area=True, cell=cell)) == rows(met)
+
+
+@pytest.mark.parametrize("name", ["best_source", "best_source_in_country", "imagery_stack", "layers_for_point", "covering_grid", "extent_overlap", "extent_contains", "contested_grid", "winner_conflicts", "bbox_algebra", "tile_select", "country_at_tolerant"])
+def test_no_plan_compares_every_pair(spark, name):
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_ranking_does_not_depend_on_partitions(spark):
     a = ranking.best_source(points(spark, SF), layers(spark, SF), ["pid"], FALLBACK)
     b = ranking.best_source(points(spark, SF).repartition(13), layers(spark, SF).repartition(5), ["pid"], FALLBACK)
