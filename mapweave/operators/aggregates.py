@@ -62,5 +62,13 @@ def tree(layers: DataFrame) -> DataFrame:
     return rows.select(F.col("trail").alias("path"), "code", F.when(F.col("depth") > 0, F.col("parent_code")).alias("parent_code"), name.alias("label"), level.alias("level"), "depth", "layer_count")
 
 
+def in_order(nodes: DataFrame) -> DataFrame:
+    """Rows of the tree depth first, siblings by label as readers sort them, not by code point."""
+    up = nodes.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth") + 1), lambda i: F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "/"))).alias("of"))
+    labels = up.join(nodes.select(F.col("path").alias("of"), "label", "depth"), "of").groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "label"))), lambda x: x["label"]).alias("labels"))
+    keys = [F.asc_nulls_first(F.collate(F.get("labels", F.lit(i)), "UNICODE")) for i in range(6)]
+    return nodes.join(labels, "path").orderBy(*keys, "path").drop("labels")
+
+
 def health_summary(health: DataFrame) -> DataFrame:
     return health.agg(F.count_if("ok").alias("ok"), F.count("*").alias("total"), (F.count_if(~F.col("ok")) > 0).alias("failed"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cmp_to_key
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +31,24 @@ def bucket(country: Column, resolved: Column) -> Column:
     return F.when(resolved.isNull() | (resolved == "") | (country == resolved) | (country == EU), 0).otherwise(2)
 
 
+#: Gives points (lng, lat) the column country; see country.country_at.
+Resolver = Callable[[DataFrame, list[str]], DataFrame]
+_registered: list[Resolver | None] = [None]
+
+
+def set_resolver(resolver: Resolver | None) -> None:
+    """Registers the resolver that calls take unless they name their own; None takes it back."""
+    _registered[0] = resolver
+
+
+def with_country(points: DataFrame, by: list[str], resolver: Resolver | None | bool = None) -> DataFrame:
+    """points with resolved: by the call's resolver, else by the registered one; null with False or where there is neither."""
+    chosen = _registered[0] if resolver is None or resolver is True else resolver
+    if not chosen:
+        return points.withColumn("resolved", F.lit(None).cast("string"))
+    return chosen(points, by).withColumnRenamed("country", "resolved")
+
+
 def _no_alternatives(layers: DataFrame, include: bool) -> DataFrame:
     return layers if include else layers.filter(~F.array_contains("tags", "alternative"))
 

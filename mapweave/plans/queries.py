@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mapweave.functions import boxes, mercator, nuts, text, urls
 from mapweave.functions.boxes import Box
 from mapweave.functions.crs import REGISTRY
-from mapweave.functions.services import can_stitch, click_problem, info_formats, is_queryable, is_raster, needs_reprojection
+from mapweave.functions.services import can_stitch, click_problem, info_formats, is_queryable, is_raster, is_visible_at, needs_reprojection
 from mapweave.operators import adapters, aggregates, audit, country, filters, mosaic, pixels, ranking, spatial
 from mapweave.operators.filters import Query
 from mapweave.plans import samples
@@ -187,6 +187,11 @@ def winner_conflicts(spark, sf):
     return audit.by_winner(_audited(spark, sf)).drop("narrowed")
 
 
+@query(_CONTESTED + "SELECT winner, loser, round(contested / 169, 3) AS contested_share FROM found ORDER BY contested_share DESC, winner, loser", "lay")
+def findings_by_share(spark, sf):
+    return audit.in_order(_audited(spark, sf)).select("winner", "loser", "contested_share")
+
+
 # Countries from outlines
 
 _OUTLINES = """, mid AS (SELECT nk, iso, nk*37 % 60 - 20 AS cx, nk*23 % 30 + 38 AS cy, 2 + nk % 4 AS r FROM nation JOIN codes ON n_nationkey = nk),
@@ -217,6 +222,19 @@ def bounded_countries(spark, sf):
     return country.bounded_countries(outlines(spark, sf))
 
 
+@query(_OUTLINES + " SELECT pid, coalesce(country = 'DE', false) AS inside FROM pts LEFT JOIN strict USING (pid)", "pts")
+def in_country(spark, sf):
+    return country.is_in_country(points(spark, sf), outlines(spark, sf), ["pid"], "DE", 0).select("pid", "inside")
+
+
+@query(_OUTLINES + " SELECT pid, coalesce((SELECT id FROM cov WHERE cov.pid = pts.pid AND category = 'orthophoto' AND status = 'active' AND NOT list_contains(tags, 'alternative') AND (strict.country IS NULL OR cov.country IN (strict.country, 'EU')) ORDER BY area_km2, k LIMIT 1), 'l.000005') AS best FROM pts LEFT JOIN strict USING (pid)", "cov")
+def best_source_resolved(spark, sf):
+    """The country of each point comes from a resolver that the call names."""
+    by_outlines = lambda p, by: country.country_at(p, outlines(spark, sf), by, 0)
+    p = ranking.with_country(points(spark, sf), ["pid"], by_outlines)
+    return ranking.best_source(p, layers(spark, sf), ["pid"], FALLBACK, "resolved")
+
+
 # Groups and counts
 
 
@@ -336,6 +354,23 @@ def antimeridian(spark, sf):
     return points(spark, sf).select("pid", F.round(w, 3).alias("w"), F.round(e, 3).alias("e"), b.contains(F.col("lng"), F.lit(0.0)).alias("inside"), F.round(b.width(), 6).alias("width"), boxes.is_valid(b.array()).alias("valid"))
 
 
+@query("SELECT id, round(greatest(w, 0), 6) AS w, round(greatest(s, 40), 6) AS s, round(least(e, 20), 6) AS e, round(least(n, 60), 6) AS n FROM lay", "lay")
+def bbox_clamp(spark, sf):
+    b = Box.of("bbox").clamped(Box.at((0.0, 40.0, 20.0, 60.0)))
+    return layers(spark, sf).select("id", *[F.round(v, 6).alias(c) for c, v in (("w", b.w), ("s", b.s), ("e", b.e), ("n", b.n))])
+
+
+@query("SELECT id, round(6378137 * radians(w), 3) AS w, round(6378137 * ln(tan(pi()/4 + radians(s)/2)), 3) AS s, round(6378137 * radians(e), 3) AS e, round(6378137 * ln(tan(pi()/4 + radians(n)/2)), 3) AS n FROM lay", "lay")
+def bbox_mercator(spark, sf):
+    b = mercator.project_box(Box.of("bbox"))
+    return layers(spark, sf).select("id", *[F.round(v, 3).alias(c) for c, v in (("w", b.w), ("s", b.s), ("e", b.e), ("n", b.n))])
+
+
+@query("SELECT id, 16 BETWEEN min_zoom AND max_zoom AS visible, 'mapweave-' || id AS source_id, 'mapweave-' || id || '-raster' AS layer_id, 'mapweave://' || id || '/{z}/{x}/{y}' AS template FROM lay", "lay")
+def layer_names(spark, sf):
+    return layers(spark, sf).select("id", is_visible_at(F.lit(16)).alias("visible"), adapters.source_id().alias("source_id"), adapters.layer_id().alias("layer_id"), adapters.own_template().alias("template"))
+
+
 # Sources of tiles
 
 _ORDERED = """, cand AS (SELECT *, row_number() OVER (ORDER BY area_km2, k) AS mosaic_ord FROM lay WHERE category IN ('orthophoto', 'satellite') AND type <> 'WFS' AND status = 'active' AND NOT list_contains(tags, 'alternative')),
@@ -682,16 +717,47 @@ def wmts_layers(spark, sf):
     return made.select("service.wmts.layer", "service.wmts.tileMatrixSet", "service.wmts.crs", "service.wmts.requestEncoding").toDF("identifier", "matrix_set", "crs", "encoding")
 
 
-@query("""WITH RECURSIVE tree AS (SELECT s_suppkey AS k, 0 AS depth, ['c' || s_suppkey % 3] AS crs, s_suppkey % 2 = 0 AS flag FROM supplier WHERE s_suppkey = 1
-  UNION ALL SELECT s.s_suppkey, t.depth + 1, CASE WHEN list_contains(t.crs, 'c' || s.s_suppkey % 3) THEN t.crs ELSE list_append(t.crs, 'c' || s.s_suppkey % 3) END, CASE WHEN s.s_suppkey % 5 = 0 THEN s.s_suppkey % 2 = 0 ELSE t.flag END
-  FROM supplier s JOIN tree t ON s.s_suppkey // 3 = t.k AND s.s_suppkey > 2) SELECT k, depth, array_to_string(crs, ' ') AS crs, flag FROM tree""")
+@query("""WITH own AS (SELECT s_suppkey AS k, s_suppkey % 2 = 0 AS v13, 'R' || s_suppkey AS root, 'EPSG:' || (20000 + s_suppkey % 900) AS extra, s_suppkey % 70 - 30 AS w, s_suppkey % 40 + 10 AS s FROM supplier)
+  SELECT 'd' || k AS doc_id, name, depth, flag AS queryable, crs, w, s, w + 5 AS e, s + 4 AS n, max_scale FROM (
+  SELECT k, 'a' || k AS name, 1 AS depth, true AS flag, 'CRS:84 ' || extra || ' EPSG:3857' AS crs, w, s, (1000 * (1 + k % 9))::DOUBLE AS max_scale FROM own
+  UNION ALL SELECT k, 'b' || k, 1, k % 3 = 0, 'CRS:84 ' || extra, w + 1, s, NULL FROM own
+  UNION ALL SELECT k, 'c' || k, 2, k % 3 = 0, 'CRS:84 ' || extra, w + 1, s, NULL FROM own)""")
 def wms_inheritance(spark, sf):
-    """Inheritance down a tree of layers held as rows: systems add up, flags are taken from above unless stated."""
-    table(spark, sf, "supplier").select("s_suppkey").createOrReplaceTempView("mapweave_nodes")
-    return spark.sql("""WITH RECURSIVE tree(k, depth, crs, flag) AS (
-      SELECT s_suppkey, 0, array(concat('c', s_suppkey % 3)), s_suppkey % 2 = 0 FROM mapweave_nodes WHERE s_suppkey = 1
-      UNION ALL SELECT s.s_suppkey, t.depth + 1, array_union(t.crs, array(concat('c', s.s_suppkey % 3))), CASE WHEN s.s_suppkey % 5 = 0 THEN s.s_suppkey % 2 = 0 ELSE t.flag END
-      FROM mapweave_nodes s JOIN tree t ON s.s_suppkey DIV 3 = t.k AND s.s_suppkey > 2) SELECT k, depth, array_join(crs, ' ') AS crs, flag FROM tree""")
+    """A capabilities document a supplier: systems add up from the root, flags and boxes are taken from above unless stated."""
+    k = F.col("s_suppkey")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    w, south = k % 70 - 30, k % 40 + 10
+
+    def box(w):
+        return text("<EX_GeographicBoundingBox><westBoundLongitude>", w, "</westBoundLongitude><eastBoundLongitude>", w + 5, "</eastBoundLongitude><southBoundLatitude>", south, "</southBoundLatitude><northBoundLatitude>", south + 4, "</northBoundLatitude></EX_GeographicBoundingBox>")
+
+    flag = lambda c: F.when(c, "1").otherwise("0")
+    xml = text(
+        '<WMS_Capabilities version="1.3.0" xmlns="http://www.opengis.net/wms"><Service><Title>S</Title></Service><Capability><Layer queryable="', flag(k % 3 == 0), '"><Title>R', k, "</Title><CRS>CRS:84</CRS><CRS>EPSG:", 20000 + k % 900, "</CRS>", box(w),
+        '<Layer queryable="1"><Name>a', k, "</Name><CRS>EPSG:3857</CRS><MaxScaleDenominator>", (1 + k % 9) * 1000, "</MaxScaleDenominator></Layer>",
+        "<Layer><Name>b", k, "</Name>", box(w + 1), "<Layer><Name>c", k, "</Name></Layer></Layer></Layer></Capability></WMS_Capabilities>",
+    )
+    found = capabilities.parse_wms(table(spark, sf, "supplier").select(text("d", k).alias("doc_id"), xml.alias("xml"))).filter("name IS NOT NULL")
+    b = [F.col(f"bbox.{c}").cast("int").alias(n) for c, n in (("min_lng", "w"), ("min_lat", "s"), ("max_lng", "e"), ("max_lat", "n"))]
+    return found.select("doc_id", "name", "depth", "queryable", F.array_join("crs", " ").alias("crs"), *b, "max_scale")
+
+
+@query("SELECT event_id, 'html' AS format, i::INT AS nth, event_type || ' & co' AS kind, (user_id + i)::VARCHAR AS owner FROM events, range(2) r(i)")
+def featureinfo_html(spark, sf):
+    """A table with a header row and two features for each event."""
+    row = lambda i: F.concat(F.lit("<tr class=x><td> "), "event_type", F.lit(" &amp; <b>co</b></td><td>"), (F.col("user_id") + i).cast("string"), F.lit("</td></tr>"))
+    body = F.concat(F.lit("<html><p>Found</p><table border=1><tr><th>kind</th><TH>owner</TH></tr>"), row(0), F.lit("\n"), row(1), F.lit("</table></html>"))
+    rows = table(spark, sf, "events").select("event_id", body.alias("body"), F.lit("text/html").alias("content_type"))
+    parsed = featureinfo.parse(rows).select("event_id", "format", F.posexplode("features").alias("nth", "f"))
+    return parsed.select("event_id", "format", "nth", F.element_at("f.properties", "kind").alias("kind"), F.element_at("f.properties", "owner").alias("owner"))
+
+
+@query("SELECT event_id, 'gml' AS format, 'lot' AS layer, event_id::VARCHAR AS id, event_type AS kind, user_id::VARCHAR AS owner FROM events")
+def featureinfo_gml(spark, sf):
+    body = F.concat(F.lit('<wfs:FeatureCollection xmlns:wfs="w" xmlns:gml="g"><gml:featureMember><lot fid="'), F.col("event_id").cast("string"), F.lit('"><kind>'), "event_type", F.lit("</kind><owner>"), F.col("user_id").cast("string"), F.lit("</owner><geom><gml:Point>1 2</gml:Point></geom></lot></gml:featureMember></wfs:FeatureCollection>"))
+    rows = table(spark, sf, "events").select("event_id", body.alias("body"), F.lit("application/vnd.ogc.gml").alias("content_type"))
+    parsed = featureinfo.parse(rows).select("event_id", "format", F.explode("features").alias("f"))
+    return parsed.select("event_id", "format", "f.layer", "f.id", F.element_at("f.properties", "kind").alias("kind"), F.element_at("f.properties", "owner").alias("owner"))
 
 
 @query("SELECT event_id, 'json' AS format, len(json_keys(props)) AS n FROM events WHERE props IS NOT NULL")
@@ -784,6 +850,37 @@ def serve_plan(spark, sf):
     return state.with_holes(state.serve(requests)).select("session", "seq", "served_by", "drawn", F.size("asked").alias("asked"))
 
 
+@query("SELECT layer_id, max(ts) AS used_at FROM log WHERE outcome = 'served' AND seq % 3 <> 0 GROUP BY layer_id", "log")
+def uncredited_prefetch(spark, sf):
+    """Every third request was made ahead of need and credits nobody."""
+    return state.last_used(tile_log(spark, sf), F.col("outcome") == "served", F.col("seq") % 3 == 0)
+
+
+@query("SELECT l.layer_id, max(ts) AS used_at FROM log l JOIN lay ON lay.id = l.layer_id AND lay.status = 'active' WHERE outcome = 'served' GROUP BY l.layer_id", "log", "lay")
+def recent_in_catalogue(spark, sf):
+    log = tile_log(spark, sf)
+    return state.active_sources(log, F.col("outcome") == "served", log.agg(F.min("ts").alias("t")).scalar(), 7200, layers(spark, sf).filter("status = 'active'"))
+
+
+@query("""SELECT z, x, y, min(ts) AS begun, count(*) AS callers, count(*) = count(l) AS abandoned, CASE WHEN count(*) = count(l) THEN max(l) END AS abandoned_at FROM (
+  SELECT *, CASE WHEN seq % 4 <> 0 THEN ts + INTERVAL 5 SECOND END AS l, sum(fresh) OVER (PARTITION BY z, x, y ORDER BY ts, seq) AS s FROM (
+  SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY z, x, y ORDER BY ts, seq) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM log)) GROUP BY z, x, y, s""", "log")
+def abandoned_fetches(spark, sf):
+    """Three callers in four leave after five seconds; a fetch that all have left is given up."""
+    left = F.when(F.col("seq") % 4 != 0, F.col("ts") + F.make_dt_interval(secs=F.lit(5)))
+    return state.shared_fetches(tile_log(spark, sf), "6 hours", left).drop("ended")
+
+
+@query("SELECT seq, CASE WHEN pz = z THEN x - px ELSE 0 END::DOUBLE AS heading_x, CASE WHEN pz = z THEN y - py ELSE 0 END::DOUBLE AS heading_y FROM (SELECT *, lag(z) OVER q AS pz, lag(x) OVER q AS px, lag(y) OVER q AS py FROM log WINDOW q AS (PARTITION BY layer_id ORDER BY seq))", "log")
+def headings(spark, sf):
+    return mosaic.headings(tile_log(spark, sf), "layer_id", "seq").select("seq", "heading_x", "heading_y")
+
+
+@query("SELECT country_here, floor(max(pid % 97 / 7.0) * 10 + 0.5) / 10 AS \"limit\" FROM pts GROUP BY country_here", "pts")
+def deepest_zoom(spark, sf):
+    return mosaic.zoom_limit(points(spark, sf).withColumn("detail_zoom", F.col("pid") % 97 / 7.0), ["country_here"])
+
+
 # Pixels
 
 

@@ -6,6 +6,8 @@ A collection is a JSON document {scope, title, updated, layers: [...]}. Reading
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -189,7 +191,37 @@ def write(docs: DataFrame, path: str) -> None:
 
 
 def json_schema() -> str:
-    """The layer row's schema as JSON."""
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(S.LAYER).json()
+    """JSON Schema of a collection document: the types of the record and the rules that a document must keep."""
+    from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StructType
+
+    def of(kind) -> dict:
+        if isinstance(kind, StructType):
+            return {"type": "object", "properties": {f.name: of(f.dataType) for f in kind}, "additionalProperties": False}
+        if isinstance(kind, ArrayType):
+            return {"type": "array", "items": of(kind.elementType)}
+        if isinstance(kind, MapType):
+            return {"type": "object", "additionalProperties": of(kind.valueType)}
+        return {"type": "boolean" if isinstance(kind, BooleanType) else ("integer" if kind.typeName() in ("integer", "long") else "number") if isinstance(kind, NumericType) else "string"}
+
+    record = {f.name: of(f.dataType) for f in StructType.fromDDL(S.LAYER) if f.name in S.LAYER_KEYS}
+    options, url = record["service"]["properties"], {"type": "string", "pattern": "^https?://"}
+    box = {"type": "array", "items": {"type": "number"}, "minItems": 4, "maxItems": 4}
+    some = {"type": "array", "items": {"type": "string", "minLength": 1}, "minItems": 1}
+    options["wms"]["properties"] |= {"layers": some, "version": {"enum": S.WMS_VERSIONS}}
+    options["wfs"]["properties"] |= {"typeNames": some, "version": {"enum": S.WFS_VERSIONS}}
+    needed = {"wms": ["layers"], "wmts": ["layer", "tileMatrixSet"], "xyz": ["urlTemplate"], "wfs": ["typeNames"], "cog": []}
+    record["service"] = {"oneOf": [
+        {"type": "object", "properties": {"type": {"const": t}, "url": url, "options": options[t.lower()] | {"required": needed[t.lower()]}}, "required": ["type", "url"]} for t in S.SERVICES
+    ]}
+    zoom = {"type": "integer", "minimum": 0, "maximum": 24}
+    record |= {"category": {"enum": S.CATEGORIES}, "status": {"enum": S.STATUSES}, "bbox": box, "coverage": {"type": "array", "items": box, "minItems": 1}, "minZoom": zoom, "maxZoom": zoom}
+    record["license"]["properties"]["id"] = {"enum": S.LICENSES}
+    record["id"] |= {"pattern": "^[a-z0-9]+(?:[-.][a-z0-9]+)*$", "minLength": 3, "maxLength": 120}
+    year, day = "^\\d{4}(-\\d{2}(-\\d{2})?)?$", "^\\d{4}-\\d{2}-\\d{2}$"
+    record["temporal"]["properties"] = {k: {"type": "string", "pattern": year} for k in ("start", "end")}
+    record["lastVerified"] |= {"pattern": day}
+    record["country"] |= {"pattern": "^[A-Z]{2}$"}
+    layer = {"type": "object", "properties": record, "additionalProperties": False, "required": ["id", "title", "category", "provider", "country", "bbox", "service", "license", "attribution"]}
+    text = {"type": "string", "minLength": 2}
+    whole = {"$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "properties": {"scope": text, "title": text, "layers": {"type": "array", "items": layer}}, "required": ["scope", "title", "layers"]}
+    return json.dumps(whole, sort_keys=True)

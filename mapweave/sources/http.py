@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions import urls
+from mapweave.operators import adapters
 from mapweave.operators.filters import imagery_candidates
+from mapweave.operators.spatial import covering
 from mapweave.schema import UNAVAILABLE, UNKNOWN, MapError
 from mapweave.sources import featureinfo
 from mapweave.sources.capabilities import wms_rows, wmts_rows
@@ -116,11 +118,56 @@ def tiles(layers: DataFrame, wanted: DataFrame, get: Fetch = open_url, tile: int
 
 
 def clicks(layers: DataFrame, points: DataFrame, get: Fetch = open_url, **options) -> DataFrame:
-    """Feature information of every queryable WMS layer under every point (lng, lat): parsed answers worth showing, in layer order."""
-    asked = points.join(F.broadcast(layers.filter("service.type = 'WMS' AND service.wms.queryable").select("id", "ord", "service")))
-    asked = asked.withColumn("url", urls.feature_info_url(F.col("service.url"), F.col("service.wms"), F.col("lng"), F.col("lat"))).drop("service")
+    """Feature information of the queryable WMS layers of the stack at each point (lng, lat), the most local first: parsed answers worth showing."""
+    asked = covering(points, layers.filter("service.type = 'WMS' AND service.wms.queryable").select("id", "ord", "area_km2", "extents", "service"))
+    asked = asked.withColumn("url", urls.feature_info_url(F.col("service.url"), F.col("service.wms"), F.col("lng"), F.col("lat"))).drop("service", "extents")
     got = fetch(asked, get, timeout=options.pop("timeout", CLICK_TIMEOUT), **options).filter("error IS NULL").withColumn("body", F.decode("body", "utf-8"))
-    return featureinfo.with_answers(featureinfo.parse(got)).orderBy("ord")
+    return featureinfo.with_answers(featureinfo.parse(got)).orderBy("area_km2", "ord").drop("area_km2")
+
+
+def cached_tiles(wanted: DataFrame, cache: DataFrame, get: Fetch = open_url, **options) -> tuple[DataFrame, DataFrame]:
+    """wanted (url) with content_type, body and from_cache; and the entries to write behind: what was fetched and is an image.
+
+    cache: url, content_type, body, inserted_at; trim it with state.cache_keep.
+    """
+    known = wanted.join(cache.select("url", F.col("content_type").alias("kept_type"), F.col("body").alias("kept")), "url", "left")
+    got = fetch(known.filter("kept IS NULL").drop("kept", "kept_type"), get, timeout=options.pop("timeout", TILE_TIMEOUT), **options)
+    image = F.col("error").isNull() & F.startswith(F.coalesce("content_type", F.lit("")), F.lit("image/"))
+    fresh = got.withColumn("body", F.when(image, F.col("body"))).select(*wanted.columns, "content_type", "body", F.lit(False).alias("from_cache"))
+    held = known.filter("kept IS NOT NULL").select(*wanted.columns, F.col("kept_type").alias("content_type"), F.col("kept").alias("body"), F.lit(True).alias("from_cache"))
+    entries = fresh.filter("body IS NOT NULL").select("url", "content_type", "body").dropDuplicates(["url"]).withColumn("inserted_at", F.current_timestamp())
+    return held.unionByName(fresh), entries
+
+
+def protocol_tiles(asked: DataFrame, layers: DataFrame, get: Fetch = open_url, **options) -> DataFrame:
+    """asked (url of our own scheme) with id, z, x, y, content_type, body and error: URL to layer to request to bytes."""
+    named = asked.withColumn("own", adapters.parse_own(F.col("url")))
+    known = named.select("url", "own.*").join(layers.select("id"), "id", "left_semi")
+    got = tiles(layers, known.select("id", "z", "x", "y").distinct(), get, **options).select("id", "z", "x", "y", "content_type", "body", "error")
+    out = named.select(F.col("url"), "own.id", "own.z", "own.x", "own.y").join(got, ["id", "z", "x", "y"], "left").join(layers.select("id", F.lit(True).alias("there")), "id", "left")
+    missing = F.when(F.col("id").isNull(), "not a tile URL").when(F.col("there").isNull(), F.concat(F.lit("no such layer: "), "id"))
+    return out.withColumn("error", F.coalesce(missing, "error")).drop("there")
+
+
+def mosaic_tiles(asked: DataFrame, chain: DataFrame, layers: DataFrame, get: Fetch = open_url, **options) -> DataFrame:
+    """asked (url of a mosaic) with z, x, y, served_by, content_type, body and cache_control.
+
+    chain: mosaic.select's rows (z, x, y, nth, id). Tiles are asked of their first source, those that fail of the next one, and so on
+    down the longest list; what is left is a hole, drawn empty and not to be stored. A round's answers are written by the caller's
+    session as they are needed; there are as many rounds as sources to a tile.
+    """
+    named = asked.withColumn("own", adapters.parse_own(F.col("url"))).select("url", "own.z", "own.x", "own.y")
+    left = named.select("z", "x", "y").distinct()
+    chain = chain.join(left, ["z", "x", "y"], "left_semi").persist()
+    served = None
+    for nth in range(1, (chain.agg(F.max("nth")).first()[0] or 0) + 1):
+        now = chain.filter(F.col("nth") == nth).join(left, ["z", "x", "y"], "left_semi")
+        got = tiles(layers, now.select("id", "z", "x", "y"), get, **options).filter("error IS NULL").select("z", "x", "y", F.col("id").alias("served_by"), "content_type", "body").persist()
+        served = got if served is None else served.unionByName(got)
+        left = left.join(got, ["z", "x", "y"], "left_anti")
+    if served is None:
+        return named.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("served_by", "string"), ("content_type", "string"), ("body", "binary"))], F.lit("no-store").alias("cache_control"))
+    return named.join(served, ["z", "x", "y"], "left").withColumn("cache_control", F.when(F.col("served_by").isNull(), "no-store"))
 
 
 def probe_requests(layers: DataFrame) -> DataFrame:

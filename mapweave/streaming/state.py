@@ -7,12 +7,12 @@ watermark of the streams (late rows are dropped) is this engine's own choice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from mapweave.functions.mercator import area_key, block_key
 
@@ -26,9 +26,17 @@ def _earlier(keys: list[str], order: list[str]):
 
 
 def failing(log: DataFrame, failed: Column, ttl: int = FAILURE_TTL, order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
-    """log with is_failing: the layer's last failure before this row is ttl seconds old at most. A later failure restarts the clock."""
-    last = F.max(F.when(failed, F.col("ts"))).over(_earlier(["layer_id"], list(order)))
-    return log.withColumn("is_failing", F.coalesce(F.col("ts") <= last + F.make_dt_interval(secs=F.lit(ttl)), F.lit(False)))
+    """log with is_failing: the layer's last failure before this row is ttl seconds old at most. A later failure restarts the clock.
+
+    Time is cut into spans of ttl seconds, so that a busy layer's log is many groups: a row looks at its own span, and at the last
+    failure of the one before.
+    """
+    span = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(max(ttl, 1) * 1_000_000))
+    cut = log.withColumn("__span", span).withColumn("__failed", F.when(failed, F.col("ts")))
+    last = cut.filter("__failed IS NOT NULL").groupBy("layer_id", (F.col("__span") + 1).alias("__span")).agg(F.max("__failed").alias("__before"))
+    own = F.max("__failed").over(_earlier(["layer_id", "__span"], list(order)))
+    both = cut.join(last, ["layer_id", "__span"], "left").withColumn("__last", F.greatest(own, "__before"))
+    return both.withColumn("is_failing", F.coalesce(F.col("ts") <= F.col("__last") + F.make_dt_interval(secs=F.lit(ttl)), F.lit(False))).select(*log.columns, "is_failing")
 
 
 def blank_here(log: DataFrame, blank: Column, order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
@@ -50,13 +58,15 @@ def empty_areas(log: DataFrame, blank: Column, served: Column) -> DataFrame:
     return seen.filter(F.col("b") & ~F.coalesce("s", F.lit(False))).select("id", "area")
 
 
-def last_used(log: DataFrame, served: Column) -> DataFrame:
-    return log.filter(served).groupBy("layer_id").agg(F.max("ts").alias("used_at"))
+def last_used(log: DataFrame, served: Column, prefetch: Column | None = None) -> DataFrame:
+    """When each layer last served. prefetch: rows that were asked for ahead of need; they put no source to use, so they are not credited."""
+    credited = served if prefetch is None else served & ~F.coalesce(prefetch, F.lit(False))
+    return log.filter(credited).groupBy("layer_id").agg(F.max("ts").alias("used_at"))
 
 
-def active_sources(log: DataFrame, served: Column, now: Column, within: int = ACTIVE, layers: DataFrame | None = None) -> DataFrame:
+def active_sources(log: DataFrame, served: Column, now: Column, within: int = ACTIVE, layers: DataFrame | None = None, prefetch: Column | None = None) -> DataFrame:
     """Layers that served in the last seconds, the latest first; with layers only those of the catalogue."""
-    out = last_used(log, served).filter(now <= F.col("used_at") + F.make_dt_interval(secs=F.lit(within)))
+    out = last_used(log, served, prefetch).filter(now <= F.col("used_at") + F.make_dt_interval(secs=F.lit(within)))
     if layers is not None:
         out = out.join(layers.select(F.col("id").alias("layer_id")), "layer_id", "left_semi")
     return out.orderBy(F.col("used_at").desc(), "layer_id")
@@ -68,6 +78,19 @@ def shared_requests(log: DataFrame, gap: str = "2 seconds") -> DataFrame:
     return log.groupBy("z", "x", "y", session.alias("s")).agg(F.count("*").alias("callers")).select("z", "x", "y", F.col("s.start").alias("begun"), F.col("s.end").alias("ended"), "callers")
 
 
+def shared_fetches(log: DataFrame, gap: str, left_at: Column) -> DataFrame:
+    """The same with abandoned: every caller left (left_at, null if it stayed) before the fetch would have ended; abandoned_at: when the last one did."""
+    told = log.withColumn("__left", left_at)
+    grouped = told.groupBy("z", "x", "y", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("callers"), F.count("__left").alias("leavers"), F.max("__left").alias("last"))
+    gone = (F.col("callers") == F.col("leavers")) & (F.col("last") < F.col("s.end"))
+    return grouped.select("z", "x", "y", F.col("s.start").alias("begun"), F.col("s.end").alias("ended"), "callers", F.coalesce(gone, F.lit(False)).alias("abandoned"), F.when(gone, F.col("last")).alias("abandoned_at"))
+
+
+def on_tile(served: DataFrame, told: Callable[[DataFrame, int], None], **options) -> StreamingQuery:
+    """Tells a function of every micro-batch of served tiles, as a running query. options: of the stream's writer, such as checkpointLocation."""
+    return served.writeStream.foreachBatch(told).options(**options).start()
+
+
 def cache_keep(cache: DataFrame, limit: int = 1500, buckets: int = 64) -> DataFrame:
     """The newest `limit` entries (url, inserted_at) of a cache. Only what is newest in its bucket goes on to be compared with the rest, so no task sorts the whole cache."""
     newest = [F.col("inserted_at").desc(), "url"]
@@ -83,45 +106,51 @@ def serve(requests: DataFrame, tile: int = 512, ttl: int = FAILURE_TTL, holes: b
 
     requests: session, seq, ts, z, x, y and answers, an array in candidate order of (layer_id, status, content_type, bytes,
     verdict). The last candidate is taken as it comes, unless holes may be left. What one answer teaches changes later
-    ones, so a session's requests run one after the other; memory belongs to a session, as it does to a client. 404 and
+    ones, so a session's requests run one after the other, a row at a time; only what it has learnt is held, as a client does. 404 and
     204 are gaps; other errors and answers that are no image are failures; a verdict from the pixels goes before the
     number of bytes; ground with imagery before is trusted.
     """
     least = BLANK_BYTES.get(tile, 0)
 
-    def walk(table: pa.Table) -> pa.Table:
+    kinds = pa.schema([("session", pa.string()), ("seq", pa.int64()), ("z", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("served_by", pa.string()), ("asked", pa.list_(pa.string()))])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session: object = object()  # what no session is called
         until: dict[str, float] = {}
-        blank, confirmed, cache, out = set(), set(), set(), []
-        rows = sorted(table.to_pylist(), key=lambda r: (r["ts"], r["seq"]))
-        for r in rows:
-            z, x, y, now = r["z"], r["x"], r["y"], r["ts"].timestamp()
-            block = (z, x >> 2, y >> 2)
-            area = (x << (12 - z), y << (12 - z)) if z <= 12 else (x >> (z - 12), y >> (z - 12))
-            served, asked, answers = None, [], r["answers"] or []
-            for i, a in enumerate(answers):
-                name, last = a["layer_id"], not holes and i == len(answers) - 1
-                if not last and (now <= until.get(name, float("-inf")) or (name, block) in blank):
-                    continue
-                if (name, z, x, y) in cache:
-                    served = name
-                    break
-                asked.append(name)
-                if a["status"] in (404, 204):
-                    blank.add((name, block))
-                elif not 200 <= (a["status"] or 0) < 300 or not (a["content_type"] or "").startswith("image/"):
-                    until[name] = now + ttl
-                elif not last and (a["verdict"] == "empty" or (a["verdict"] is None and (name, area) not in confirmed and (a["bytes"] or 0) < least)):
-                    blank.add((name, block))
-                else:
-                    confirmed.add((name, area))
-                    cache.add((name, z, x, y))
-                    served = name
-                    break
-            out.append({"session": r["session"], "seq": r["seq"], "z": z, "x": x, "y": y, "served_by": served, "asked": asked})
-        kinds = [("session", pa.string()), ("seq", pa.int64()), ("z", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("served_by", pa.string()), ("asked", pa.list_(pa.string()))]
-        return pa.Table.from_pylist(out, pa.schema(kinds))
-
-    return requests.select("session", "seq", "ts", "z", "x", "y", "answers").groupBy("session").applyInArrow(walk, ANSWER)
+        blank, confirmed, cache = set(), set(), set()
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["session"] != session:
+                    session, until, blank, confirmed, cache = r["session"], {}, set(), set(), set()
+                z, x, y, now = r["z"], r["x"], r["y"], r["ts"].timestamp()
+                block = (z, x >> 2, y >> 2)
+                area = (x << (12 - z), y << (12 - z)) if z <= 12 else (x >> (z - 12), y >> (z - 12))
+                served, asked, answers = None, [], r["answers"] or []
+                for i, a in enumerate(answers):
+                    name, last = a["layer_id"], not holes and i == len(answers) - 1
+                    if not last and (now <= until.get(name, float("-inf")) or (name, block) in blank):
+                        continue
+                    if (name, z, x, y) in cache:
+                        served = name
+                        break
+                    asked.append(name)
+                    if a["status"] in (404, 204):
+                        blank.add((name, block))
+                    elif not 200 <= (a["status"] or 0) < 300 or not (a["content_type"] or "").startswith("image/"):
+                        until[name] = now + ttl
+                    elif not last and (a["verdict"] == "empty" or (a["verdict"] is None and (name, area) not in confirmed and (a["bytes"] or 0) < least)):
+                        blank.add((name, block))
+                    else:
+                        confirmed.add((name, area))
+                        cache.add((name, z, x, y))
+                        served = name
+                        break
+                out.append({"session": r["session"], "seq": r["seq"], "z": z, "x": x, "y": y, "served_by": served, "asked": asked})
+            yield pa.RecordBatch.from_pylist(out, kinds)
+
+    rows = requests.select("session", "seq", "ts", "z", "x", "y", "answers")
+    return rows.repartition("session").sortWithinPartitions("session", "ts", "seq").mapInArrow(walk, ANSWER)
 
 
 def with_holes(served: DataFrame) -> DataFrame:

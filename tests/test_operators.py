@@ -13,7 +13,8 @@ from mapweave.operators import adapters, aggregates, country, mosaic, pixels, ra
 from mapweave.plans import samples
 from mapweave.plans.queries import QUERIES
 from mapweave.plans.derived import FALLBACK, layers, outlines, points, tile_log
-from mapweave.sources import capabilities, collections, http, outlines as outline_source, reports
+from mapweave.schema import CATEGORIES, LAYER_KEYS, SERVICES
+from mapweave.sources import capabilities, collections, featureinfo, http, outlines as outline_source, reports
 from mapweave.streaming import state
 
 SF = "/root/testdata/sf0.001"
@@ -155,7 +156,7 @@ def test_collections(spark):
         collections.build_strict(collections.documents(spark, samples.COLLECTIONS))
     catalogue, accepted, issues = collections.register(layers(spark, SF), collections.documents(spark, samples.RUNTIME))
     assert [r.id for r in accepted.collect()] == ["xx.runtime.one"] and issues.filter("message like 'Duplicate%'").count() == 1
-    assert catalogue.orderBy(F.col("ord").desc()).first().id == "xx.runtime.one" and '"fields"' in collections.json_schema()
+    assert catalogue.orderBy(F.col("ord").desc()).first().id == "xx.runtime.one"
     broken = collections.issues(collections.documents(spark, [("x", "not json")]))
     assert {r.path for r in broken.collect()} == {"scope", "title", "layers"}
 
@@ -173,8 +174,8 @@ def test_wms_documents(spark):
     docs = spark.createDataFrame([("new", samples.WMS_130, "https://e.example/wms"), ("old", samples.WMS_111, None)], "doc_id string, xml string, url string")
     got = {(r.doc_id, r.name): r for r in capabilities.parse_wms(docs).collect()}
     root, parcels, zoning, detail = (got["new", n] for n in (None, "parcels", "zoning", "detail"))
-    assert tuple(root.bbox) == (6.6, 35.4, 18.6, 47.2) and root.boxes[0].raw == [35.4, 6.6, 47.2, 18.6] and root.boxes[0].bbox == [6.6, 35.4, 18.6, 47.2]
-    assert (parcels.min_scale, parcels.max_scale, parcels.queryable, parcels.path, parcels.depth) == (100, 8000, True, ["Root"], 1) and root.service.title == "Parcels & zones"
+    assert tuple(root.bbox) == (3.5, 41.25, 9.75, 51.5) and root.boxes[0].raw == [41.25, 3.5, 51.5, 9.75] and root.boxes[0].bbox == [3.5, 41.25, 9.75, 51.5]
+    assert (parcels.min_scale, parcels.max_scale, parcels.queryable, parcels.path, parcels.depth) == (300, 15000, True, ["Root"], 1) and root.service.title == "Parcels & zones"
     assert not zoning.queryable and zoning.dimensions[0].default == "2020" and detail.dimensions == zoning.dimensions and detail.title == "detail" and parcels.get_map.url == "https://e.example/wms"
     ortho = got["old", "ortho"]
     assert ortho.version == "1.1.1" and ortho.crs == ["EPSG:4326", "EPSG:3003", "EPSG:3857"] and tuple(ortho.bbox) == (10, 43, 11, 44) and abs(ortho.min_scale - 707.1) < 0.1 and ortho.dimensions[0].values == "2000/2001"
@@ -184,12 +185,12 @@ def test_wms_documents(spark):
     big = samples.WMS_130.replace("<Layer><Name>detail</Name></Layer>", many)
     found = capabilities.parse_wms(spark.createDataFrame([("big", big)], "doc_id string, xml string"))
     last = capabilities.find_layer(found, "l599").first()
-    assert found.filter("name like 'l%'").count() == 600 and last.title == "a & 599" and tuple(last.bbox) == (6.6, 35.4, 18.6, 47.2)
+    assert found.filter("name like 'l%'").count() == 600 and last.title == "a & 599" and tuple(last.bbox) == (3.5, 41.25, 9.75, 51.5)
 
 
 def test_wmts_documents(spark):
     r = capabilities.parse_wmts(spark.createDataFrame([("a", samples.WMTS), ("b", "<x/>")], "doc_id string, xml string")).orderBy("doc_id").collect()
-    assert tuple(r[0].bbox) == (-25, 32, 45, 72) and r[0].matrix_sets["web"].crs == "EPSG:3857" and (r[0].matrix_sets["degrees"].matrices[0].left, r[0].matrix_sets["degrees"].matrices[0].top) == (-180, 90) and r[1].error_code == "CAPABILITIES_PARSE_ERROR"
+    assert tuple(r[0].bbox) == (-12.5, 38, 27, 63) and r[0].matrix_sets["web"].crs == "EPSG:3857" and (r[0].matrix_sets["degrees"].matrices[0].left, r[0].matrix_sets["degrees"].matrices[0].top) == (-180, 90) and r[1].error_code == "CAPABILITIES_PARSE_ERROR"
 
 
 def answer(url, headers, timeout):
@@ -212,8 +213,11 @@ def test_sweeps(spark):
     q = layers(spark, SF)
     tiles = http.tiles(q, http.probe_requests(q), answer)
     assert tiles.filter("error IS NULL").count() == tiles.filter("service_ok IS NULL OR true" if "service_ok" in tiles.columns else "url IS NOT NULL").count()
-    clicks = http.clicks(q, spark.createDataFrame([(11.0, 43.0)], "lng double, lat double"), answer).collect()
-    assert clicks and all(r.features[0].properties == {"lot": "7"} for r in clicks)
+    clickable = q.filter("service.type = 'WMS' AND service.wms.queryable")
+    corner = clickable.select(F.col("extents")[0]["min_lng"].alias("lng"), F.col("extents")[0]["min_lat"].alias("lat"))
+    clicks = http.clicks(q, corner, answer).collect()
+    assert len(clicks) >= clickable.count() > 0 and all(r.features[0].properties == {"lot": "7"} for r in clicks)
+    assert http.clicks(q, spark.createDataFrame([(-170.0, -80.0)], "lng double, lat double"), answer).count() == 0
     summary = aggregates.health_summary(http.check(ends, answer)).first()
     assert (summary.ok, summary.total, summary.failed) == (2, 4, True)
 
@@ -280,3 +284,116 @@ def test_streams_are_the_batch(spark, tmp_path):
     assert run(state.distinct_stream(stream.select("ts", "z", "x", "y")), "tiles").count() == batch.select("z", "x", "y").distinct().count()
     assert run(state.blank_blocks_stream(stream), "blocks").count() > 0
     assert run(state.usage_stream(stream.filter("outcome = 'served'"), "1 hour"), "usage").count() >= 0
+
+
+def test_schema_of_documents():
+    import json
+
+    schema = json.loads(collections.json_schema())
+    layer = schema["properties"]["layers"]["items"]
+    assert set(layer["properties"]) == set(LAYER_KEYS) and not layer["additionalProperties"] and layer["properties"]["category"]["enum"] == CATEGORIES
+    assert [x["properties"]["type"]["const"] for x in layer["properties"]["service"]["oneOf"]] == SERVICES and layer["properties"]["bbox"]["minItems"] == 4
+    assert layer["properties"]["service"]["oneOf"][0]["properties"]["options"]["required"] == ["layers"]
+
+
+def test_tree_in_readers_order(spark):
+    rows = [("EU", "Europe", 0), ("EU/AT", "Österreich", 1), ("EU/PL", "Polska", 1), ("EU/NL", "nederland", 1), ("EU/PL/PL2", "Śląsk", 2), ("EU/PL/PL9", "Mazowsze", 2), ("EU/PL/PL6", "Żuławy", 2)]
+    tree = spark.createDataFrame(rows, "path string, label string, depth int").repartition(4)
+    assert [r.path for r in aggregates.in_order(tree).collect()] == ["EU", "EU/NL", "EU/AT", "EU/PL", "EU/PL/PL9", "EU/PL/PL2", "EU/PL/PL6"]
+
+
+def test_findings_by_share(spark):
+    got = QUERIES["findings_by_share"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) > 10 and [r.contested_share for r in got] == sorted((r.contested_share for r in got), reverse=True)
+
+
+def test_resolvers(spark):
+    p = points(spark, SF)
+    named = lambda value: lambda points, by: points.withColumn("country", F.lit(value))
+    shown = lambda **o: ranking.with_country(p, ["pid"], **o).select("resolved").distinct().first()[0]
+    assert shown() is None
+    ranking.set_resolver(named("IT"))
+    try:
+        assert (shown(), shown(resolver=named("FR")), shown(resolver=False)) == ("IT", "FR", None)
+    finally:
+        ranking.set_resolver(None)
+
+
+def test_failures_in_a_busy_layer(spark):
+    """One layer with nine tenths of the log: spans of time give what one window over it gives."""
+    r = random.Random(6)
+    data = [("busy" if r.random() < 0.9 else f"l{r.randrange(5)}", i, 1_000_000_000 + r.randrange(4000) / 4, r.random() < 0.02) for i in range(3000)]
+    log = spark.createDataFrame(data, "layer_id string, seq long, t double, failed boolean").withColumn("ts", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")))
+    last = F.max(F.when(F.col("failed"), F.col("ts"))).over(Window.partitionBy("layer_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1))
+    for ttl in (1, 7, 60):
+        plain = log.select("seq", F.coalesce(F.col("ts") <= last + F.make_dt_interval(secs=F.lit(ttl)), F.lit(False)))
+        assert rows(state.failing(log, F.col("failed"), ttl).select("seq", "is_failing")) == rows(plain)
+
+
+def test_text_answers_in_odd_shapes(spark):
+    bodies = {
+        "Results for FeatureType 'a':\n---\nx = 1\ny=2\nx = 3\n-----\nResults for FeatureType 'b'\n----\nx= 4 = 5\n---\n= 6\n": [("a", {"y": "2", "x": "3"}), ("b", {"x": "4 = 5"})],
+        "x = 1\r\nResults for FeatureType 'late':\r\ny = 2\r\n--\r\n": [("late", {"x": "1", "y": "2"})],
+        "results for featuretype plain\n---\n---\nk=\n": [("plain", {"k": ""})],
+        "nothing here\n----\n": [],
+        "a = 1\n" + "---\nb = 2\n" * 300: [(None, {"a": "1"})] + [(None, {"b": "2"})] * 300,
+    }
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    for r in df.select("body", featureinfo.text_features(F.col("body")).alias("f")).collect():
+        assert [(f.layer, f.properties) for f in r.f] == bodies[r.body]
+
+
+def test_html_answers_in_odd_shapes(spark):
+    bodies = {
+        "<TABLE><TR><TD>a</TD><TD>1</TD></TR><tr><td>a</td><td>2</td></tr><tr><td></td><td>3</td></tr></TABLE>": [{"a": "2"}],
+        "<table><thead><tr><th>a</th><th>b</th></tr></thead><tr><td>1</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table>": [{"a": "1", "b": "2"}],
+        "<table><tr><th>a</th><td><a href='x>y'>1</a></td></tr></table><table><tr><td>b</td><td>2</td></tr></table>": [{"a": "y'>1"}, {"b": "2"}],
+        "<table><tr><td>a</td><td>1</td></tr>": [], "<p>none</p>": [],
+    }
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    for r in df.select("body", featureinfo.html_features(F.col("body")).alias("f")).collect():
+        assert [f.properties for f in r.f] == bodies[r.body]
+
+
+def test_protocols_end_to_end(spark):
+    q = layers(spark, SF)
+    ids = [r.id for r in q.filter("service.type IN ('WMTS', 'XYZ', 'WMS')").orderBy("ord").limit(3).collect()]
+
+    def get(url, headers, timeout):
+        return (503, "text/html", b"") if f"layer_{int(ids[0][2:])}" in url.split("&")[0] + url else (200, "image/png", url.encode())
+
+    asked = spark.createDataFrame([(f"mapweave://{ids[1]}/3/2/1",), (f"mapweave://{ids[0]}/3/2/1",), ("mapweave://none/3/2/1",), ("other",), (f"mapweave://{ids[1]}/3/2/1",)], "url string")
+    got = {r.url: r for r in http.protocol_tiles(asked, q, get).collect()}
+    assert http.protocol_tiles(asked, q, get).count() == 5
+    assert got[f"mapweave://{ids[1]}/3/2/1"].body and got[f"mapweave://{ids[0]}/3/2/1"].error.startswith("503")
+    assert got["mapweave://none/3/2/1"].error == "no such layer: none" and got["other"].error == "not a tile URL"
+    chain = spark.createDataFrame([(3, 2, 1, 1, ids[0]), (3, 2, 1, 2, ids[1]), (3, 2, 2, 1, ids[0])], "z int, x long, y long, nth int, id string")
+    asked = spark.createDataFrame([("mapweave-mosaic://m/3/2/1",), ("mapweave-mosaic://m/3/2/2",), ("mapweave-mosaic://m/3/5/5",)], "url string")
+    got = {r.url[-3:]: (r.served_by, r.cache_control, r.body is not None) for r in http.mosaic_tiles(asked, chain, q, get).collect()}
+    assert got == {"2/1": (ids[1], None, True), "2/2": (None, "no-store", False), "5/5": (None, "no-store", False)}
+
+
+def test_cache_is_read_through(spark):
+    log = spark.sparkContext.accumulator(0)
+
+    def get(url, headers, timeout):
+        log.add(1)
+        return (200, "image/png", b"new") if "new" in url else (200, "text/html", b"no")
+
+    cache = spark.createDataFrame([("https://old.example/", "image/png", b"old", "2026-01-01")], "url string, content_type string, body binary, inserted_at string")
+    wanted = spark.createDataFrame([(u,) for u in ("https://old.example/", "https://new.example/", "https://bad.example/")], "url string")
+    found, entries = http.cached_tiles(wanted, cache, get)
+    assert {(r.url, bytes(r.body) if r.body else None, r.from_cache) for r in found.collect()} == {("https://old.example/", b"old", True), ("https://new.example/", b"new", False), ("https://bad.example/", None, False)}
+    assert log.value == 2 and [r.url for r in entries.collect()] == ["https://new.example/"]
+
+
+def test_tiles_are_told_as_they_come(spark, tmp_path):
+    spark.createDataFrame([(i, "l1") for i in range(7)], "seq long, layer_id string").write.json(f"{tmp_path}/in")
+    told = []
+    stream = spark.readStream.schema("seq long, layer_id string").json(f"{tmp_path}/in")
+    running = state.on_tile(stream, lambda batch, n: told.extend(r.seq for r in batch.collect()), checkpointLocation=f"{tmp_path}/state")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    assert sorted(told) == list(range(7))
