@@ -79,6 +79,14 @@ def drop_written(df: DataFrame) -> None:
     release(df.sparkSession, df.written_path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

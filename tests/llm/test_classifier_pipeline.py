@@ -88,3 +88,22 @@ def test_classifier_learns_from_documents_that_the_rules_reject(spark, tmp_path)
     came = docs.filter("doc_id < 200 OR doc_id >= 300")
     kept = {r.doc_id for r in corpus_pipeline.keep_by_classifier(spark, came, str(tmp_path)).collect()}
     assert kept == set(range(120))
+
+
+def test_stages_on_odd_and_on_empty_tables(spark, tmp_path):
+    """Null, empty and repeated texts, null keys, and columns with names that the stages would take for themselves."""
+    good = [" ".join(f"word{(i * 7 + k * k) % 97}" for k in range(80)) for i in range(40)]
+    rows = [(i, t, "v", 0.1, "s", 1) for i, t in enumerate(good)] + [(50, None, "v", 0.1, "s", 1), (51, "", None, None, None, None), (0, good[0], "v", 0.1, "s", 1), (None, good[1] + " more", "v", 0.1, "s", 1), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, verdict_of_rules string, score_of_classifier double, Verdict_Of_Rules_ string, fp int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(20)] + [(3, 0), (None, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for start in (docs, docs.limit(0)):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, now, str(tmp_path))
+            if name != "packing":
+                assert got.columns == docs.columns and got.schema == docs.schema
+                assert got.filter("text IS NULL OR text = ''").count() == 0
+                assert got.count() <= now.count() and (start is docs) == (got.count() > 0)
+            now = got
+        assert (now.count() > 0) == (start is docs)
