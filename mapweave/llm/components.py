@@ -43,14 +43,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     while now[0]:
         both = stars.union(stars.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = written(large.distinct(), "large-star")
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b")))
-        new = written(small.distinct(), "small-star")
+        new = written(small.distinct(), "stars")
         before, now = now, mark(new)
         drop_written(stars)
-        drop_written(large)
         stars = new
         if now == before:
             break

@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # A key that stands for several rows (copies under one key) gives one of them, so the bound holds.
     rows = sample.mapInArrow(each, "k long, y int, at array<int>, x array<float>").groupBy("k").agg(F.min_by(F.struct("y", "at", "x"), F.xxhash64("at", "x")).alias("row")).select("k", "row.*").toArrow()
     got = sorted(zip(rows["k"].to_pylist(), rows["at"], rows["x"], rows["y"].to_pylist(), strict=True), key=lambda r: r[0])
-    return fit([(at.values.to_numpy(zero_copy_only=False).astype(np.int64), x.values.to_numpy(zero_copy_only=False).astype(np.float64), y) for _, at, x, y in got])
+    return fit([(at.values.to_numpy(), x.values.to_numpy(), y) for _, at, x, y in got])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", n_chars: str = "n_chars", into: str = "score") -> DataFrame:

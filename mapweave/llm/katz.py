@@ -33,7 +33,7 @@ from mapweave.llm.common import release as release_path
 from mapweave.llm.fm_classifier import remainder
 
 #: Tokens to a chunk; entries to a partition of words or pairs.
-CHUNK, WORDS, PAIRS = 2_500_000, 1_000_000, 2_500_000
+CHUNK, WORDS, PAIRS = 1_800_000, 1_000_000, 1_800_000
 #: Counts up to which Good-Turing discounts.
 LOW = 5
 #: What no text has as a word: the end token.

@@ -215,7 +215,7 @@ def pairs_apart(shared: DataFrame, roots: DataFrame, hot: list[tuple[int, int]],
     rows = shared.select("shingle", "na", "f0", "f1", "node").join(known, "node", "left").select("shingle", "na", "f0", "f1", "node", F.coalesce("root", "node").alias("root"))
     if hot:  # most of these buckets are one component by now
         listed = F.broadcast(spark.createDataFrame(hot, "shingle long, parts long").select("shingle"))
-        one = written(rows.join(listed, "shingle").groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo = hi").select("shingle"), "whole-buckets")
+        one = rows.join(listed, "shingle").groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo = hi").select("shingle")
         rows = rows.join(F.broadcast(one), "shingle", "left_anti")
     dealt = in_blocks(rows, ["shingle"], "node", BLOCK)
 
@@ -265,8 +265,9 @@ def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, key: str, text:
 
     The set of b is read once, then those of all its a stream past; a b with very many is dealt out.
     """
-    nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "pair-nodes")
-    few = nodes.count() <= BROADCAST
+    n_pairs = pairs.count()
+    few = 2 * n_pairs <= BROADCAST
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     chosen = rows.select("node", "doc_id", "text_hash").join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select("node", "row.*")
     texts = doc_columns(docs, key, text).withColumn("text_hash", F.xxhash64("text")).alias("t")
     same = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.text_hash") == F.col("c.text_hash"))
@@ -280,11 +281,11 @@ def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, key: str, text:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), _lists([x for _, x in got])], names=["node", "items"])
 
     sets = written(needed.mapInArrow(items, "node long, items array<long>"), "sets")
-    large = written(pairs.groupBy("b").count().filter(F.col("count") > BLOCK).select("b", F.ceil(F.col("count") / BLOCK).alias("parts")), "large-nodes")
-    n_large = large.count()
     dealt = pairs.withColumn("salt", F.lit(0).cast("long"))
-    if n_large:
-        dealt = pairs.join(F.broadcast(large) if n_large <= BROADCAST else large, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0).cast("long")).alias("salt"))
+    if n_pairs > BLOCK:  # a node in n_pairs / BLOCK may have more partners than a block
+        large = pairs.groupBy("b").count().filter(F.col("count") > BLOCK).select("b", F.ceil(F.col("count") / BLOCK).alias("parts"))
+        large = F.broadcast(large) if n_pairs // BLOCK <= BROADCAST else large
+        dealt = pairs.join(large, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0).cast("long")).alias("salt"))
     own = dealt.select("b", "salt").distinct().join(sets.withColumnRenamed("node", "b"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "items")
     both = own.unionByName(dealt.join(sets.withColumnRenamed("node", "a"), "a").select("b", "salt", "a", "items"))
 
@@ -308,7 +309,7 @@ def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, key: str, text:
 
     ordered = both.repartition("b", "salt").sortWithinPartitions("b", "salt", F.asc_nulls_first("a"))
     out = written(ordered.select("b", "salt", "a", "items").mapInArrow(each, "a long, b long").distinct(), "verified-links")
-    for t in (pairs, sets, nodes, large):
+    for t in (pairs, sets):
         drop_written(t)
     return out
 
