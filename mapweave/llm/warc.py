@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from mapweave.llm.common import new_path, written
 
-#: Records the dictionary is trained on, the longest that is used, bytes of them all, and bytes of the dictionary.
-SAMPLE, LONGEST, SAMPLE_BYTES, DICTIONARY = 2_000, 1 << 15, 8 << 20, 1 << 16
+#: Records the dictionary is trained on, the longest that is used whole, bytes of them all, bytes of the dictionary, and of pieces of a few records.
+SAMPLE, LONGEST, SAMPLE_BYTES, DICTIONARY, PIECE = 2_000, 1 << 15, 8 << 20, 1 << 16, 512
 #: Payloads with copies up to which their digests are broadcast.
 BROADCAST = 500_000
 #: Bytes after which a new archive is begun.
@@ -85,13 +85,16 @@ def _place(path: str):
 
 
 def build_dictionary(records: DataFrame) -> bytes:
-    """Trained on at most SAMPLE records, the least by hash, none longer than LONGEST. Empty if there are too few to train on."""
+    """Trained on at most SAMPLE records, the least by hash; of longer pages than LONGEST a piece, at a place that the hash gives. A few records are
+    cut into pieces of PIECE bytes. Empty if there are no more than 16 of these, or the library finds them too alike to train on."""
     import zstandard
 
     drawn = F.xxhash64("page_id", "html")
     share = min(1.0, 2 * SAMPLE / max(records.count(), 1))  # so that no task sorts more than a few thousand
-    few = records.filter((F.octet_length("html") <= LONGEST) & (F.pmod(drawn, F.lit(1 << 30)) < int(share * (1 << 30))))
-    rows = few.orderBy(drawn, "page_id", "html").limit(SAMPLE).toLocalIterator()
+    start = F.pmod(drawn, F.greatest(F.length("html") - LONGEST // 4, F.lit(1))).cast("int") + 1
+    piece = F.when(F.octet_length("html") <= LONGEST, F.col("html")).otherwise(F.substring("html", start, F.lit(LONGEST // 4)))
+    few = records.filter(F.pmod(drawn, F.lit(1 << 30)) < int(share * (1 << 30))).select("page_id", "url", piece.alias("html"), drawn.alias("drawn"))
+    rows = few.orderBy("drawn", "page_id", "html").limit(SAMPLE).toLocalIterator()
     samples, total = [], 0
     for r in rows:
         samples.append(record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass"), None, False))
@@ -99,6 +102,8 @@ def build_dictionary(records: DataFrame) -> bytes:
         if total > SAMPLE_BYTES:
             break
     if len(samples) < 16:
+        samples = [s[k : k + PIECE] for s in samples for k in range(0, len(s), PIECE)]
+    if len(samples) <= 16:
         return b""
     try:
         return zstandard.train_dictionary(min(DICTIONARY, max(total // 8, 1024)), samples).as_bytes()

@@ -4,6 +4,7 @@ import random
 
 import zstandard
 
+from mapweave.llm import warc
 from mapweave.llm.common import new_path
 from mapweave.llm.warc import _place, archive_pages, parse, read_archives, record, write_archives
 
@@ -55,3 +56,13 @@ def test_empty_and_few(spark):
     assert archive_pages(df.limit(0)).count() == 0
     assert [r.record_type for r in archive_pages(df.filter("page_id = 5").drop("url")).collect()] == ["response"]
     assert parse(record(1, "u", b"x\r\n\r\ny", None, False))["payload"] == b"x\r\n\r\ny"
+
+
+def test_a_dictionary_from_long_pages_only(spark):
+    """Pages beyond LONGEST, many or few, train a dictionary that makes archives smaller."""
+    words = " ".join(f"<li class=entry>item {i % 50} of the list</li>" for i in range(3000))
+    assert len(words) > warc.LONGEST
+    for n in (3, 40):
+        pages = spark.createDataFrame([(i, f"https://p.example/{i}", f"<html>{i}" + words + f"{i}</html>") for i in range(n)], "page_id long, url string, html string")
+        assert len(warc.build_dictionary(pages)) > 256
+    assert warc.build_dictionary(pages.limit(0)) == b""
