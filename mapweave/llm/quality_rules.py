@@ -84,8 +84,8 @@ def _weight_sum(hashes: Column, weights: Column) -> Column:
 
 
 def _score_sum(hashes: Column, pairs: Column, weights: Column) -> Column:
-    """Sum of weights over the words and the pairs."""
-    return _weight_sum(hashes, weights) + _weight_sum(pairs, weights)
+    """Sum of weights over the words and the pairs. One pass over both, so the table of weights stands in the plan once."""
+    return _weight_sum(F.concat(hashes, pairs), weights)
 
 
 def _hashed(docs: DataFrame, text: str) -> DataFrame:
@@ -109,13 +109,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         marked = texts.filter("k IS NOT NULL").join(trusted, "k", "left").unionByName(nothing)
     counted = (
         _hashed(marked, text).select(F.explode(_grams(F.col("h"))).alias("bucket"), (F.col("held") == F.lit(False)).alias("target"))
-        .groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("target").alias("target")).collect()
+        .groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("target").alias("target"))
+        .agg(F.collect_list(F.struct("bucket", "raw", "target")).alias("all")).select("all.bucket", "all.raw", "all.target").first()
     )
     n = 1 << BITS
     raw, target = [1] * n, [0] * n
-    for r in counted:
-        raw[r["bucket"]] += r["raw"]
-        target[r["bucket"]] += r["target"]
+    for bucket, a, b in zip(*counted, strict=True):  # three lists of numbers, not a row a bucket
+        raw[bucket] += a
+        target[bucket] += b
     raw_sum, target_sum = sum(raw), sum(target)
     if not target_sum:
         return [0] * n, -(1 << 62)

@@ -11,8 +11,8 @@ for a pair at the very limit, less for closer ones. Members of a bucket serve as
 pivot by more than the limit isn't compared. Every pair that is left is a link only if the whole sets, made anew from the
 texts, verify it.
 
-Since only components are wanted, every member of a bucket is first verified against one representative, then in some rounds
-against the nearest member of another component; then all pairs of members that still lie in different components are. Groups
+Since only components are wanted, every member of a bucket is first verified against one representative, then against the nearest
+member of another component; then all pairs of members that still lie in different components are. Groups
 of near copies thus cost a few rows for each member, not one for each pair.
 Buckets of frequent shingles are dealt out in blocks.
 
@@ -40,8 +40,6 @@ SAMPLE, PART, FREQUENT = 20_000, 16, 300_000
 BLOCK = 8192
 #: Nodes whose texts are picked out by a broadcast; more are by a shuffled join.
 BROADCAST = 500_000
-#: Rounds in which each node asks for its nearest one only before all pairs that are still apart are verified.
-ROUNDS = 1
 #: Pairs that are put out at once.
 AT_ONCE = 1 << 20
 ROUNDING = 1e-9
@@ -212,11 +210,15 @@ def pairs_apart(shared: DataFrame, roots: DataFrame, hot: list[tuple[int, int]],
     """
     spark = shared.sparkSession
     known = F.broadcast(roots) if roots.count() <= BROADCAST else roots
-    rows = shared.select("shingle", "na", "f0", "f1", "node").join(known, "node", "left").select("shingle", "na", "f0", "f1", "node", F.coalesce("root", "node").alias("root"))
+
+    def rooted(of: DataFrame) -> DataFrame:
+        return of.join(known, "node", "left").select("shingle", "na", "f0", "f1", "node", F.coalesce("root", "node").alias("root"))
+
     if hot:  # most of these buckets are one component by now
         listed = F.broadcast(spark.createDataFrame(hot, "shingle long, parts long").select("shingle"))
-        one = rows.join(listed, "shingle").groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo = hi").select("shingle")
-        rows = rows.join(F.broadcast(one), "shingle", "left_anti")
+        one = rooted(shared.join(listed, "shingle")).groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo = hi").select("shingle")
+        shared = shared.join(F.broadcast(written(one, "whole-buckets")), "shingle", "left_anti")
+    rows = rooted(shared)
     dealt = in_blocks(rows, ["shingle"], "node", BLOCK)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,9 +320,11 @@ def links_of_sets(rows: DataFrame, docs: DataFrame, key: str, text: str, words:
     """rows: written rows of node_rows. Links (a, b) that have the components of all pairs of that similarity, each verified."""
     shared = written(shared_shingles(rows, hot, similarity), "shared-shingles")
     stars = shared.filter("first IS NOT NULL").groupBy(F.col("node").alias("a")).agg(F.min_by("first", F.struct("far", "first")).alias("b"))
-    found = verified(written(stars, "stars"), rows, docs, key, text, words, similarity)
-    for k in range(ROUNDS + 1):
-        pairs = pairs_apart(shared, connected_components(found), hot, similarity, nearest=k < ROUNDS)
-        found = found.union(verified(pairs, rows, docs, key, text, words, similarity))
+    check = lambda pairs: verified(pairs, rows, docs, key, text, words, similarity)
+    stars = check(written(stars, "stars"))
+    # a node's representative stands for its component here: that may ask for a few pairs too many, never for too few
+    near = check(pairs_apart(shared, stars.toDF("node", "root"), hot, similarity, nearest=True))
+    roots = connected_components(stars.union(near))
+    rest = check(pairs_apart(shared, roots, hot, similarity, nearest=False))
     drop_written(shared)
-    return found
+    return roots.toDF("a", "b").union(rest)

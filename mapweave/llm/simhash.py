@@ -160,8 +160,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     Rows are known by key and hash of the text. Those to go are taken out by a broadcast while they are broadcast_rows at
     most, else by a shuffled join. Only rows that repeat in key and text are shuffled to keep one of them.
     """
-    known = written(similar_classes(docs, key, text, words, similarity).select("doc_id", "text_hash", "root"), "classes").groupBy("doc_id", "text_hash", "root").agg(F.count("*").alias("n"))
-    known = written(known, "known-rows")
+    known = written(similar_classes(docs, key, text, words, similarity).groupBy("doc_id", "text_hash", "root").agg(F.count("*").alias("n")), "known-rows")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     first = known.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), rank).alias("first")).select("first.*")
     first = written(first, "first-rows")
