@@ -1,15 +1,17 @@
 """Katz backoff language model of words, counted and applied over a whole corpus.
 
-P(w | v) = d(c) c(v w) / c(v) for pairs seen in training, else a(v) P(w), where P(w) = d(c) c(w) / N for words seen in
-training and the rest of the mass for the one event of an unseen word. The discounts d are Good-Turing's up to a count of 5. The
-backoff weight a(v) = (1 - sum of the seen P(w | v)) / (1 - sum of their P(w)) makes every context sum to one exactly. A
-text is scored from a start context through its words to one end token.
+P(w | h) = d(c) c(h w) / c(h) for runs of words seen in training, else a(h) P(w | h'), where h' is the history h without its first word; P(w) =
+d(c) c(w) / N for words seen in training and the rest of the mass for the one event of an unseen word. A history that training
+lacks gives way to h' as it is. The discounts d are Good-Turing's up to a count of 5, for each order its own. The backoff weight
+a(h) = (1 - sum of the seen P(w | h)) / (1 - sum of their P(w | h')) makes every history sum to one exactly. A text is
+scored from a start through its words to one end token; its first word has the start alone as history.
 
 Nothing here holds the vocabulary. Texts become chunks of word numbers, written once to the shared folder. Each chunk asks
-for the words and then for the pairs it has (each once, sorted, as compressed arrays); the tables of counts are made in
-partitions by hash of the word, or by the pair's first word, which answer each chunk in its own order; the chunk then
-evaluates the recursion token by token. So a frequent word costs one entry a chunk. Pairs of a very frequent first word are dealt
-out over several partitions, whose sums for the context are added up (a few rows for each partition).
+for the words, then for the pairs, then for the longer runs it has (each once, sorted, as compressed arrays); the tables of counts
+are made in partitions by hash of the word, or of the run's history, which answer each chunk in its own order; the chunk then
+evaluates the recursion token by token. So a frequent word costs one entry a chunk. Runs after a very frequent history are dealt
+out over several partitions, whose sums for the history are added up (a few rows for each partition). Histories of two words are named by
+both numbers (exactly, below 2**32 words), longer ones by 64-bit hashes.
 
 To the driver come sums by partition. Counts have 64 bits (the arrays compress); those within a chunk have 32. Words are known by
 64-bit hashes. Null and empty texts are the end token alone;
@@ -32,8 +34,10 @@ from mapweave.llm.common import doc_columns, drop_written, map_arrow, whole_grou
 from mapweave.llm.common import release as release_path
 from mapweave.llm.fm_classifier import remainder
 
-#: Tokens to a chunk; entries to a partition of words or pairs.
-CHUNK, WORDS, PAIRS = 1_800_000, 1_000_000, 1_800_000
+#: Tokens to a chunk; words, and tokens whose pairs or longer runs go, to a partition.
+CHUNK, WORDS, PAIRS, RUNS = 1_800_000, 1_000_000, 1_800_000, 1_500_000
+#: Longest run of words that is counted.
+ORDER = 3
 #: Counts up to which Good-Turing discounts.
 LOW = 5
 #: What no text has as a word: the end token.
@@ -216,12 +220,63 @@ def count_words(table: DataFrame, bits: int) -> DataFrame:
     return asked.repartition("p").sortWithinPartitions("p", "chunk").mapInArrow(tell, TOLD_WORDS)
 
 
+@dataclass
+class Grams:
+    """The distinct runs of one length in a chunk: `at` gives each token's, the rest stands in the order of the runs.
+
+    known: whether training has the history; weight: how often. n: how often the chunk's training texts have the run. lower: how often
+    training has the run without its first word, of `under` with that history; backed: its probability.
+    """
+
+    at: np.ndarray
+    history: np.ndarray
+    known: np.ndarray
+    word: np.ndarray
+    weight: np.ndarray
+    n: np.ndarray
+    lower: np.ndarray
+    under: np.ndarray | None
+    backed: np.ndarray
+
+    def dealt(self, parts: int, hot: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each partition: the places of its runs, ordered by (history, word), and which histories are spread."""
+        at = np.flatnonzero(self.known)
+        a, b, weight = self.history[at], self.word[at], self.weight[at]
+        spread = weight > hot
+        salt = np.where(spread, mixed(b, 1) % np.maximum(-(-weight // max(hot, 1)), 1).astype(np.uint64), np.uint64(0))
+        part = (mixed(a) + salt) % np.uint64(parts)
+        order = np.lexsort((b, a, part))
+        part = part[order]
+        cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+        for own, p, s in zip(np.split(at[order], cuts), np.split(part, cuts), np.split(spread[order], cuts), strict=True):
+            if len(own):
+                yield int(p[0]), own, s
+
+
+@dataclass
+class Level:
+    """What is known of the runs of one length: partitions, the weight beyond which a history is spread, and, once counted, discounts and sums of spread histories."""
+
+    parts: int
+    hot: int
+    discount: np.ndarray | None = None
+    wide: dict[int, tuple[np.ndarray, float]] | None = None
+
+
+@dataclass
+class Model:
+    base: dict[int, int]
+    docs: int
+    unigrams: Unigrams
+    levels: list[Level]
+
+
 class Chunk:
-    """A chunk with what it was told about its words; pairs are its distinct ones, sorted."""
+    """A chunk with what it was told about its words."""
 
-    def __init__(self, row: dict, told: list[tuple[int, bytes, bytes]], base: dict[int, int]):
+    def __init__(self, row: dict, told: list[tuple[int, bytes, bytes]], model: Model):
+        self.model = model
         place = release(row["place"], np.uint32)
-        n_words = int(place.max()) + 1
         self.tokens = place[release(row["tokens"], np.uint32)]
         self.sizes = release(row["sizes"], np.uint32).astype(np.int64)
         self.held = release(row["held"], np.uint8).astype(bool)
@@ -229,39 +284,94 @@ class Chunk:
         number, count = [], []
         for p, n, c in sorted(told):
             n = release(n, np.int32)
-            number.append(np.where(n >= 0, (n + base[p]).astype(np.uint64), NONE))
+            number.append(np.where(n >= 0, (n + model.base[p]).astype(np.uint64), NONE))
             count.append(release(c, np.int64))
-        self.number = np.append(np.concatenate(number), START)  # the last place is the start context
+        self.number = np.append(np.concatenate(number), START)  # the last place is the start
         self.count = np.append(np.concatenate(count), 0).astype(np.int64)
-        if len(self.number) != n_words + 1:
+        if len(self.number) != int(place.max()) + 2:
             raise ValueError("a chunk was not told about all of its words")
         self.starts = np.cumsum(self.sizes) - self.sizes
-        both = self.tokens.astype(np.int64)
-        both[1:] += self.tokens[:-1].astype(np.int64) * (n_words + 1)
-        both[self.starts] = self.tokens[self.starts].astype(np.int64) + n_words * (n_words + 1)
-        pairs, at = np.unique(both, return_inverse=True)
-        del both
-        self.at = at.astype(np.uint32)
-        del at
-        self.first, self.second = pairs // (n_words + 1), pairs % (n_words + 1)
-        train = ~np.repeat(self.held, self.sizes)
-        self.n = np.bincount(self.at[train], minlength=len(pairs))
-
-    def dealt(self, parts: int, hot: int, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the pairs whose context is known, ordered by (partition, context, word), their partitions, and which contexts are spread."""
-        a, b = self.number[self.first], self.number[self.second]
-        at = np.flatnonzero(a != NONE)
-        a, b = a[at], b[at]
-        weight = np.where(a == START, docs, self.count[self.first[at]])
-        spread = weight > hot
-        salt = np.where(spread, mixed(b, 1) % np.maximum(-(-weight // max(hot, 1)), 1).astype(np.uint64), np.uint64(0))
-        part = (mixed(a) + salt) % np.uint64(parts)
-        order = np.lexsort((b, a, part))
-        return at[order], part[order].astype(np.int64), spread[order]
 
-
-ASKED_PAIRS = "q long, chunk long, first binary, second binary, count binary, n binary, spread binary"
-TOLD_PAIRS = "chunk long, q long, pairs binary, types binary, sums binary, few array<long>"
+    def _distinct(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of a history (numbered for each token) and the token: the first token of each, each token's run, and how often training texts have each."""
+        key = before * len(self.number)
+        key += self.tokens
+        _, first, at = np.unique(key, return_index=True, return_inverse=True)
+        train = ~np.repeat(self.held, self.sizes)
+        return first, at.astype(np.uint32), np.bincount(at[train], minlength=len(first)).astype(np.uint32)
+
+    def pairs(self) -> Grams:
+        before = np.empty(len(self.tokens), np.int64)
+        before[1:] = self.tokens[:-1]
+        before[self.starts] = len(self.number) - 1
+        first, at, n = self._distinct(before)
+        history, word = before[first], self.tokens[first]
+        name = self.number[history]
+        weight = np.where(name == START, self.model.docs, self.count[history])
+        return Grams(at, name, name != NONE, self.number[word], weight, n, self.count[word], None, self.model.unigrams.p(self.count)[word])
+
+    def longer(self, g: Grams, n: np.ndarray, total: np.ndarray, chance: np.ndarray) -> Grams:
+        """Runs of one word more than those of g, about which the counts, the counts of their histories and the probabilities are known."""
+        before = np.empty(len(self.tokens), np.int64)
+        before[1:] = g.at[:-1]
+        before[self.starts] = len(n)  # no history of this length
+        first, at, own = self._distinct(before)
+        history, low = before[first], g.at[first]
+        there = history < len(n)
+        history[~there] = 0
+        weight = np.where(there, n[history], 0)
+        a, b = g.history[history], g.word[history]
+        if g.under is None and self.model.unigrams.types < (1 << 32) - 1:
+            name = (b << np.uint64(32)) | np.where(a == START, np.uint64((1 << 32) - 1), a)
+        else:
+            name = mixed(a ^ mixed(b, 2), 3)
+        return Grams(at, name, weight > 0, self.number[self.tokens[first]], weight, own, n[low], total[low], chance[low])
+
+    def climb(self, told: dict[int, dict[int, tuple]]) -> tuple[Grams, np.ndarray]:
+        """The longest runs that all levels but the last have told about, or the last; and the probabilities of the last ones told."""
+        g, chance = self.pairs(), None
+        for k, level in enumerate(self.model.levels):
+            if level.discount is None:
+                return g, g.backed
+            n, total, chance = heard(g, told.get(k, {}), level)
+            if k + 1 < len(self.model.levels):
+                g = self.longer(g, n, total, chance)
+        return g, chance
+
+
+def _heads(name: np.ndarray) -> np.ndarray:
+    """Where, in ordered names, a new one begins."""
+    return np.concatenate([[True], name[1:] != name[:-1]])
+
+
+def heard(g: Grams, answers: dict[int, tuple], level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run: how often training has it, and its history (with what is added for unseen ones), and its probability."""
+    n, total, chance = np.zeros(len(g.word), np.int64), np.ones(len(g.word), np.int64), g.backed.copy()
+    whole = np.append(level.discount, 1.0) == 1  # by the least count after a history: nothing is left for unseen words
+    for q, own, spread in g.dealt(level.parts, level.hot):
+        counts, totals, least, types, sums = answers[q]
+        mine = release(counts, np.int64)
+        name = g.history[own]
+        head = _heads(name)
+        of = np.cumsum(head) - 1
+        of_all = release(totals, np.int64)
+        of_all = np.maximum(of_all + whole[release(least, np.uint8)], 1)
+        needs = np.bincount(of, mine == 0) > 0
+        backoff = np.ones(len(of_all))
+        if needs.any():
+            backoff[needs] = Histories(release(types, np.int64).reshape(-1, LOW + 1), release(sums, np.float64), level.discount).backoff
+        for k in np.flatnonzero(spread[head]):
+            t, p = level.wide[int(name[head][k])]
+            h = Histories(t[None, :], np.array([p]), level.discount)
+            of_all[k], backoff[k] = h.total[0], h.backoff[0]
+        n[own], total[own] = mine, of_all[of]
+        seen = level.discount[np.minimum(mine, LOW)] ** (mine <= LOW) * mine / total[own]
+        chance[own] = np.where(mine > 0, seen, backoff[of] * chance[own])
+    return n, total, chance
+
+
+ASKED_RUNS = "q long, chunk long, first binary, second binary, lower binary, under binary, n binary, spread binary"
+TOLD_RUNS = "chunk long, q long, counts binary, totals binary, least binary, types binary, sums binary, few array<long>, wide array<long>"
 
 
 def _joined(table: DataFrame, told: list[DataFrame], n_chunks: int) -> DataFrame:
@@ -274,121 +384,116 @@ def _joined(table: DataFrame, told: list[DataFrame], n_chunks: int) -> DataFrame
     return all_.repartitionByRange(n_chunks, "chunk").sortWithinPartitions("chunk", "kind", "part")
 
 
-def _read(batches: Iterator[pa.RecordBatch], base: dict[int, int]) -> Iterator[tuple[int, Chunk, list]]:
-    """Each chunk, and its rows of kind 2."""
+def _read(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[int, Chunk, Grams, np.ndarray]]:
+    """Each chunk, its runs that are to be asked for (the last ones, if all were told), and the probabilities of those told."""
     for chunk, kind, part, *blobs in _groups(batches):
         row = {name: b[0] for name, b in zip(PARTS_OF_CHUNK, blobs, strict=True)}
-        words = [(int(part[i]), *(b[i] for b in blobs[:2])) for i in np.flatnonzero(kind == 1)]
-        yield int(chunk[0]), Chunk(row, words, base), [(int(part[i]), *(b[i] for b in blobs[:3])) for i in np.flatnonzero(kind == 2)]
+        words, told = [], {}
+        for i in range(1, len(kind)):
+            if kind[i] == 1:
+                words.append((int(part[i]), *(b[i] for b in blobs[:2])))
+            else:
+                told.setdefault(int(kind[i]) - 2, {})[int(part[i])] = tuple(b[i] for b in blobs[:5])
+        c = Chunk(row, words, model)
+        yield int(chunk[0]), c, *c.climb(told)
+
 
+def ask_runs(joined: DataFrame, model: Model) -> DataFrame:
+    """What each chunk asks of each partition about the runs of the last level."""
+    level = model.levels[-1]
 
-def ask_pairs(joined: DataFrame, base: dict[int, int], parts: int, hot: int, docs: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, c, _ in _read(batches, base):
-            at, part, spread = c.dealt(parts, hot, docs)
-            cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
-            for own, p, s in zip(np.split(at, cuts), np.split(part, cuts), np.split(spread, cuts), strict=True):
-                if len(own):
-                    first = c.number[c.first[own]]
-                    yield _batch([(int(p[0]), number, squeeze(_steps(first)), squeeze(c.number[c.second[own]]), squeeze(c.count[c.second[own]]), squeeze(c.n[own].astype(np.uint32)), squeeze(s.astype(np.uint8)))], ASKED_PAIRS)
+        for number, _, g, _ in _read(batches, model):
+            for q, own, spread in g.dealt(level.parts, level.hot):
+                under = None if g.under is None else squeeze(g.under[own])
+                yield _batch([(q, number, squeeze(_steps(g.history[own])), squeeze(g.word[own]), squeeze(g.lower[own]), under, squeeze(g.n[own]), squeeze(spread.astype(np.uint8)))], ASKED_RUNS)
 
-    return joined.mapInArrow(each, ASKED_PAIRS)
+    return joined.mapInArrow(each, ASKED_RUNS)
 
 
-def count_pairs(asked: DataFrame, unigrams: Unigrams) -> DataFrame:
-    """For each chunk and partition: counts of its pairs, and for its contexts the numbers of pairs by count and their sum of P(word).
+def count_runs(asked: DataFrame, discount: np.ndarray, tokens: int) -> DataFrame:
+    """For each chunk and partition: counts of its runs; for its histories the sum and the least of the counts after them, and, where the chunk has an
+    unseen run, the numbers of runs by count and the sum of their lower probabilities (discount: of the lower order; tokens: what words are a part of).
 
-    A row with chunk -1 has the numbers of pairs that occur 1 to LOW + 1 times; one with chunk -2 the sums of spread contexts.
+    A row with chunk -1 has the numbers of runs that occur 1 to LOW + 1 times; one with chunk -2 the sums of spread histories.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for q, chunk, first, second, count, n, spread in _groups(batches):
+        for q, chunk, first, second, lower, under, n, spread in _groups(batches):
             a = np.concatenate([np.cumsum(release(x, np.uint64), dtype=np.uint64) for x in first])
             ends = np.cumsum([len(release(x, np.uint8)) for x in spread])[:-1]
             b = np.concatenate([release(x, np.uint64) for x in second])
             order = np.lexsort((b, a))
             new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
-            pair = np.empty(len(a), np.int64)
-            pair[order] = np.cumsum(new) - 1
+            run = np.empty(len(a), np.int64)
+            run[order] = np.cumsum(new) - 1
             heads = order[new]
-            total = np.bincount(pair, np.concatenate([release(x, np.uint32) for x in n]), len(heads)).astype(np.int64)
+            total = np.bincount(run, np.concatenate([release(x, np.uint32) for x in n]), len(heads)).astype(np.int64)
             del b, order, new
-            p_word = np.where(total > 0, unigrams.p(np.concatenate([release(x, np.int64) for x in count])[heads]), 0.0)
-            contexts, of = np.unique(a[heads], return_inverse=True)
-            # types of count 1 to LOW, and the sum of larger counts
-            types = np.stack([np.bincount(of[total == r], minlength=len(contexts)) for r in range(1, LOW + 1)] + [np.bincount(of, np.where(total > LOW, total, 0), len(contexts)).astype(np.int64)], axis=1)
-            sums = np.bincount(of, p_word, len(contexts))
+            c = np.concatenate([release(x, np.int64) for x in lower])[heads]
+            of_all = tokens if under[0] is None else np.concatenate([release(x, np.int64) for x in under])[heads]
+            p_lower = np.where(total > 0, discount[np.minimum(c, LOW)] ** (c <= LOW) * c / of_all, 0.0)
+            histories, of = np.unique(a[heads], return_inverse=True)
+            # runs of count 1 to LOW, and the sum of larger counts
+            types = np.stack([np.bincount(of[total == r], minlength=len(histories)) for r in range(1, LOW + 1)] + [np.bincount(of, np.where(total > LOW, total, 0), len(histories)).astype(np.int64)], axis=1)
+            sums = np.bincount(of, p_lower, len(histories))
+            after = types @ np.array([*range(1, LOW + 1), 1])
+            least = np.where(after > 0, (types > 0).argmax(axis=1) + 1, 0).astype(np.uint8)
             few = np.bincount(np.minimum(total, LOW + 2), minlength=LOW + 3)[1 : LOW + 2]
             part = int(q[0])
-            yield _batch([(-1, part, None, None, None, few.tolist())], TOLD_PAIRS)
+            yield _batch([(-1, part, *[None] * 5, few.tolist(), None)], TOLD_RUNS)
             wide = np.unique(a[np.concatenate([release(x, np.uint8) for x in spread]).astype(bool)])
             if len(wide):
-                k = np.searchsorted(contexts, wide)
-                yield _batch([(-2, part, squeeze(wide), squeeze(types[k].ravel()), squeeze(sums[k]), None)], TOLD_PAIRS)
-            for c, own, mine in zip(chunk, np.split(pair, ends), np.split(a, ends), strict=True):
-                k = np.searchsorted(contexts, mine[np.concatenate([[True], mine[1:] != mine[:-1]])])
-                yield _batch([(int(c), part, squeeze(total[own]), squeeze(types[k].ravel()), squeeze(sums[k]), None)], TOLD_PAIRS)
+                k = np.searchsorted(histories, wide)
+                yield _batch([(-2, part, None, None, None, squeeze(types[k].ravel()), squeeze(sums[k]), None, [int(x) - (1 << 63) for x in wide])], TOLD_RUNS)
+            of_head = of[run]
+            for c, own, mine in zip(chunk, np.split(run, ends), np.split(of_head, ends), strict=True):
+                head = _heads(mine)
+                k = mine[head]
+                needs = k[np.bincount(np.cumsum(head) - 1, total[own] == 0) > 0]
+                rare = (squeeze(types[needs].ravel()), squeeze(sums[needs])) if len(needs) else (None, None)
+                yield _batch([(int(c), part, squeeze(total[own]), squeeze(after[k]), squeeze(least[k]), *rare, None, None)], TOLD_RUNS)
 
-    return asked.repartition("q").sortWithinPartitions("q", "chunk").mapInArrow(each, TOLD_PAIRS)
+    return asked.repartition("q").sortWithinPartitions("q", "chunk").mapInArrow(each, TOLD_RUNS)
 
 
-def spread_contexts(told: DataFrame) -> dict[int, tuple[np.ndarray, float]]:
-    """Sums of the contexts that several partitions hold; about four for each partition at most, and the start."""
+def spread_histories(told: DataFrame) -> dict[int, tuple[np.ndarray, float]]:
+    """Sums of the histories that several partitions hold; about four for each partition at most, and the start."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for a, t, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            a, t, s = release(a, np.uint64), release(t, np.int64).reshape(-1, LOW + 1), release(s, np.float64)
-            rows += [(int(x) - (1 << 63), *y.tolist(), z) for x, y, z in zip(a, t, s.tolist(), strict=True)]
+            t, s = release(t, np.int64).reshape(-1, LOW + 1), release(s, np.float64)
+            rows += [(int(x), *y.tolist(), z) for x, y, z in zip(a, t, s.tolist(), strict=True)]
         return _batch(rows, schema)
 
     types = [f"t{r}" for r in range(1, LOW + 2)]
-    schema = ", ".join(["context long", *(f"{t} long" for t in types), "p double"])
-    rows = map_arrow(told.filter("chunk = -2").select("pairs", "types", "sums"), each, schema)
-    summed = rows.groupBy("context").agg(*[F.sum(t).alias(t) for t in types], F.sum("p").alias("p")).collect()
-    return {r["context"] + (1 << 63): (np.array([r[t] for t in types], np.int64), r["p"]) for r in summed}
+    schema = ", ".join(["history long", *(f"{t} long" for t in types), "p double"])
+    rows = map_arrow(told.filter("chunk = -2").select("wide", "types", "sums"), each, schema)
+    summed = rows.groupBy("history").agg(*[F.sum(t).alias(t) for t in types], F.sum("p").alias("p")).collect()
+    return {r["history"] + (1 << 63): (np.array([r[t] for t in types], np.int64), r["p"]) for r in summed}
 
 
-class Contexts:
-    """Denominators and backoff weights from the types by count and the sum of P(word) of contexts."""
+class Histories:
+    """Denominators and backoff weights from the types by count and the sum of lower probabilities of histories."""
 
     def __init__(self, types: np.ndarray, p: np.ndarray, discount: np.ndarray):
         r = np.arange(1, LOW + 1)
         total = types[:, :LOW] @ r + types[:, LOW]
         left = types[:, :LOW] @ (r * (1 - discount[1:]))
-        none = left < 1e-9  # no rare pair: one more occurrence, of an unseen pair
-        self.total = np.maximum(total + none, 1).astype(float)
+        none = left < 1e-9  # no rare run: one more occurrence, of an unseen one
+        self.total = np.maximum(total + none, 1)
         left = np.where(none, 1.0, left) / self.total
-        seen = total > 0
-        self.backoff = np.where(seen, left / np.maximum(1 - p, 1e-300), 1.0)
+        self.backoff = np.where(total > 0, left / np.maximum(1 - p, 1e-300), 1.0)
 
 
-def score_chunks(joined: DataFrame, base: dict[int, int], parts: int, hot: int, docs: int, unigrams: Unigrams, n_tokens: int, discount: np.ndarray, wide: dict[int, tuple[np.ndarray, float]]) -> DataFrame:
+def score_chunks(joined: DataFrame, model: Model, n_tokens: int) -> DataFrame:
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, c, told in _read(batches, base):
-            at, part, spread = c.dealt(parts, hot, docs)
-            answers = {p: (pairs, types, sums) for p, pairs, types, sums in told}
-            p_word = unigrams.p(c.count)
-            chance = p_word[c.second]  # contexts not in training leave the word's own
-            cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
-            for own, q, s in zip(np.split(at, cuts), np.split(part, cuts), np.split(spread, cuts), strict=True):
-                if not len(own):
-                    continue
-                pairs, types, sums = answers[int(q[0])]
-                n = release(pairs, np.int64)
-                types, sums = release(types, np.int64).reshape(-1, LOW + 1), release(sums, np.float64)
-                name = c.number[c.first[own]]
-                head = np.concatenate([[True], name[1:] != name[:-1]])
-                for k in np.flatnonzero(s[head]):
-                    types[k], sums[k] = wide[int(name[head][k])]
-                ctx = Contexts(types, sums, discount)
-                of = np.cumsum(head) - 1
-                seen = discount[np.minimum(n, LOW)] ** (n <= LOW) * n / ctx.total[of]
-                chance[own] = np.where(n > 0, seen, ctx.backoff[of] * chance[own])
-            token = np.log10(np.maximum(chance, 1e-300))[c.at]
-            plain = np.log10((c.count[:-1] + 1) / (n_tokens + unigrams.types + 1))[c.tokens]
+        for _, c, g, chance in _read(batches, model):
+            token = np.log10(np.maximum(chance, 1e-300))[g.at]
+            plain = np.log10((c.count[:-1] + 1) / (n_tokens + model.unigrams.types + 1))[c.tokens]
             known = (c.count[c.tokens] > 0).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -400,11 +505,13 @@ def score_chunks(joined: DataFrame, base: dict[int, int], parts: int, hot: int,
     return joined.mapInArrow(each, schema)
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", by: int = 7, held_out: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", by: int = 7, held_out: int = 2, order: int = ORDER) -> DataFrame:
     """A row (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
-    Learns from rows whose key's crc32 modulo `by` is not held_out (null keys learn, too).
+    Learns from rows whose key's crc32 modulo `by` is not held_out (null keys learn, too). order: words to the longest run, 2 at least.
     """
+    if order < 2:
+        raise ValueError("a model that backs off has runs of two words at least")
     spark = docs.sparkSession
     both = written(chunks(docs, key, text, by, held_out), "chunks", ["kind"])
     table, asked = (both.filter(F.col("kind") == k) for k in ("text", "words"))
@@ -419,17 +526,21 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", by: in
         n_types += s[1]
         totals = [x + y for x, y in zip(totals, s, strict=True)]
     n_tokens = totals[0]
-    unigrams = Unigrams.of(n_tokens, n_types, totals[2:])
-    parts = max(1, -(-n_tokens // PAIRS))
-    hot = max(10_000, n_tokens // (4 * parts))
-    told_words = words.filter("chunk >= 0").select("chunk", "p", "number", "count")
-
-    pairs = written(count_pairs(ask_pairs(_joined(table, [told_words], n_chunks), base, parts, hot, n_docs), unigrams), "pairs")
-    few = pairs.filter("chunk = -1").select(F.posexplode("few").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
-    discount = good_turing([next((x["n"] for x in few if x["r"] == r), 0) for r in range(LOW + 1)])
-    wide = spread_contexts(pairs)
-    told_pairs = pairs.filter("chunk >= 0").select("chunk", "q", "pairs", "types", "sums")
-    out = written(score_chunks(_joined(table, [told_words, told_pairs], n_chunks), base, parts, hot, n_docs, unigrams, n_tokens, discount, wide), "scores")
-    for t in (both, words, pairs):
+    model = Model(base, n_docs, Unigrams.of(n_tokens, n_types, totals[2:]), [])
+    told = [words.filter("chunk >= 0").select("chunk", "p", "number", "count")]
+    tables, discount = [both, words], model.unigrams.discount
+
+    for length in range(2, order + 1):
+        parts = max(1, -(-n_tokens // (PAIRS if length == 2 else RUNS)))
+        level = Level(parts, max(10_000, n_tokens // (4 * parts)))
+        model.levels.append(level)
+        runs = written(count_runs(ask_runs(_joined(table, told, n_chunks), model), discount, max(model.unigrams.tokens, 1)), f"runs-{length}")
+        few = runs.filter("chunk = -1").select(F.posexplode("few").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
+        level.discount = discount = good_turing([next((x["n"] for x in few if x["r"] == r), 0) for r in range(LOW + 1)])
+        level.wide = spread_histories(runs)
+        told.append(runs.filter("chunk >= 0").select("chunk", "q", "counts", "totals", "least", "types", "sums"))
+        tables.append(runs)
+    out = written(score_chunks(_joined(table, told, n_chunks), model, n_tokens), "scores")
+    for t in tables:
         drop_written(t)
     return out

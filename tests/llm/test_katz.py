@@ -11,38 +11,53 @@ from mapweave.llm import katz
 class Plain:
     """The same model with dictionaries."""
 
-    def __init__(self, texts):
-        self.words, self.pairs, self.after = Counter(), Counter(), defaultdict(set)
+    def __init__(self, texts, order=katz.ORDER):
+        self.words, self.runs, self.after, self.order = Counter(), [Counter() for _ in range(order + 1)], defaultdict(set), order
         for t in texts:
-            before = "START"
-            for w in t:
-                self.words[w] += 1
-                self.pairs[before, w] += 1
-                self.after[before].add(w)
-                before = w
+            self.words.update(t)
+            for i, w in enumerate(t):
+                for h in self.histories(t, i):
+                    self.runs[len(h) + 1][*h, w] += 1
+                    self.after[h].add(w)
         self.n = sum(self.words.values())
-        self.d1, self.d2 = (katz.good_turing([sum(v == r for v in c.values()) for r in range(1, 7)]) for c in (self.words, self.pairs))
+        few = lambda c: [sum(v == r for v in c.values()) for r in range(1, 7)]
+        self.d1, self.d = katz.good_turing(few(self.words)), [katz.good_turing(few(c)) for c in self.runs]
         left = sum(v * (1 - self.d1[v]) for v in self.words.values() if v <= 5)
         if self.n and left <= 0:
             self.total, self.unseen, self.d1 = self.n + 1, 1 / (self.n + 1), np.ones(6)
         else:
             self.total, self.unseen = max(self.n, 1), left / self.n if self.n else 1.0
+        self.weights = {}
+
+    def histories(self, t, i):
+        """All histories of a token, the longest last."""
+        whole = ("START", *t[:i])
+        return [whole[len(whole) - k :] for k in range(1, min(self.order, len(whole) + 1))]
 
     def word(self, w):
         c = self.words[w]
         return self.unseen if not c else c * (self.d1[c] if c <= 5 else 1) / self.total
 
-    def pair(self, v, w):
-        seen = self.after.get(v)
-        if not seen:
+    def weight(self, h):
+        if h not in self.weights:
+            runs, d, seen = self.runs[len(h) + 1], self.d[len(h) + 1], self.after[h]
+            total = sum(runs[*h, x] for x in seen)
+            left = sum(runs[*h, x] * (1 - d[runs[*h, x]]) for x in seen if runs[*h, x] <= 5)
+            total, left = (total + 1, 1) if left < 1e-9 else (total, left)
+            self.weights[h] = total, left / total / (1 - sum(self.p(h[1:], x) for x in seen))
+        return self.weights[h]
+
+    def p(self, h, w):
+        if not h:
             return self.word(w)
-        total = sum(self.pairs[v, x] for x in seen)
-        left = sum(self.pairs[v, x] * (1 - self.d2[self.pairs[v, x]]) for x in seen if self.pairs[v, x] <= 5)
-        total, left = (total + 1, 1) if left < 1e-9 else (total, left)
-        c = self.pairs[v, w]
-        if c:
-            return c * (self.d2[c] if c <= 5 else 1) / total
-        return left / total / (1 - sum(self.word(x) for x in seen)) * self.word(w)
+        if h not in self.after:
+            return self.p(h[1:], w)
+        total, backoff = self.weight(h)
+        c = self.runs[len(h) + 1][*h, w]
+        return c * (self.d[len(h) + 1][c] if c <= 5 else 1) / total if c else backoff * self.p(h[1:], w)
+
+    def score(self, t):
+        return sum(math.log10(self.p(self.histories(t, i)[-1], w)) for i, w in enumerate(t))
 
 
 def tokens(text):
@@ -61,16 +76,15 @@ def held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-def compare(spark, data):
+def compare(spark, data, order=katz.ORDER):
     df = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, held string")
-    got = sorted(((r.doc_id, r.n_tokens, r.held_out, r.n_known, r.train_tokens, r.base_score, r.score) for r in katz.score_texts(df).collect()), key=str)
-    model = Plain([tokens(t) for i, t in data if not held(i)])
+    got = sorted(((r.doc_id, r.n_tokens, r.held_out, r.n_known, r.train_tokens, r.base_score, r.score) for r in katz.score_texts(df, order=order).collect()), key=str)
+    model = Plain([tokens(t) for i, t in data if not held(i)], order)
     want = []
     for i, t in data:
         own = tokens(t)
         base = sum(math.log10((model.words[w] + 1) / (model.n + len(model.words) + 1)) for w in own)
-        score = sum(math.log10(model.pair(v, w)) for v, w in zip(["START", *own], own, strict=False))
-        want.append((i, len(own), held(i), sum(model.words[w] > 0 for w in own), model.n, base, score))
+        want.append((i, len(own), held(i), sum(model.words[w] > 0 for w in own), model.n, base, model.score(own)))
     assert len(got) == len(want)
     for g, w in zip(got, sorted(want, key=str), strict=True):
         assert g[:5] == w[:5]
@@ -78,15 +92,17 @@ def compare(spark, data):
     return model
 
 
-def test_against_dictionaries(spark):
-    model = compare(spark, rows())
-    for v in ["START", "w0", "w1", "w7", "twice", "nowhere"]:
-        assert sum(model.pair(v, w) for w in model.words) + model.pair(v, "unseen-word") == pytest.approx(1, abs=1e-9)
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_against_dictionaries(spark, order):
+    model = compare(spark, rows(), order)
+    longest = [r[:-1] for r, _ in model.runs[order].most_common(8)]
+    for h in [("START",), ("w0",), ("w7",), ("twice",), ("nowhere",), ("w0", "nowhere")[: order - 1], *longest]:
+        assert sum(model.p(h, w) for w in model.words) + model.p(h, "unseen-word") == pytest.approx(1, abs=1e-9)
 
 
 def test_many_chunks_and_partitions(spark, monkeypatch):
     """Small parts, so that words and contexts are spread over partitions."""
-    for name, value in (("CHUNK", 500), ("WORDS", 50), ("PAIRS", 700)):
+    for name, value in (("CHUNK", 500), ("WORDS", 50), ("PAIRS", 700), ("RUNS", 600)):
         monkeypatch.setattr(katz, name, value)
     monkeypatch.setattr(katz, "max", lambda *x: max(*[100 if y == 10_000 else y for y in x]) if len(x) > 1 else max(*x), raising=False)
     compare(spark, rows() + [(600 + i, "the end of the line") for i in range(300)])
