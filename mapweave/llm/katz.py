@@ -13,7 +13,7 @@ evaluates the recursion token by token. So a frequent word costs one entry a chu
 out over several partitions, whose sums for the history are added up (a few rows for each partition). Histories of two words are named by
 both numbers (exactly, below 2**32 words), longer ones by 64-bit hashes.
 
-To the driver come sums by partition. Counts have 64 bits (the arrays compress); those within a chunk have 32. Words are known by
+To the driver come a few sums, and those of spread histories. Counts have 64 bits (the arrays compress); those within a chunk have 32. Words are known by
 64-bit hashes. Null and empty texts are the end token alone;
 repeated rows are counted and scored as often as they occur; without training rows every word is unseen (base and
 score 0); an empty table gives no rows; other columns are left alone.
@@ -21,9 +21,11 @@ score 0); an empty table gives no rows; other columns are left alone.
 
 from __future__ import annotations
 
+import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,20 +51,46 @@ NONE, START = np.uint64((1 << 63) + 1), np.uint64((1 << 63) + 2)
 PARTS_OF_CHUNK = ["ids", "nulls", "sizes", "held", "tokens", "place"]
 
 
-def squeeze(a: np.ndarray) -> bytes:
-    """An array as compressed bytes, equal byte places together."""
+@cache
+def _codec() -> tuple:
     import zstandard
 
-    a = np.ascontiguousarray(a)
-    return zstandard.ZstdCompressor(level=3).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """An array as bytes: its length, then each byte place that is not all zero, compressed by itself."""
+    places = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+    used = [k for k, x in enumerate(places) if x.any()]
+    parts = [_codec()[0].compress(places[k].tobytes()) for k in used]
+    return struct.pack(f"<QB{len(used)}Q", len(a), sum(1 << k for k in used), *map(len, parts)) + b"".join(parts)
 
 
 def release(b: bytes, kind: type) -> np.ndarray:
-    import zstandard
+    n, mask = struct.unpack_from("<QB", b)
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    used = [k for k in range(8) if mask >> k & 1]
+    at = 9 + 8 * len(used)
+    for k, size in zip(used, struct.unpack_from(f"<{len(used)}Q", b, 9), strict=True):
+        out[:, k] = np.frombuffer(_codec()[1].decompress(b[at : at + size]), np.uint8)
+        at += size
+    return out.view(kind).ravel()
+
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.array(raw.reshape(size, -1).T, order="C").view(kind).ravel()
+def squeeze_names(a: np.ndarray) -> bytes:
+    """Ordered 64-bit names: steps of their upper halves, and of their lower ones while the upper one stays."""
+    high, low = (a >> np.uint64(32)).astype(np.uint32), a.astype(np.uint32)
+    up = np.diff(high, prepend=np.uint32(0))
+    return squeeze(np.concatenate([up, np.where(up == 0, np.diff(low, prepend=np.uint32(0)), low)]))
+
+
+def release_names(b: bytes) -> np.ndarray:
+    both = release(b, np.uint32)
+    up, low = np.split(both, 2)
+    sums = np.cumsum(low, dtype=np.uint32)  # modulo 2**32, as the steps are
+    heads = np.flatnonzero(np.append(True, up[1:] != 0))
+    sums -= np.repeat(sums[heads] - low[heads], np.diff(np.append(heads, len(low))))
+    return (np.cumsum(up, dtype=np.uint64) << np.uint64(32)) | sums
 
 
 def _steps(a: np.ndarray) -> np.ndarray:
@@ -192,7 +220,10 @@ TOLD_WORDS = "chunk long, p long, number binary, count binary, sums array<long>"
 
 
 def count_words(table: DataFrame, bits: int) -> DataFrame:
-    """For each chunk and part p of the hash range: numbers (from 0 in each p, NONE if not in training) and counts of its words there; and a row of sums for each p."""
+    """For each chunk and part p of the hash range: numbers and counts of its words there; and a row of sums for each p.
+
+    Numbers start from 1 in each p with the most frequent word, so that most entries are small; 0 stands for words that training lacks.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,12 +240,12 @@ def count_words(table: DataFrame, bits: int) -> DataFrame:
             words, at = np.unique(np.concatenate(asked), return_inverse=True)
             total = np.bincount(at, np.concatenate([release(c, np.uint32) for c in counts]), len(words)).astype(np.int64)
             known = total > 0
-            number = np.where(known, np.cumsum(known) - 1, -1)
+            number = np.where(known, np.argsort(np.argsort(-total, kind="stable"), kind="stable") + 1, 0)
             few = np.bincount(np.minimum(total, LOW + 2), minlength=LOW + 3)[1 : LOW + 2]
             yield _batch([(-1, int(p[0]), None, None, [int(total.sum()), int(known.sum()), *few.tolist()])], TOLD_WORDS)
             ends = np.cumsum([len(a) for a in asked])[:-1]
             for c, own in zip(chunk, np.split(at, ends), strict=True):
-                yield _batch([(int(c), int(p[0]), squeeze(number[own].astype(np.int32)), squeeze(total[own]), None)], TOLD_WORDS)
+                yield _batch([(int(c), int(p[0]), squeeze(number[own].astype(np.uint32)), squeeze(total[own]), None)], TOLD_WORDS)
 
     asked = table.select("chunk", "vocab", "counts").mapInArrow(ask, ASKED_WORDS)
     return asked.repartition("p").sortWithinPartitions("p", "chunk").mapInArrow(tell, TOLD_WORDS)
@@ -265,7 +296,10 @@ class Level:
 
 @dataclass
 class Model:
-    base: dict[int, int]
+    """word_parts: partitions of words, among which their numbers take turns; most: what numbers stay below."""
+
+    word_parts: int
+    most: int
     docs: int
     unigrams: Unigrams
     levels: list[Level]
@@ -283,8 +317,8 @@ class Chunk:
         self.ids = pa.array(release(row["ids"], np.int64), mask=release(row["nulls"], np.uint8).astype(bool))
         number, count = [], []
         for p, n, c in sorted(told):
-            n = release(n, np.int32)
-            number.append(np.where(n >= 0, (n + model.base[p]).astype(np.uint64), NONE))
+            n = release(n, np.uint32).astype(np.uint64)
+            number.append(np.where(n > 0, (n - np.uint64(1)) * np.uint64(model.word_parts) + np.uint64(p), NONE))
             count.append(release(c, np.int64))
         self.number = np.append(np.concatenate(number), START)  # the last place is the start
         self.count = np.append(np.concatenate(count), 0).astype(np.int64)
@@ -321,7 +355,7 @@ class Chunk:
         history[~there] = 0
         weight = np.where(there, n[history], 0)
         a, b = g.history[history], g.word[history]
-        if g.under is None and self.model.unigrams.types < (1 << 32) - 1:
+        if g.under is None and self.model.most < (1 << 32) - 1:
             name = (b << np.uint64(32)) | np.where(a == START, np.uint64((1 << 32) - 1), a)
         else:
             name = mixed(a ^ mixed(b, 2), 3)
@@ -406,7 +440,7 @@ def ask_runs(joined: DataFrame, model: Model) -> DataFrame:
         for number, _, g, _ in _read(batches, model):
             for q, own, spread in g.dealt(level.parts, level.hot):
                 under = None if g.under is None else squeeze(g.under[own])
-                yield _batch([(q, number, squeeze(_steps(g.history[own])), squeeze(g.word[own]), squeeze(g.lower[own]), under, squeeze(g.n[own]), squeeze(spread.astype(np.uint8)))], ASKED_RUNS)
+                yield _batch([(q, number, squeeze_names(g.history[own]), squeeze(g.word[own]), squeeze(g.lower[own]), under, squeeze(g.n[own]), squeeze(spread.astype(np.uint8)))], ASKED_RUNS)
 
     return joined.mapInArrow(each, ASKED_RUNS)
 
@@ -420,8 +454,10 @@ def count_runs(asked: DataFrame, discount: np.ndarray, tokens: int) -> DataFrame
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for q, chunk, first, second, lower, under, n, spread in _groups(batches):
-            a = np.concatenate([np.cumsum(release(x, np.uint64), dtype=np.uint64) for x in first])
-            ends = np.cumsum([len(release(x, np.uint8)) for x in spread])[:-1]
+            asked = [release_names(x) for x in first]
+            ends = np.cumsum([len(x) for x in asked])[:-1]
+            a = np.concatenate(asked)
+            del asked
             b = np.concatenate([release(x, np.uint64) for x in second])
             order = np.lexsort((b, a))
             new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
@@ -517,16 +553,13 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", by: in
     table, asked = (both.filter(F.col("kind") == k) for k in ("text", "words"))
     size = table.agg(F.count("*").alias("chunks"), F.sum("words").alias("words"), F.sum("docs").alias("docs")).first()
     n_chunks, n_docs = max(size["chunks"], 1), size["docs"] or 0
-    words = written(count_words(asked, max(0, ((size["words"] or 0) // WORDS).bit_length())), "words")
+    bits = max(0, ((size["words"] or 0) // WORDS).bit_length())
+    words = written(count_words(asked, bits), "words")
     release_path(spark, f"{both.written_path}/kind=words")
-    sums = sorted((r["p"], r["sums"]) for r in words.filter("chunk = -1").select("p", "sums").collect())
-    base, n_types, totals = {}, 0, [0] * (LOW + 3)
-    for p, s in sums:
-        base[p] = n_types
-        n_types += s[1]
-        totals = [x + y for x, y in zip(totals, s, strict=True)]
-    n_tokens = totals[0]
-    model = Model(base, n_docs, Unigrams.of(n_tokens, n_types, totals[2:]), [])
+    of_p = words.filter("chunk = -1").select([F.col("sums")[k].alias(f"s{k}") for k in range(LOW + 3)])
+    *totals, most = of_p.agg(*[F.sum(f"s{k}") for k in range(LOW + 3)], F.max("s1")).first()
+    n_tokens, n_types, *few = [x or 0 for x in totals]
+    model = Model(1 << bits, (most or 0) << bits, n_docs, Unigrams.of(n_tokens, n_types, few), [])
     told = [words.filter("chunk >= 0").select("chunk", "p", "number", "count")]
     tables, discount = [both, words], model.unigrams.discount
 

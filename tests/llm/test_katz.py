@@ -122,6 +122,14 @@ def test_a_large_chunk(spark):
     compare(spark, [(i, " ".join(f"v{(i * 7919 + k * k) % 90_000}" for k in range(9000))) for i in range(12)])
 
 
+def test_arrays_and_names_come_back():
+    r = np.random.default_rng(6)
+    for a in (np.zeros(0, np.uint64), np.zeros(5, np.int64), r.integers(-9, 1 << 40, 999), r.random(50), np.array([0, 255, 256], np.uint32), np.array([1, 0], np.uint8)):
+        assert (katz.release(katz.squeeze(a), a.dtype.type) == a).all() and len(katz.release(katz.squeeze(a), a.dtype.type)) == len(a)
+    for a in (np.array([katz.START]), np.array([0, 0, 5, 5, 1 << 32, (1 << 32) + 7, katz.START], np.uint64), np.sort(r.integers(0, 1 << 64, 5000, np.uint64)), np.sort(r.integers(0, 1 << 34, 5000).astype(np.uint64)), np.array([1, (1 << 64) - 1], np.uint64)):
+        assert (katz.release_names(katz.squeeze_names(a)) == a).all()
+
+
 def test_counts_beyond_32_bits(spark):
     """Three chunks in which a word occurs as often as a chunk can say."""
     words, most = np.array([7, 9], np.uint64), (1 << 32) - 1
