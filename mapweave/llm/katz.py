@@ -270,14 +270,16 @@ class Grams:
     backed: np.ndarray
 
     def dealt(self, parts: int, hot: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each partition: the places of its runs, ordered by (history, word), and which histories are spread."""
+        """For each partition: the places of its runs, ordered by history, and which histories are spread. Stable sorts, so that every machine gets the same order."""
         at = np.flatnonzero(self.known)
         a, b, weight = self.history[at], self.word[at], self.weight[at]
         spread = weight > hot
         salt = np.where(spread, mixed(b, 1) % np.maximum(-(-weight // max(hot, 1)), 1).astype(np.uint64), np.uint64(0))
         part = (mixed(a) + salt) % np.uint64(parts)
-        order = np.lexsort((b, a, part))
-        part = part[order]
+        order = np.argsort(a, kind="stable")
+        part = part.astype(np.uint16 if parts <= 1 << 16 else np.uint64)[order]  # short numbers are sorted by radix
+        by_part = np.argsort(part, kind="stable")
+        order, part = order[by_part], part[by_part]
         cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
         for own, p, s in zip(np.split(at[order], cuts), np.split(part, cuts), np.split(spread[order], cuts), strict=True):
             if len(own):
