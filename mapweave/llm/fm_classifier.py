@@ -6,7 +6,8 @@ the product of their low-rank vectors; by the sum-of-squares identity all pairs
     sum over i < j of <v_i, v_j> x_i x_j  =  half the sum over f of (sum_i v_if x_i)^2 - sum_i (v_if x_i)^2.
 
 It is fitted on the driver by Adagrad on the features of TRAIN labelled rows at most (the least by hash of the key); the model
-has a fixed size and is broadcast. Scoring reads every text once and needs no shuffle.
+has a fixed size and is broadcast. However long these rows are, the driver holds a part of the table of their features at a time,
+never all: they come a partition after the other and lie in a mapped file of its own. Scoring reads every text once and needs no shuffle.
 
 Null and empty texts have no words and are scored by the rest; repeated rows and ties get equal scores; buckets that training
 never met weigh nothing, so without labelled rows every score is exactly one half; words that share a bucket share
@@ -15,8 +16,10 @@ parameters; the score is a new column, others are kept.
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mapweave.llm.common import drop_written, written
+
 #: Buckets of words, rank of the interactions, labelled rows used at most, passes over them.
 BUCKETS, RANK, TRAIN, EPOCHS = 1 << 16, 8, 6_000, 8
 #: Features of a batch that are scored at once.
@@ -82,6 +87,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margins(rows), -30, 30)))
 
 
+def in_parts(texts: pa.Array, sizes: pa.Array) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """Features of a batch's rows, in lists of about FLAT features."""
+    rows, held = [], 0
+    for t, n in zip(texts, sizes, strict=True):
+        rows.append(features(t.as_py(), n.as_py()))
+        held += len(rows[-1][0])
+        if held >= FLAT:
+            yield rows
+            rows, held = [], 0
+    if rows:
+        yield rows
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7, rate: float = 0.1, penalty: float = 1e-5) -> Model:
     """Logistic loss by Adagrad, a row at a time, in an order that the seed fixes."""
     rng = np.random.default_rng(seed)
@@ -131,16 +149,30 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def each(batches):
         for batch in batches:
-            got = [features(t, n) for t, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([a.astype("i4") for a, _ in got], pa.list_(pa.int32())), pa.array([x.astype("f4") for _, x in got], pa.list_(pa.float32()))],
-                names=["k", "y", "at", "x"],
-            )
+            done = 0
+            for part in in_parts(batch.column(2), batch.column(3)):
+                keys = batch.slice(done, len(part))
+                done += len(part)
+                yield pa.RecordBatch.from_arrays([keys.column(0), keys.column(1), pa.array([at.astype("<i4").tobytes() for at, _ in part], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in part], pa.binary())], names=["k", "y", "at", "x"])
 
     # A key that stands for several rows (copies under one key) gives one of them, so the bound holds.
-    rows = sample.mapInArrow(each, "k long, y int, at array<int>, x array<float>").groupBy("k").agg(F.min_by(F.struct("y", "at", "x"), F.xxhash64("at", "x")).alias("row")).select("k", "row.*").toArrow()
-    got = sorted(zip(rows["k"].to_pylist(), rows["at"], rows["x"], rows["y"].to_pylist(), strict=True), key=lambda r: r[0])
-    return fit([(at.values.to_numpy(), x.values.to_numpy(), y) for _, at, x, y in got])
+    rows = sample.mapInArrow(each, "k long, y int, at binary, x binary").groupBy("k").agg(F.min_by(F.struct("y", "at", "x"), F.xxhash64("at", "x")).alias("row")).select("k", "row.*")
+    return fit_written(written(rows, "training-rows"))
+
+
+def fit_written(rows: DataFrame) -> Model:
+    """Fits on a written table (k, y, at, x), read a partition at a time; removes it."""
+    known, end = [], 0
+    with tempfile.TemporaryFile() as file:
+        for r in rows.toLocalIterator():
+            file.write(r["at"])
+            file.write(r["x"])
+            known.append((r["k"], end, len(r["at"]), r["y"]))
+            end += 2 * len(r["at"])
+        drop_written(rows)
+        file.flush()
+        held = np.memmap(file, np.uint8, "r").view(np.ndarray) if end else np.zeros(0, np.uint8)
+        return fit([(held[i : i + n].view("<i4"), held[i + n : i + 2 * n].view("<f4"), y) for _, i, n, y in sorted(known)])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", n_chars: str = "n_chars", into: str = "score") -> DataFrame:
@@ -149,7 +181,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", n_chars: str = "n_c
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array, sizes: pa.Array) -> pa.Array:
-        return pa.array(held.value.scores([features(t.as_py(), n.as_py()) for t, n in zip(texts, sizes, strict=True)]), pa.float64())
+        return pa.array(np.concatenate([np.zeros(0), *(held.value.scores(part) for part in in_parts(texts, sizes))]), pa.float64())
 
     return docs.withColumn(into, scored(F.col(text), _length(docs, n_chars)))
 

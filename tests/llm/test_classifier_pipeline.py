@@ -90,6 +90,22 @@ def test_classifier_learns_from_documents_that_the_rules_reject(spark, tmp_path)
     assert kept == set(range(120))
 
 
+def test_labelled_rows_that_are_longer_than_one_result_may_be(spark, tmp_path):
+    """The features of all labelled rows together are more than the driver may get at once."""
+    docs = spark.range(0, 80, 1, 8).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 12000), k -> concat(if(id % 2 = 0, 'a', 'b'), hex(xxhash64(id, k % 9000))))) AS text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(60).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, conf = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.sparkContext._jsc.sc().conf()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    conf.set("spark.driver.maxResultSize", "2m")
+    try:
+        kept = corpus_pipeline.keep_by_classifier(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and 0 < kept.count() < 80
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_stages_on_odd_and_on_empty_tables(spark, tmp_path):
     """Null, empty and repeated texts, null keys, and columns with names that the stages would take for themselves."""
     good = [" ".join(f"word{(i * 7 + k * k) % 97}" for k in range(80)) for i in range(40)]
