@@ -2,64 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapweave.functions.boxes import Box
-from mapweave.operators.spatial import box_pairs
+from mapweave.operators.spatial import paired
 
 STEPS = 12
 
 
-def overlaps(layers: DataFrame) -> DataFrame:
-    """Pairs of layers (aliases a and b, a before b) whose boxes share some area; they meet through a grid."""
-    pairs = box_pairs(layers, area=True)
-    return pairs.join(layers.alias("a"), F.col("ord_a") == F.col("a.ord")).join(layers.alias("b"), F.col("ord_b") == F.col("b.ord"))
+#: Layers of equal extents that are taken as one when pairs are looked for.
+GROUP = 200
 
 
-def _common_points(ea: Column, eb: Column, box: Box, steps: int) -> Column:
-    """Points of the grid over box that extents of both lists hold.
+def _groups(layers: DataFrame) -> DataFrame:
+    """A row for the layers of the same box and extents, GROUP of them or so: first (the least ord), bbox, extents, layers."""
+    size = F.count("*").over(Window.partitionBy("bbox", "extents"))
+    split = F.pmod(F.xxhash64("ord"), F.ceil(F.col("__n") / GROUP))
+    rows = layers.filter("ord IS NOT NULL").select("ord", "id", "country", "nuts", F.col("coverage").isNotNull().alias("narrowed"), "bbox", "extents").withColumn("__n", size).withColumn("__split", split)
+    return rows.groupBy("bbox", "extents", "__split").agg(F.min("ord").alias("first"), F.collect_list(F.struct("ord", "id", "country", "nuts", "narrowed")).alias("layers")).drop("__split")
 
-    A box holds whole rows of the grid or none of them in a column, so its rows are one bit mask; a column of the grid then
-    takes the masks of the boxes that reach it, and the common bits are counted.
-    """
-    grid = F.sequence(F.lit(0), F.lit(steps))
-    bit = lambda k: F.pow(F.lit(2.0), k).cast("long")
 
-    def masked(extents: Column) -> Column:
-        def rows_of(b: Box) -> Column:
-            lat = lambda j: box.s + (box.n - box.s) * j / steps
-            return F.aggregate(grid, F.lit(0).cast("long"), lambda m, j: m + F.when((lat(j) >= b.s) & (lat(j) <= b.n), bit(j)).otherwise(0))
+def _held(extents: pa.Array, lng: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    """For each row its grid: whether a box of its list holds the point."""
+    held, starts = np.zeros((len(lng), lng.shape[1], lat.shape[1]), bool), extents.offsets.to_numpy()
+    sides, counts = [f.to_numpy(zero_copy_only=False) for f in extents.values.flatten()], np.diff(starts)
+    for k in range(counts.max(initial=0)):
+        have = np.flatnonzero(counts > k)
+        w, s, e, n = (f[starts[have] + k][:, None] for f in sides)
+        x, y = lng[have], lat[have]
+        columns = np.where(w <= e, (x >= w) & (x <= e), (x >= w) | (x <= e))
+        held[have] |= columns[:, :, None] & ((y >= s) & (y <= n))[:, None, :]
+    return held
 
-        return F.transform(extents, lambda e: F.struct(e.alias("box"), rows_of(Box.of(e)).alias("rows")))
 
-    def column(boxes: Column, lng: Column) -> Column:
-        inside = lambda e: Box.of(e["box"]).contains(lng, Box.of(e["box"]).s)
-        return F.aggregate(boxes, F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(F.when(inside(e), e["rows"]).otherwise(0)))
+def _common_points(ea: Column, eb: Column, box: Box, steps: int) -> Column:
+    """Points of the grid over box that extents of both lists hold.
 
-    def total(both: Column) -> Column:
-        lng = lambda i: box.w + (box.e - box.w) * i / steps
-        return F.aggregate(grid, F.lit(0), lambda n, i: n + F.bit_count(column(both["a"], lng(i)).bitwiseAND(column(both["b"], lng(i)))).cast("int"))
+    As columns, the grid's points are so many calls of lambdas that they cost a hundred times the rest; so batches are counted in Python.
+    """
+    @F.arrow_udf("int")
+    def counted(a: pa.Array, b: pa.Array, w: pa.Array, s: pa.Array, e: pa.Array, n: pa.Array) -> pa.Array:
+        w, s, e, n = (v.to_numpy(zero_copy_only=False)[:, None] for v in (w, s, e, n))
+        i = np.arange(steps + 1.0)
+        lng, lat = w + (e - w) * i / steps, s + (n - s) * i / steps
+        out = [(_held(a[k : k + 2_000], lng[k : k + 2_000], lat[k : k + 2_000]) & _held(b[k : k + 2_000], lng[k : k + 2_000], lat[k : k + 2_000])).sum((1, 2)) for k in range(0, len(w), 2_000)]
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *out]).astype(np.int32), pa.int32())
 
-    # the masks are made once a pair, bound by a list of one
-    return F.get(F.transform(F.array(F.struct(masked(ea).alias("a"), masked(eb).alias("b"))), lambda both: total(both)), F.lit(0))
+    return counted(ea, eb, box.w, box.s, box.e, box.n)
 
 
 def contested(layers: DataFrame, steps: int = STEPS) -> DataFrame:
-    """For each overlapping pair of different scopes: the smaller layer (winner), the larger one (loser), and the share of a grid over their overlap that both cover."""
-    pairs = overlaps(layers.withColumn("hull_km2", Box.of("bbox").area_km2()))
-    first_is_small = F.col("a.hull_km2") < F.col("b.hull_km2")
-    pick = lambda c, small: F.when(first_is_small, F.col(f"a.{c}" if small else f"b.{c}")).otherwise(F.col(f"b.{c}" if small else f"a.{c}"))
-    other = ~(F.col("a.country").eqNullSafe(F.col("b.country")) & F.col("a.nuts").eqNullSafe(F.col("b.nuts")))
-    p, q = Box.of("a.bbox"), Box.of("b.bbox")
+    """For each overlapping pair of different scopes: the smaller layer (winner), the larger one (loser), and the share of a grid over their overlap that both cover.
+
+    Layers of the same extents share their grids with every other, so these are counted once for all of them. Groups meet in a grid
+    of cells and carry their layers along; pairs are made last and go nowhere.
+    """
+    met = paired(_groups(layers), "first", "bbox", area=True, itself=True)
+    p, q = Box.of("bbox"), Box.of("bbox_b")
     shared = Box(F.greatest(p.w, q.w), F.greatest(p.s, q.s), F.least(p.e, q.e), F.least(p.n, q.n))
-    rows = pairs.filter(other).select(
+    counted = _common_points(F.col("extents"), F.col("extents_b"), shared, steps)
+    # of an outer list of one, so that it is counted once and not again for the filter
+    met = met.select("*", F.explode_outer(F.array(counted)).alias("contested")).filter("contested > 0").withColumn("contested_share", F.round(F.col("contested") / ((steps + 1) ** 2), 3))
+    met = met.select("first", "first_b", "contested", "contested_share", p.area_km2().alias("hull"), q.area_km2().alias("hull_b"), "layers", "layers_b")
+    met = met.select("*", F.explode("layers").alias("a")).drop("layers").select("*", F.explode("layers_b").alias("b")).drop("layers_b")
+    other = ~(F.col("a.country").eqNullSafe(F.col("b.country")) & F.col("a.nuts").eqNullSafe(F.col("b.nuts")))
+    met = met.filter(((F.col("first") != F.col("first_b")) | (F.col("a.ord") < F.col("b.ord"))) & other)
+    first_is_small = (F.col("hull") < F.col("hull_b")) | ((F.col("hull") == F.col("hull_b")) & (F.col("a.ord") > F.col("b.ord")))  # of equal ones the later
+    pick = lambda c, small: F.when(first_is_small, F.col(f"a.{c}" if small else f"b.{c}")).otherwise(F.col(f"b.{c}" if small else f"a.{c}"))
+    return met.select(
         pick("id", True).alias("winner"), pick("id", False).alias("loser"), F.coalesce(pick("nuts", True), pick("country", True)).alias("winner_scope"), F.coalesce(pick("nuts", False), pick("country", False)).alias("loser_scope"),
-        (F.col("a.country") != F.col("b.country")).alias("cross_border"), pick("coverage", True).isNotNull().alias("narrowed"), F.col("a.extents").alias("ea"), F.col("b.extents").alias("eb"), shared.struct().alias("box"),
+        (F.col("a.country") != F.col("b.country")).alias("cross_border"), pick("narrowed", True).alias("narrowed"), "contested", "contested_share",
     )
-    counted_by_column = _common_points(F.col("ea"), F.col("eb"), Box.of("box"), steps)
-    counted = rows.withColumn("contested", counted_by_column).filter("contested > 0")
-    return counted.withColumn("contested_share", F.round(F.col("contested") / ((steps + 1) ** 2), 3)).drop("ea", "eb", "box")
 
 
 def in_order(findings: DataFrame) -> DataFrame:

@@ -44,3 +44,31 @@ def test_overlapping_boxes_are_not_sent(spark):
     areas = p.select("pid", F.struct(F.col("lng").alias("min_lng"), F.col("lat").alias("min_lat"), (F.col("lng") + 0.3).alias("max_lng"), (F.col("lat") + 0.3).alias("max_lat")).alias("area"))
     n, sent, _ = run(spatial.overlapping(areas, q).select("pid", "id"))
     assert n == 7200 and sent < n / 2
+
+
+def test_contested_pairs_are_not_sent(spark):
+    q = near(spark, 200)[1]
+    n, sent, _ = run(audit.contested(q))
+    assert n > 10_000 and sent < n / 2
+
+
+def test_layers_of_equal_extents_are_counted_once(spark):
+    """Copies of three shapes: as many findings as by all pairs, of which only six kinds are counted."""
+    shapes = [[(0.0, 40.0, 4.0, 43.0)], [(1.0, 41.0, 5.0, 44.0)], [(0.0, 40.0, 1.5, 44.0), (3.0, 40.0, 4.0, 44.0)]]
+    q = layers_of(spark, [shapes[k % 3] for k in range(60)], random.Random(2))
+    assert spatial.paired(audit._groups(q), "first", "bbox", True, itself=True).count() == 6
+    got = {(r.winner, r.loser): r.contested for r in audit.contested(q).collect()}
+    rows = [r.asDict(True) for r in q.collect()]
+    area = lambda b: (b["max_lng"] - b["min_lng"]) * (b["max_lat"] - b["min_lat"]) * math.cos(math.radians((b["min_lat"] + b["max_lat"]) / 2))
+    want = {}
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if a["country"] == b["country"]:
+                continue
+            s, t = a["bbox"], b["bbox"]
+            w, e, lo, hi = max(s["min_lng"], t["min_lng"]), min(s["max_lng"], t["max_lng"]), max(s["min_lat"], t["min_lat"]), min(s["max_lat"], t["max_lat"])
+            inside = lambda x, y, extents: any(v["min_lng"] <= x <= v["max_lng"] and v["min_lat"] <= y <= v["max_lat"] for v in extents)
+            n = sum(inside(w + (e - w) * i / 12, lo + (hi - lo) * j / 12, a["extents"]) and inside(w + (e - w) * i / 12, lo + (hi - lo) * j / 12, b["extents"]) for i in range(13) for j in range(13))
+            small, large = (a, b) if area(s) < area(t) else (b, a)
+            want |= {(small["id"], large["id"]): n} if n else {}
+    assert got == want and len(got) > 500
