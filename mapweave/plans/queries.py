@@ -85,7 +85,7 @@ def imagery_stack(spark, sf):
 
 @query("SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY area_km2, k) AS nth, id, area_km2 FROM cov WHERE status = 'active' AND min_zoom <= 6 AND max_zoom >= 6", "cov")
 def layers_for_point(spark, sf):
-    return ranking.layers_for_points(points(spark, sf), layers(spark, sf), ["pid"], Query(zoom=6)).select("pid", "nth", "id", "area_km2")
+    return ranking.layers_for_points(points(spark, sf), layers(spark, sf), ["pid"], Query(zoom=6), ["id", "area_km2"]).select("pid", "nth", "id", "area_km2")
 
 
 @query("SELECT pid, id FROM cov", "cov")
@@ -383,8 +383,9 @@ chosen AS (SELECT 14 AS z, x, y, row_number() OVER (PARTITION BY x, y ORDER BY p
 
 
 def _candidates(spark, sf):
-    """The order by area alone, which SQL can give; mosaic_ranked has the comparator's."""
-    return filters.imagery_candidates(layers(spark, sf)).withColumn("mosaic_ord", F.row_number().over(Window.orderBy("area_km2", "ord")))
+    """The order by area alone, which SQL can give; mosaic_ranked has the comparator's. Only what is counted and drawn goes through the one task that counts."""
+    drawn = filters.imagery_candidates(layers(spark, sf)).select("id", "ord", "area_km2", "extents", "minZoom", "country")
+    return drawn.withColumn("mosaic_ord", F.row_number().over(Window.orderBy("area_km2", "ord")))
 
 
 @query(_ORDERED + "SELECT * FROM chosen", "pts", "lay")
