@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapweave.functions import mercator
-from mapweave.operators.spatial import covering
+from mapweave.operators.ranking import TOP_CELL
+from mapweave.operators.spatial import CELL, covers, listed_at, lists
 from mapweave.schema import EU
 
 #: Map zoom from which imagery is looked for; below it only the fallback is drawn. Zoom to which tiles are requested.
@@ -24,29 +25,47 @@ def select(tiles: DataFrame, candidates: DataFrame, fallback: str | None, resolv
     A tile is asked by its centre. The most local source names the country: sources of other countries go behind those of
     it and of the Union, and the fallback closes the list. Low zooms skip the join.
     """
-    keys = ["z", "x", "y"]
-    map_zoom = mercator.map_zoom(F.col("z"), tile)
-    lng, lat = tile_center(tile)
-    deep = tiles.filter(map_zoom >= from_zoom).withColumn("lng", lng).withColumn("lat", lat)
-    usable = candidates.filter(F.col("id") != (fallback or ""))
-    met = covering(deep, usable.select("id", "extents", "minZoom", "country", "mosaic_ord")).filter(map_zoom >= F.col("minZoom"))
-    by_order = Window.partitionBy(*keys).orderBy("mosaic_ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    guess = F.first(F.when(F.col("country") != EU, F.col("country")), ignorenulls=True).over(by_order)
+    keys, none = ["z", "x", "y"], F.array().cast("array<string>")
+    asked = _asked(tiles, from_zoom, tile)
+    deep = _listed(asked, candidates, fallback).withColumn("hits", F.filter("listed", _usable)).drop("listed")
+    is_of = lambda e, c: F.coalesce(e["country"] == c, F.lit(False))
+    guess = F.get(F.filter("hits", lambda e: e["country"] != EU), F.lit(0))["country"]
     if resolved:
         named = F.when(F.col(resolved) != "", F.col(resolved))
-        here = F.max(F.when(F.col("country") == named, named)).over(Window.partitionBy(*keys))
-        guess = F.when(named.isNull(), guess).otherwise(here)
-    met = met.withColumn("local", guess)
-    foreign = F.col("local").isNotNull() & (F.col("country") != F.col("local")) & (F.col("country") != EU)
-    rows = met.select(*keys, "id", F.when(foreign, 1).otherwise(0).alias("part"), "mosaic_ord")
-    if fallback:
-        rows = rows.unionByName(tiles.select(*keys, F.lit(fallback).alias("id"), F.lit(2).alias("part"), F.lit(0).alias("mosaic_ord")))
-    out = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("part", "mosaic_ord")))
-    return out.withColumn("satellite_only", F.count("*").over(Window.partitionBy(*keys)) <= 1).select(*keys, "nth", "id", "satellite_only")
+        guess = F.when(named.isNull(), guess).otherwise(F.when(F.exists("hits", lambda e: is_of(e, named)), named))
+    foreign = lambda e: F.coalesce((e["country"] != F.col("local")) & (e["country"] != EU), F.lit(False))
+    part = lambda test: F.coalesce(F.transform(F.filter("hits", test), lambda e: e["id"]), none)
+    last = F.array(F.lit(fallback)) if fallback else none
+    chain = deep.withColumn("local", guess).select(*keys, F.concat(part(lambda e: ~foreign(e)), part(foreign), last).alias("chain"))
+    rows = chain.unionByName(asked.filter("NOT __deep").select(*keys, last.alias("chain")))
+    rows = rows.select(*keys, (F.size("chain") <= 1).alias("satellite_only"), F.posexplode_outer("chain").alias("at", "id")).filter("at IS NOT NULL")
+    return rows.select(*keys, (F.col("at") + 1).alias("nth"), "id", "satellite_only")
+
+
+def _asked(tiles: DataFrame, from_zoom: int, tile: int) -> DataFrame:
+    """tiles with __zoom, the map's; __deep: whether imagery is looked for; lng, lat: their centre."""
+    lng, lat = tile_center(tile)
+    zoom = mercator.map_zoom(F.col("z"), tile)
+    return tiles.withColumn("__zoom", zoom).withColumn("__deep", F.coalesce(F.col("__zoom") >= from_zoom, F.lit(False))).withColumn("lng", lng).withColumn("lat", lat)
+
 
+def _listed(asked: DataFrame, candidates: DataFrame, fallback: str | None, cell: float = CELL, top: list[str] | None = None) -> DataFrame:
+    """Deep tiles with the candidates listed at their centre."""
+    return listed_at(asked.filter("__deep"), lists(candidates.filter(F.col("id") != (fallback or "")), ["mosaic_ord"], ["id", "minZoom", "country"], cell, top), cell)
 
-def best_for(tiles: DataFrame, candidates: DataFrame, fallback: str | None, **options) -> DataFrame:
-    return select(tiles, candidates, fallback, **options).filter("nth = 1").select("z", "x", "y", "id")
+
+def _usable(entry: Column) -> Column:
+    return covers(entry) & (F.col("__zoom") >= entry["minZoom"])
+
+
+def best_for(tiles: DataFrame, candidates: DataFrame, fallback: str | None, resolved: str | None = None, from_zoom: int = FROM_ZOOM, tile: int = 512) -> DataFrame:
+    """The first source of each tile. Where no country is named, that is the first in the candidates' order: it names the country itself, or is the Union's."""
+    if resolved:
+        return select(tiles, candidates, fallback, resolved, from_zoom, tile).filter("nth = 1").select("z", "x", "y", "id")
+    asked = _asked(tiles, from_zoom, tile)
+    first = F.get(F.filter("listed", _usable), F.lit(0))["id"]
+    best = _listed(asked, candidates, fallback, TOP_CELL, ["minZoom"]).select("z", "x", "y", F.coalesce(first, F.lit(fallback)).alias("id"))
+    return best.unionByName(asked.filter("NOT __deep").select("z", "x", "y", F.lit(fallback).alias("id"))).filter("id IS NOT NULL")
 
 
 def detail_zoom(points: DataFrame, candidates: DataFrame, layers: DataFrame, fallback: str | None, by: list[str], upscale: float = 1, low: int = 12, high: int = 22, empty_areas: DataFrame | None = None, tile: int = 512) -> DataFrame:
@@ -58,10 +77,11 @@ def detail_zoom(points: DataFrame, candidates: DataFrame, layers: DataFrame, fal
     x, y = mercator.tile_of(F.col("lng"), F.col("lat"), F.lit(probe))
     asked = points.withColumn("z", F.lit(probe)).withColumn("x", x).withColumn("y", y)
     tiles = asked.select("z", "x", "y").distinct()
-    chosen = select(tiles, candidates, fallback, tile=tile)
-    if empty_areas is not None:
-        chosen = chosen.withColumn("area", mercator.area_key(F.col("x"), F.col("y"), F.col("z"))).join(empty_areas.select("id", "area"), ["id", "area"], "left_anti")
-    best = chosen.groupBy("z", "x", "y").agg(F.min_by("id", "nth").alias("id"))
+    if empty_areas is None:
+        best = best_for(tiles, candidates, fallback, tile=tile)
+    else:
+        chosen = select(tiles, candidates, fallback, tile=tile).withColumn("area", mercator.area_key(F.col("x"), F.col("y"), F.col("z")))
+        best = chosen.join(empty_areas.select("id", "area"), ["id", "area"], "left_anti").groupBy("z", "x", "y").agg(F.min_by("id", "nth").alias("id"))
     numbers = layers.select("id", "resolutionMeters", F.col("maxZoom").alias("max_zoom"))
     found = asked.join(best, ["z", "x", "y"], "left").withColumn("id", F.coalesce("id", F.lit(fallback))).join(numbers, "id", "left")
     native = F.when(F.col("resolutionMeters") > 0, mercator.zoom_of_resolution_at(F.col("resolutionMeters"), F.col("lat"))).otherwise(F.col("max_zoom"))
